@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decon, pii, secrets
-from .common import read
+from pyspark.sql import functions as F
+
+from . import ann, bpe, decon, langid, pii, quality, rollup, secrets, simhash
+from .common import read, shared_dir
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; those that are toxic go; the others are revised, their decorations taken out.  The middle batch is committed twice, which changes nothing."""
+    docs = read(spark, sf_dir, "documents").withColumn("revised", F.regexp_replace("text", "[&$#%*!|]", ""))
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    ledger = rollup.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex[:12]}")
+    path = f"{ledger.path}/documents"
+    rollup.counted(docs, ["doc_id", "source", "lang"], {"before": "text", "after": "revised"}).write.parquet(path)
+    counts = spark.read.parquet(path)
+    ledger.commit("load", rollup.inserted(counts))
+    for _ in range(2):
+        ledger.commit("takedown", rollup.deleted(counts.join(toxic, "doc_id", "left_semi")))
+    ledger.commit("cleaning", rollup.revised(counts.join(toxic, "doc_id", "left_anti").where("before != after")))
+    return ledger.totals()
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.qualities(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -23,17 +50,42 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return bpe.bpe_digest(read(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pii, op6_decontamination, op7_secrets, op9_bpe)}
+    return {f.__name__: f for f in (op2_token_counts, op3_quality, op4_pii, op5_neighbours, op6_decontamination, op7_secrets, op8_language, op9_bpe, op10_simhash)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = "len(regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+'))"
+_PIECES = "len(regexp_extract_all({}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+|[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}\\x20\\x09-\\x0D]'))"
+_REVISED = "regexp_replace(coalesce(text, ''), '[&$#%*!|]', '', 'g')"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_token_counts": f"""
+WITH gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+d AS (SELECT source, lang, {_REVISED} AS t FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL)),
+c AS (SELECT source, lang, 'words/1' AS tokenizer, {_WORDS.format("t")} AS n FROM d UNION ALL SELECT source, lang, 'pieces/1', {_PIECES.format("t")} FROM d)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL""",
+    "op5_neighbours": f"""
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
+q AS (SELECT vec_id AS query_id, min(e) AS qe FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+s AS (SELECT query_id, vec_id, list_inner_product(qe, e) / (sqrt(list_inner_product(qe, qe)) * sqrt(list_inner_product(e, e))) AS score
+      FROM q JOIN v ON vec_id <> query_id AND len(qe) = len(e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
     "op6_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
