@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import regex
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Pieces remembered in a generation; two generations are kept.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 #: Characters that str.split() takes as white space and Unicode's White_Space does not.
 _INFORMATION_SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -57,7 +58,7 @@ class Memory:
             self.put(key, value)
         return value
 
-    def put(self, key, value):
+    def put(self, key, value) -> None:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -80,53 +81,67 @@ class Bpe:
         self.alphabet = byte_alphabet()
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        # the same pattern for ASCII, in the faster library
+        self.ascii_word = re.compile(split.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words, self.pieces = Memory(), Memory()
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of a word of byte characters."""
-        symbols = [self.vocab.get(c) for c in word[:-1]] + [self.vocab.get(word[-1] + self.end)]
+        vocab, n = self.vocab, len(word)
+        symbols = [vocab.get(c) for c in word]
+        symbols[-1] = vocab.get(word[-1] + self.end)
         if None in symbols:
             symbols = [s for s in symbols if s is not None]  # no unknown token: such symbols are left out
-        n = len(symbols)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        ranks, queue = self.merges, []
-        for i in range(n - 1):
-            if found := ranks.get((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, found[1]))
+            n = len(symbols)
+        ranked, push, pop = self.merges.get, heapq.heappush, heapq.heappop
+        queue = []
+        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+            if found := ranked(pair):
+                queue.append((found[0], i, pair, found[1]))
+        if not queue:
+            return tuple(symbols)
         heapq.heapify(queue)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         while queue:
-            rank, i, made = heapq.heappop(queue)
+            _, i, pair, made = pop(queue)
             j = after[i]
-            if symbols[i] is None or j < 0 or (found := ranks.get((symbols[i], symbols[j]))) is None or found[0] != rank:
+            if j < 0 or symbols[i] != pair[0] or symbols[j] != pair[1]:
                 continue  # stale
             symbols[i], symbols[j] = made, None
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if found := ranks.get((made, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
-            if (h := before[i]) >= 0 and (found := ranks.get((symbols[h], made))):
-                heapq.heappush(queue, (found[0], h, found[1]))
-        return tuple(s for s in symbols if s is not None)
+                if found := ranked(pair := (made, symbols[k])):
+                    push(queue, (found[0], i, pair, found[1]))
+            if (h := before[i]) >= 0 and (found := ranked(pair := (symbols[h], made))):
+                push(queue, (found[0], h, pair, found[1]))
+        return tuple([s for s in symbols if s is not None])
 
     def piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece without white space, remembered."""
+        if (known := self.pieces.get(piece)) is None:
+            self.pieces.put(piece, known := tuple(self.ids(piece)))
+        return known
+
+    def ids(self, piece: str) -> list[int]:
         """The ids of a piece without white space."""
-        if (known := self.pieces.get(piece)) is not None:
-            return known
         ids: list[int] = []
         for part in self.special.split(piece) if self.special and "<" in piece else (piece,):
             if part in self.added:
                 ids.append(self.added[part])
                 continue
-            text = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            for word in self.word.findall(text.lower()):
+            if part.isascii():
+                text = part.lower()
+                words = (text,) if text.isalpha() else self.ascii_word.findall(text)
+            else:
+                words = self.word.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+            for word in words:
                 if (merged := self.words.get(word)) is None:
-                    merged = self.merge("".join(self.alphabet[b] for b in word.encode()))
+                    merged = self.merge(word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()]))
                     self.words.put(word, merged)
                 ids += merged
-        self.pieces.put(piece, out := tuple(ids))
-        return out
+        return ids
 
     def split(self, text: str) -> list[str]:
         if _INFORMATION_SEPARATORS.search(text):
@@ -170,14 +185,15 @@ def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         shown: Memory = Memory()
 
         def show(piece):
-            ids = bpe.piece(piece)
-            shown.put(piece, out := (len(ids), " ".join(map(str, ids)), bpe.decode(ids)))
+            if (out := shown.get(piece)) is None:
+                ids = bpe.ids(piece)
+                shown.put(piece, out := (len(ids), " ".join(map(str, ids)), bpe.decode(ids)))
             return out
 
         def run(texts):
             made = []
             for text in texts:
-                get = shown.get
+                get = shown.young.get  # most are here; show() looks further
                 parts = [get(p) or show(p) for p in bpe.split(text)]
                 parts = [p for p in parts if p[0]]
                 made.append((sum([p[0] for p in parts]), hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest()))
