@@ -67,14 +67,14 @@ def held_out_py(doc_id, modulus: int, remainder: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == remainder
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", as_bytes: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """(rows, their texts) in runs of bounded size; null texts are empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(sizes):
-            if i > start and (size + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+            if i > start and (size + n > most_bytes or i - start >= most_rows):
                 yield _slice(batch, column, start, i, as_bytes)
                 start, size = i, 0
             size += n

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decon, langid, pii, quality, rollup, secrets, simhash
+from . import ann, bpe, decon, langid, lm, pii, quality, rollup, secrets, simhash
 from .common import read, shared_dir
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model(read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in; those that are toxic go; the others are revised, their decorations taken out.  The middle batch is committed twice, which changes nothing."""
     docs = read(spark, sf_dir, "documents").withColumn("revised", F.regexp_replace("text", "[&$#%*!|]", ""))
@@ -63,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality, op4_pii, op5_neighbours, op6_decontamination, op7_secrets, op8_language, op9_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_lm, op2_token_counts, op3_quality, op4_pii, op5_neighbours, op6_decontamination, op7_secrets, op8_language, op9_bpe, op10_simhash)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
