@@ -15,10 +15,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, slices
+from .common import held_out, map_texts, sampled, slices
 
 #: Hash buckets of the n-grams.
 BUCKETS = 8192
@@ -135,11 +135,10 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     if not n:
         return Model([], np.zeros((buckets, 0)), np.zeros(buckets, np.float32), 1.0)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    # Ranks within a language are taken of ids alone, and Spark keeps only the first of each partition before it shuffles.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = rows.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang").distinct()
+    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
+    chosen = sampled(rows.select("id", "lang"), "lang", order, per_language).distinct()
     # An id may stand in many rows: the bound is put to rows, too.
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang", "text")
+    sample = sampled(rows.join(F.broadcast(chosen), ["id", "lang"]), "lang", order, per_language).select("id", "lang", "text")
 
     def start():
         def run(texts):

@@ -81,12 +81,12 @@ def ordered(spans) -> list[Span]:
 # Cyrillic and Greek letters drawn like Latin ones, and stops, at and plus signs of other scripts.
 _LIKE = dict(zip("аеорсухіјѕԁһвмнтАВЕКМНОРСТХІЈЅοανριΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhbmhtABEKMHOPCTXIJSoavpiABEZHIKMNOPTYX", strict=True))
 _LIKE |= {"。": ".", "．": ".", "｡": ".", "․": ".", "·": ".", "＠": "@", "﹫": "@", "＋": "+", "﹢": "+", "‐": "-", "‑": "-", "‒": "-", "–": "-"}
-_HIDDEN = "­​‌‍⁠﻿"
+_HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 # Digits as words in English.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 #: Characters that may need rewriting: outside ASCII and the Latin letters of European languages.
-_ODD = re.compile("[­·Ͱ-ԯ٠-٩۰-۹०-९‐-–․​-‍⁠。﹢﹫﻿＋-｡\U0001d400-\U0001d7ff]+")
+_ODD = re.compile("[\u00ad\u00b7\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010-\u2013\u2024\u200b-\u200d\u2060\u3002\ufe62\ufe6b\ufeff\uff0b-\uff61\U0001d400-\U0001d7ff]+")
 _WORD = "|".join(_SPELLED)
 _RULES = re.compile(
     r"(?P<at>\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
@@ -127,7 +127,8 @@ class Rewritten:
         b, last, _ = self.sources[j]
         begin = a if changed else a + start - self.starts[i]
         stop = last if self.sources[j][2] else b + end - self.starts[j]
-        return begin, stop, any(self.sources[k][2] for k in range(i, j + 1))
+        # hidden characters leave no stretch of their own, but the source is longer by them
+        return begin, stop, stop - begin != end - start or any(self.sources[k][2] for k in range(i, j + 1))
 
 
 def _alike(c: str) -> str:

@@ -15,10 +15,10 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts
+from .common import held_out, map_texts, sampled
 
 #: Bytes of a passage.
 PASSAGE = 400
@@ -148,12 +148,12 @@ class Attention:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> Attention:
     """A model of the labelled rows of docs.  A document with several labels counts with the least; null labels don't count."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("id", "label")
+    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
+    chosen = sampled(known, "label", order, per_label)
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # a row for each label
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # An id may stand in many rows: the bound is put to rows, too.
-    sample = rows.join(F.broadcast(chosen), "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("id", "label", "text")
+    sample = sampled(rows.join(F.broadcast(chosen), "id"), "label", order, per_label).select("id", "label", "text")
     got = map_texts(sample, f"id {rows.schema['id'].dataType.simpleString()}, label int, bag binary", lambda: lambda texts: [(bag(t).tobytes(),) for t in texts], as_bytes=True).collect()  # bounded by the sample
     model = Attention()
     if len({r.label for r in got}) < 2:
@@ -162,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([float(r.label == 1) for r in got])
     model.fit([np.frombuffer(r.bag, np.float32).reshape(-1, N_FEATURES).astype(float) for r in got], y)
     # The sample holds the labels in other shares than the table: the intercept is set back.
-    share, sampled = totals.get(1, 0) / sum(totals.values()), y.mean()
-    model.p["d"] = model.p["d"] + np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
+    share, drawn = totals.get(1, 0) / sum(totals.values()), y.mean()
+    model.p["d"] = model.p["d"] + np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     return model
 
 
