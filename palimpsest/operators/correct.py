@@ -66,16 +66,16 @@ def replies(rows: DataFrame, corrector: Corrector, prompt: str, most: int = CHUN
     return rows.select("_key", chunks("text", most).alias("chunks")).mapInPandas(run, "_key string, reply string")
 
 
-def applied(original: Column, reply: Column, mode: str = "correct", by_text: bool = True) -> Column:
-    """What a reply makes of a paragraph: cleaned, the block that answers chosen, label and edges restored; the original where that isn't safe."""
+def applied(rows: DataFrame, mode: str = "correct", by_text: bool = True, text_col: str = "text", reply_col: str = "reply") -> DataFrame:
+    """rows with corrected, what the reply makes of the text: cleaned, the block that answers chosen, label and edges restored; the text itself where that isn't safe."""
+    original = F.col(text_col)
     translating = mode == "translate"
     safe = translation_length_safe if translating else length_safe
     choose = selected_block_by_length if translating or not by_text else selected_block
-    clean = sanitized(reply, original)
-    block = choose(clean, original)
-    whole = lambda b: edge_spaces_restored(original, label_restored(original, b))
-    checked = lambda b: let(whole(b), lambda w: F.when(safe(original, w), w).otherwise(original))
-    return F.when(is_blank(reply), original).otherwise(let(block, lambda b: F.when(b.isNull() | is_blank(b), original).otherwise(checked(b))))
+    whole = edge_spaces_restored(original, label_restored(original, F.col("_block")))
+    checked = let(whole, lambda w: F.when(safe(original, w), w).otherwise(original))
+    out = rows.withColumn("_clean", sanitized(reply_col, original)).withColumn("_block", choose(F.col("_clean"), original))
+    return out.withColumn("corrected", F.when(is_blank("_clean") | is_blank("_block"), original).otherwise(checked)).drop("_clean", "_block")
 
 
 def corrected(paras: DataFrame, corrector: Corrector | None = None, prompt: str = "", mode: str = "correct") -> DataFrame:
@@ -83,5 +83,5 @@ def corrected(paras: DataFrame, corrector: Corrector | None = None, prompt: str
     if corrector is None:
         new = rules(F.col("text"))
         return paras.withColumn("corrected", F.when(length_safe("text", new), new).otherwise(F.col("text")))
-    work = lambda distinct: distinct.join(replies(distinct, corrector, prompt), "_key").select("_key", applied(F.col("text"), F.col("reply"), mode).alias("corrected"))
+    work = lambda distinct: applied(distinct.join(replies(distinct, corrector, prompt), "_key"), mode).select("_key", "corrected")
     return once_each(paras, "text", work)
