@@ -67,17 +67,18 @@ def held_out_py(doc_id, modulus: int, remainder: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == remainder
 
 
-def sampled(rows: DataFrame, group: str, order: list[Column], most: int, salts: int = 32) -> DataFrame:
+def sampled(rows: DataFrame, group: str, order: list[Column], most: int, salts: tuple[int, ...] = (64, 8)) -> DataFrame:
     """The first most rows of each group by order, with all their columns.
 
-    Ranks are taken within salted parts of the groups first, so that no task
-    reads a whole group, whatever its share of the rows; Spark keeps only the
-    first rows of each partition before it shuffles them.
+    Ranks are taken within salted parts of the groups first, fewer and fewer,
+    so that no task reads a whole group, whatever its share of the rows; Spark
+    keeps only the first rows of each partition before it shuffles them.
     """
-    out = rows.withColumn("_salt", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(salts)))
-    for by in ([group, "_salt"], [group]):
-        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= most).drop("_rank")
-    return out.drop("_salt")
+    for n in (*salts, 1):
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(n)))
+        rank = F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))
+        rows = salted.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_salt")
+    return rows
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -23,11 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Workspace, map_texts
 
 WINDOW = 10
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 8 << 20
+#: Blocks that follow one another before the documents are written down: each has a Python worker of its own in the stage.
+BLOCKS_PER_STAGE = 4
 
 #: Folds A-Z and makes every byte that is no part of a word a space.
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -131,6 +133,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wind
     # the text goes along once for each block that follows
     out = docs.withColumnsRenamed({text_col: "text"}) if text_col != "text" else docs
     kept = [f for f in out.schema.fields if f.name != "text"]
+    work = Workspace(docs.sparkSession, "decon")
     parts = [sc.broadcast(items) for items in blocks(benchmark, block_bytes)]
     found = []
     for k, part in enumerate(parts):
@@ -144,6 +147,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wind
             windows = Windows(part.value, window)
             return lambda texts: [(x,) for x in _judge(texts, windows)]
 
+        if k and k % BLOCKS_PER_STAGE == 0:
+            source = work.table(source)
         out = map_texts(source, f"{schema}, {name} struct<{_FOUND.replace(' long', ':long').replace(' array', ':array')}>", start, as_bytes=True)
         if not last:
             out = out.withColumnRenamed("_text", "text")

@@ -27,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: No part of a match can begin inside a run of digits: where it fails from the run's start, it fails from any of its digits.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -89,13 +90,13 @@ _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four"
 _ODD = re.compile("[\u00ad\u00b7\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010-\u2013\u2024\u200b-\u200d\u2060\u3002\ufe62\ufe6b\ufeff\uff0b-\uff61\U0001d400-\U0001d7ff]+")
 _WORD = "|".join(_SPELLED)
 _RULES = re.compile(
-    r"(?P<at>\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
-    r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
-    r"|(?<![\w@.])(?P<plain>[A-Za-z0-9._%+-]+\s(?:at|AT|At)\s[A-Za-z0-9-]+(?:\s(?:dot|DOT|Dot)\s[A-Za-z0-9-]+)+)(?!\w)"
+    r"(?P<at>\s{0,3}[\[({<]\s*(?:at|@)\s{0,3}[\])}>]\s{0,3}|(?<=\w)\s@\s(?=\w)|&(?:\#64|commat);)"
+    r"|(?P<dot>\s{0,3}[\[({<]\s*(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|&(?:\#46|period);)"
+    r"|(?<![\w@.%+-])(?P<plain>[A-Za-z0-9._%+-]+(?:\sat\s|@)[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+|[0-9]{1,3}(?:\sdot\s[0-9]{1,3}){3})(?!\w)"
     rf"|(?<!\w)(?P<spelled>(?:plus[\s-]+)?(?:{_WORD})(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9])){{6,}})(?!\w)",
     re.IGNORECASE,
 )
-_HINTS = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]| at [a-z0-9-]+ dot |\b(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD})\b", re.IGNORECASE)
+_HINTS = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s[a-z0-9]|\s@\s|&(?:\#64|\#46|commat|period);|\b(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD})\b", re.IGNORECASE)
 _PLAIN_PART = re.compile(r"(\s(?:at|dot)\s)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]", re.IGNORECASE)
 

@@ -51,6 +51,8 @@ _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d)")
 #: log10 of the guesses from which a value counts as a secret.
 MIN_GUESSES = 10.0
+#: Characters that are cut into spans together.
+PIECE = 256
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -70,7 +72,9 @@ def _alphabet(c: str) -> int:
 
 @lru_cache(maxsize=20_000)
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest cut of value into spans, with the orders of the spans counted in."""
+    """log10 of the guesses for the cheapest cut of value into spans, with the orders of the spans counted in.  Longer values than PIECE are cut there first, so that the time goes with their length."""
+    if len(value) > PIECE:
+        return sum(guess_cost(value[i : i + PIECE]) for i in range(0, len(value), PIECE))
     n, low = len(value), value.lower()
     if not n:
         return 0.0

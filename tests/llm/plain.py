@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Texts that a table may hold: null, empty, blank, one word, repeated, very long, other scripts.
-ODD_TEXTS = [None, "", "   \n\t", "word", "word", "a b", "a b", "ÀÉ ñ ü ß 日本語 😀 text", "x " * 30_000, "y" * 50_000, "1234567890", "!!! ??? ..."]
+ODD_TEXTS = [None, "", "   \n\t", "word", "word", "a b", "a b", "ÀÉ ñ ü ß 日本語 😀 text", "x " * 30_000, "y" * 50_000, "1234567890", "!!! ??? ...", "1" * 60_000, " " * 60_000, "-" * 60_000, "[ " * 30_000, "password=" + "as" * 30_000, "token: " + "é" * 9 + "0123456789abcdef" * 2]
 
 
 def fold(text):
