@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names, replies
 from ..functions import text as tx
-from ..operators import audit, lookup, packing, pacing, revisions
-from ..sources import tables
+from ..operators import audit, lookup, packing, pacing, revisions, segments, validation
+from ..sources import sinks, tables
 from ..sources.tables import table
 from ..streaming import pacing as pacing_stream
 from ..streaming import tokens as token_stream
@@ -377,3 +377,97 @@ def message_lookup(spark, sf_dir):
 def events_by_hour(spark, sf_dir):
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")
     return table(spark, sf_dir, "events").groupBy("event_type", w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("hour"), "n", "total")
+
+
+def _runs(spark, sf_dir):
+    """Runs of orders as paragraphs: every fourth one an anchor."""
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4 == 0).alias("anchor"), F.repeat(F.lit("w"), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("text"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 = 0 AS anchor, o_orderkey % 7 + 1 AS n, count(*) FILTER (WHERE o_orderkey % 4 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS island FROM orders),
+s AS (SELECT o_custkey, island, count(*) AS runs, CAST(sum(n) AS BIGINT) AS chars, arg_max(o_orderkey, (n, -o_orderkey)) AS dominant FROM r WHERE NOT anchor GROUP BY ALL)
+SELECT o_custkey, runs, chars, dominant, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY island) - 1 AS INTEGER) AS segment FROM s""")
+def run_segments(spark, sf_dir):
+    return segments.segments(_runs(spark, sf_dir), ["o_custkey"], "o_orderkey", "anchor")
+
+
+@query()
+def segment_distribution(spark, sf_dir):
+    """Turns dealt to three segments by their shares, cut at words."""
+    c = table(spark, sf_dir, "conversations")
+    lengths = F.array((F.col("turn") % 5 + 1).cast("int"), F.lit(7), (F.col("conv_id") % 11).cast("int"))
+    return c.select("conv_id", "turn", F.transform(segments.dealt_to_segments(lengths, F.col("text")), lambda x: F.length(x)).alias("lengths"))
+
+
+@query("SELECT conv_id, turn, substr(text, 1, 5) AS a, substr(text, 6, turn) AS b, substr(text, 6 + turn) AS c FROM conversations")
+def text_nodes(spark, sf_dir):
+    nodes = segments.filled(F.array(F.lit(5), F.col("turn").cast("int"), F.lit(3)), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", nodes[0].alias("a"), nodes[1].alias("b"), nodes[2].alias("c"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE CASE turn % 3 WHEN 0 THEN 'Word' ELSE 'No. x' END || text END AS text FROM conversations")
+def tab_labels(spark, sf_dir):
+    """A label before a tab isn't part of the text; other words before it are."""
+    lead = F.when(F.col("turn") % 2 == 0, F.lit("1.")).when(F.col("turn") % 3 == 0, F.lit("Word")).otherwise(F.lit("No. x"))
+    runs = F.array(F.struct(lead.alias("text"), F.lit(False).alias("has_tab")), F.struct(F.lit("").alias("text"), F.lit(True).alias("has_tab")), F.struct(F.col("text"), F.lit(False).alias("has_tab")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(segments.without_tab_label(runs), lambda r: r["text"]), "").alias("text"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, min(turn) FILTER (WHERE (conv_id + turn) % 3 = 0) OVER (PARTITION BY conv_id) AS stop FROM conversations)
+SELECT conv_id, CASE WHEN count(*) FILTER (WHERE stop IS NULL OR turn < stop) > 0 THEN string_agg(text || '!', '' ORDER BY turn) FILTER (WHERE stop IS NULL OR turn < stop) ELSE string_agg(text, '' ORDER BY turn) END AS text FROM c GROUP BY conv_id""")
+def cancelled_prefix(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumns({"new": F.concat("text", F.lit("!")), "done": (F.col("conv_id") + F.col("turn")) % 3 != 0})
+    return segments.finished_prefix(c, ["conv_id"], "turn", "text", "new", "done")
+
+
+@query("""WITH m AS (SELECT conv_id, min(turn) FILTER (WHERE turn % 3 = 1) AS first FROM conversations GROUP BY conv_id)
+SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE first IS NULL OR turn > first), '') AS text FROM conversations JOIN m USING (conv_id) GROUP BY conv_id""")
+def note_texts(spark, sf_dir):
+    """Of each note what follows its first reference mark."""
+    c = table(spark, sf_dir, "conversations").withColumn("mark", F.col("turn") % 3 == 1)
+    return segments.note_texts(c, ["conv_id"], "turn", "mark")
+
+
+@query("SELECT l_orderkey, count(*) FILTER (WHERE (l_partkey + l_linenumber) % 7 = 1) AS dirty FROM lineitem GROUP BY l_orderkey")
+def dirty_directories(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, _FIELDS)), ((F.col("l_partkey") + F.col("l_linenumber")) % 7 + 1).cast("int"))
+    fields = segments.dirty_fields(table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("instruction")))
+    return fields.groupBy("l_orderkey").agg(F.count_if("dirty").alias("dirty"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND NOT starts_with(text, ' ') THEN ' ' || text ELSE text END AS text FROM conversations WHERE text <> ''""")
+def space_after_mark(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text <> ''")
+    return c.select("conv_id", "turn", replies.space_after_mark(F.concat(F.lit(" "), F.col("text")), F.col("text"), F.col("turn") % 2 == 0).alias("text"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'model' WHEN 2 THEN 'preset ids differ' WHEN 3 THEN 'scope parts' WHEN 4 THEN 'target_language' END AS problem FROM customer""")
+def settings_check(spark, sf_dir):
+    """Settings as JSON, read and checked; the first rule that fails is named."""
+    k = F.col("c_custkey") % 6
+    preset = lambda i: F.struct(i.alias("id"), F.lit("n").alias("name"), F.lit("v").alias("value"), F.lit("en").alias("locale"))
+    s = F.struct(
+        F.when(k == 0, "none").otherwise("openai").alias("provider"), F.lit("http://h").alias("api_url"), F.when(k == 1, " ").otherwise("m").alias("model"), F.lit("c").alias("custom_prompt"), F.lit("s").alias("system_prompt"), F.lit("de").alias("ui_language"),
+        F.lit("en").alias("correction_language"), F.lit("A").alias("active_preset"), F.array(preset(F.lit("a")), preset(F.when(k == 2, "A").otherwise("b"))).alias("presets"), F.lit("builtin").alias("compare_mode"), F.lit("auto").alias("citation_style"),
+        F.lit(0.5).alias("temperature"), F.lit(7500).alias("chunk_size"), F.lit(7500).alias("batch_chars"), F.lit(10).alias("batch_paragraphs"), F.array(F.when(k == 3, "attic").otherwise("main")).alias("scope"), F.lit(4).alias("parallel"), F.lit("auto").alias("speed"),
+        F.when(k == 4, "translate").otherwise("correct").alias("mode"), F.lit(" ").alias("target_language"),
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.from_json(F.to_json(s), validation.SETTINGS).alias("s")).select("c_custkey", "s.*")
+    return validation.checked(rows).select("c_custkey", "problem")
+
+
+@query("""SELECT event_id, CASE WHEN event_type <> 'error' THEN 'c' || event_id WHEN event_id % 2 = 0 THEN 'f' || event_id END AS result, CASE WHEN event_type <> 'error' THEN 'compared' WHEN event_id % 2 = 0 THEN 'corrected_only' ELSE 'failed' END AS status FROM events""")
+def salvage(spark, sf_dir):
+    """A step that failed keeps its row: with the corrected text where that may stand for the comparison."""
+    i = F.col("event_id").cast("string")
+    e = table(spark, sf_dir, "events")
+    return sinks.salvaged(e, F.concat(F.lit("c"), i), F.concat(F.lit("f"), i), F.when(F.col("event_type") == "error", F.lit("boom")), F.col("event_id") % 2 == 0).select("event_id", "result", "status")
+
+
+@query("""SELECT event_id, CAST(event_id AS VARCHAR) || ';' AS id, event_type FROM events WHERE event_id % 5 <> 0""")
+def event_log(spark, sf_dir):
+    """An event log written as JSON lines and read again, odd lines passed over."""
+    e = table(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("event"), F.struct(F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("id")).alias("details"))))
+    got = e.select("event_id", F.from_json(line, "ts_ms long, event string, details map<string,string>").alias("x")).where("x.event is not null")
+    return got.select("event_id", F.col("x.details")["id"].alias("id"), F.col("x.event").alias("event_type"))

@@ -231,3 +231,28 @@ def test_settings(monkeypatch):
             run_settings.from_json(bad)
     monkeypatch.setenv("SOME_KEY", "k")
     assert run_settings.from_json('{"apiKey": "ENV:SOME_KEY"}').key == "k"
+
+
+def test_segments():
+    from palimpsest.operators.segments import dealt, nearest_boundary
+
+    assert dealt([10, 20], "one two three four five six") == ["one two ", "three four five six"]
+    assert dealt([0, 0], "abc") == ["", "abc"] and dealt([5], "abc") == ["abc"]
+    assert nearest_boundary("hello world", 8) == 6 and nearest_boundary("hello world", 9) == 11 and nearest_boundary("ab", 0) == 0
+    for lengths in ([1, 2, 3], [9, 0, 1], [1] * 6):
+        assert "".join(dealt(lengths, "a bb ccc dddd")) == "a bb ccc dddd"
+
+
+def test_sinks(spark, tmp_path, monkeypatch):
+    from palimpsest.sources import sinks
+
+    path = f"file://{tmp_path}/t"
+    for n in (3, 5):
+        sinks.promoted(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    monkeypatch.setattr(sinks, "LOG_BYTES", 1)
+    log = f"file://{tmp_path}/log"
+    for i in range(6):
+        sinks.log_events(spark.createDataFrame([(i, "e", {"k": "v"})], "ts_ms long, event string, details map<string,string>"), log)
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["current", "old-1", "old-2", "old-3"]
+    assert [spark.read.json(f"{log}/{p}").first().ts_ms for p in ("current", "old-1", "old-3")] == [5, 4, 2]
