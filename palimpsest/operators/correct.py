@@ -81,7 +81,6 @@ def applied(rows: DataFrame, mode: str = "correct", by_text: bool = True, text_c
 def corrected(paras: DataFrame, corrector: Corrector | None = None, prompt: str = "", mode: str = "correct") -> DataFrame:
     """paras with corrected.  Equal texts are asked once.  Without a corrector the built-in rules apply, all in expressions."""
     if corrector is None:
-        new = rules(F.col("text"))
-        return paras.withColumn("corrected", F.when(length_safe("text", new), new).otherwise(F.col("text")))
+        return paras.withColumn("corrected", let(rules(F.col("text")), lambda new: F.when(length_safe("text", new), new).otherwise(F.col("text"))))
     work = lambda distinct: applied(distinct.join(replies(distinct, corrector, prompt), "_key"), mode).select("_key", "corrected")
     return once_each(paras, "text", work)

@@ -400,7 +400,7 @@ def block_by_length(spark, sf_dir):
 def block_by_text(spark, sf_dir):
     t = F.col("text")
     reply = _choice(F.col("pos") % 4, t, F.concat(F.lit("Here you are:\n\n"), t), F.concat(F.lit("\n"), t), F.concat(t, F.lit("\n\nThanks!")))
-    return paras(spark, sf_dir).select("doc_id", "pos", F.sha2(align.selected_block(reply, t), 256).alias("block_sha256"))
+    return paras(spark, sf_dir).repartition("doc_id", "pos").select("doc_id", "pos", F.sha2(align.selected_block(reply, t), 256).alias("block_sha256"))
 
 
 @query()
@@ -419,7 +419,7 @@ def batch_alignment(spark, sf_dir):
 @query()
 def runs_write_back(spark, sf_dir):
     """A correction dealt to the three runs of a paragraph."""
-    c = corrections(spark, sf_dir).where(F.length("original") < 1500)
+    c = corrections(spark, sf_dir).where(F.length("original") < 1500).repartition("doc_id", "pos")
     n = F.length("original")
     a, b = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
     runs = F.array(F.left("original", a), F.substr("original", a + 1, b - a), F.substr("original", b + 1))
