@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +120,38 @@ def running_progress(layers: DataFrame, key: str, order: str, digest: str, done:
     steps = layers.withColumns({"_d": F.col(done) - F.coalesce(F.lag(done).over(own), F.lit(0)), "_t": F.col(total) - F.coalesce(F.lag(total).over(own), F.lit(0))})
     now = F.floor(100.0 * F.sum("_d").over(w) / F.sum("_t").over(w))
     return steps.withColumn("_p", now).withColumn("percent", F.max("_p").over(w).cast("long")).drop("_d", "_t", "_p")
+
+
+def content_counters(elements: DataFrame, key: list[str], kind: str = "kind") -> DataFrame:
+    """key and how many comments, foreign parts, directories, charts, diagrams, embedded objects and old drawings a document has."""
+    # Counters, and the kinds of elements they count.
+    counters = {"comments": ("comment",), "foreign": ("altChunk", "customXml"), "directories": DIRECTORY_FIELDS, "charts": ("chart",), "diagrams": ("diagram",), "objects": ("oleObject",), "drawings": ("vml",)}
+    return elements.groupBy(*key).agg(*[F.count_if(F.col(kind).isin(*kinds)).alias(name) for name, kinds in counters.items()])
+
+
+def resume_baseline(batches: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
+    """key, chars, paragraphs of the batches that a checkpoint (key, prefix) says are done."""
+    return batches.join(done, key).where(F.col("batch") < F.col("prefix")).groupBy(*key).agg(F.sum("len").alias("chars"), F.count(F.lit(1)).alias("paragraphs"))
+
+
+def latency_averages(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """key and the average of its latencies in order, as in latency_average.  Rows come sorted and are folded as they come: a key's rows needn't fit in memory, and keys without a latency above 0 are left out."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, average = None, None
+        for part in parts:
+            done = []
+            for k, v in zip(part["k"], part["v"], strict=True):
+                if average is not None and k != now:
+                    done.append((now, average))
+                    average = None
+                average = v if average is None else v * EMA_WEIGHT + average * (1 - EMA_WEIGHT)
+                now = k
+            yield pd.DataFrame(done, columns=["k", "ema"])
+        if average is not None:
+            yield pd.DataFrame([(now, average)], columns=["k", "ema"])
+
+    rows = events.where((F.col(value) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    places = [f"o{i}" for i in range(len(order))]
+    folded = rows.repartition("k").sortWithinPartitions("k", *places).select("k", "v").mapInPandas(run, f"k {events.schema[key].dataType.simpleString()}, ema double")
+    return folded.select(F.col("k").alias(key), "ema")

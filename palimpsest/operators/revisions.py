@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.diff import OPS, accepted, amount, kept_original, word_diff
+from ..functions.text import html_escaped
 
 NBSP = "\u00a0"
 
@@ -138,3 +139,42 @@ def span_at(spans: Column, offset: Column) -> Column:
     before = F.filter(spans, lambda s: s["end"] <= offset)
     after = F.filter(spans, lambda s: s["start"] >= offset)
     return F.coalesce(F.get(inside, F.lit(0)), F.get(before, F.size(before) - 1), F.get(after, F.lit(0)))
+
+
+def pairs_by_index(original: DataFrame, corrected: DataFrame, key: list[str], order: str, text_col: str = "text") -> DataFrame:
+    """Parts such as headers by their turn: key, turn, original, corrected up to the smaller number of both."""
+
+    def turned(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1).alias("turn"), F.col(text_col).alias(name))
+
+    return turned(original, "original").join(turned(corrected, "corrected"), [*key, "turn"])
+
+
+def document_compared(original: DataFrame, corrected: DataFrame, part_order: list[str], key: str = "doc_id", part: str = "part_kind", pos: str = "pos") -> DataFrame:
+    """Every entry of a document's comparison with its number: parts in their order, paragraphs by place, one count of insertions and deletions through the whole document."""
+    rows = entries(compared(paired(original, corrected, [key, part], pos)), [key, part, pos])
+    order = F.array_position(F.array(*map(F.lit, part_order)), F.col(part))
+    return numbered(rows.withColumn("part_no", order), [key], ["part_no", pos, "seq"]).drop("part_no")
+
+
+def joined_neighbours(rows: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
+    """Entries of one kind side by side as one: key, seq (of the first), kind, token."""
+    w = Window.partitionBy(*key).orderBy(order)
+    new = F.coalesce((F.lag("kind").over(w) != F.col("kind")).cast("int"), F.lit(1))
+    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = rows.withColumn("_new", new).withColumn("_island", island)
+    token = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), "token"))), lambda x: x["token"]), "")
+    return marked.groupBy(*key, "_island", "kind").agg(F.min(order).alias(order), token.alias("token")).drop("_island")
+
+
+def html(ops: Column) -> Column:
+    """Entries as HTML: insertions and deletions marked, the white space at their ends outside the marks."""
+
+    def one(o: Column) -> Column:
+        parts = [F.regexp_extract(o["token"], p, 0) for p in (r"(?U)^\s*", r"(?Us)\S(?:.*\S)?", r"(?U)(?<=\S)\s*$")]
+        lead, body, trail = (html_escaped(x) for x in parts)
+        tag = F.when(o["kind"] == "insert", F.lit("ins")).otherwise(F.lit("del"))
+        marked = F.when(body == "", F.lit("")).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">")))
+        return F.when(o["kind"] == "equal", html_escaped(o["token"])).otherwise(F.concat(lead, marked, trail))
+
+    return F.array_join(F.transform(ops, one), "")

@@ -459,3 +459,64 @@ def reply_blocks(spark, sf_dir):
     said = paras(spark, sf_dir).groupBy("doc_id").agg(F.concat(F.lit("```text\n"), F.array_join(items, "\r\n\r\n"), F.lit("\n```")).alias("r"))
     blocks = replies.reply_paragraphs("r")
     return said.select("doc_id", F.size(blocks).cast("long").alias("blocks"), F.sha2(F.array_join(blocks, "\n"), 256).alias("text_sha256"))
+
+
+@query(f"""WITH {PARAS}, h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS turn, text FROM paras WHERE pos % 3 = 0), g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS turn, text FROM paras WHERE pos % 4 = 0)
+SELECT doc_id, CAST(turn AS INTEGER) AS turn, h.text = g.text AS same FROM h JOIN g USING (doc_id, turn)""")
+def header_pairs(spark, sf_dir):
+    p = paras(spark, sf_dir)
+    return revisions.pairs_by_index(p.where("pos % 3 = 0"), p.where("pos % 4 = 0"), ["doc_id"], "pos").select("doc_id", "turn", (F.col("original") == F.col("corrected")).alias("same"))
+
+
+@query(f"""WITH {PARAS}, e AS (SELECT doc_id, CASE WHEN pos % 6 = 5 THEN 1 WHEN pos % 2 = 1 THEN 2 ELSE 0 END AS n FROM paras WHERE text <> '')
+SELECT doc_id, CAST(sum(n) AS INTEGER) AS last_id FROM e GROUP BY doc_id HAVING sum(n) > 0""")
+def document_compare(spark, sf_dir):
+    """Whole documents compared over their parts: the last number is that of all insertions and deletions.  Every second paragraph is said otherwise, in one sign; those of the glossary are gone."""
+    p = parts(paras(spark, sf_dir))
+    new = p.where("part_kind <> 'glossary'").withColumn("text", F.when(F.col("pos") % 2 == 1, F.lit("⁂")).otherwise(F.col("text")))
+    rows = revisions.document_compared(p, new, [name for name, _ in PARTS])
+    return rows.where("kind <> 'equal'").groupBy("doc_id").agg(F.max("rev_id").cast("int").alias("last_id"))
+
+
+@query(f"""WITH {_ENTRIES}, k AS (SELECT doc_id, pos, seq, CASE WHEN kind = 'equal' THEN 'equal' ELSE 'change' END AS kind, token FROM entries)
+SELECT doc_id, pos, CAST(min(seq) AS INTEGER) AS seq, kind, string_agg(token, '' ORDER BY seq) AS token FROM (SELECT *, seq - row_number() OVER (PARTITION BY doc_id, pos, kind ORDER BY seq) AS island FROM k) GROUP BY doc_id, pos, kind, island""")
+def merge_adjacent(spark, sf_dir):
+    rows = _entries(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "equal", "equal").otherwise("change"))
+    return revisions.joined_neighbours(rows, ["doc_id", "pos"])
+
+
+@query(f"WITH {_ENTRIES}, m AS (SELECT *, ['equal','move_from','move_to','equal','format','insert','delete'][seq + 1] AS k FROM entries) SELECT doc_id, pos, seq, CASE WHEN k = 'move_to' THEN 'equal' ELSE k END AS kind FROM m WHERE k NOT IN ('move_from', 'format')")
+def move_reject(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("equal", "move_from", "move_to", "equal", "format", "insert", "delete")))
+    rows = _entries(spark, sf_dir).withColumn("kind", F.element_at(kinds, F.col("seq") + 1))
+    return revisions.text_changes_only(rows).select("doc_id", "pos", "seq", "kind")
+
+
+@query(f"WITH {_ENTRIES} SELECT doc_id, pos, seq, CASE WHEN seq % 3 = 0 THEN 'old' || seq ELSE 'new' END AS props FROM entries")
+def format_reject(spark, sf_dir):
+    before = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("old"), F.col("seq").cast("string")))
+    return _entries(spark, sf_dir).select("doc_id", "pos", "seq", revisions.formats_rejected(F.lit("new"), before).alias("props"))
+
+
+@query(f"WITH {CORRECTIONS} SELECT doc_id, count(*) FILTER (WHERE original <> corrected) > 0 AS tracked FROM corrections GROUP BY doc_id")
+def tracked_changes(spark, sf_dir):
+    """Whether a document holds any revision."""
+    r = revisions.compared(corrections(spark, sf_dir).repartition("doc_id", "pos"))
+    return r.groupBy("doc_id").agg(F.bool_or(revisions.has_revisions(F.col("ops"))).alias("tracked"))
+
+
+@query(f"""WITH {CORRECTIONS} SELECT doc_id, pos, sha256(replace(replace(replace(replace(replace(corrected, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS shown_sha256 FROM corrections""")
+def html_diff(spark, sf_dir):
+    """The marked-up diff, without its deletions and marks, is the corrected text, escaped."""
+    r = revisions.compared(corrections(spark, sf_dir).repartition("doc_id", "pos"))
+    shown = revisions.html(F.filter("ops", lambda o: o["kind"] != "delete"))
+    return r.select("doc_id", "pos", F.sha2(F.regexp_replace(shown, "</?ins>", ""), 256).alias("shown_sha256"))
+
+
+@query(f"""WITH RECURSIVE {_BATCHES}, b AS (SELECT * FROM batches WHERE is_batch), f AS (SELECT DISTINCT doc_id, batch FROM b), d AS (SELECT doc_id, coalesce(min(batch) FILTER (WHERE (doc_id * 7 + batch) % 5 = 0), max(batch) + 1) AS prefix FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(sum(len) AS BIGINT) AS chars, count(*) AS paragraphs FROM b JOIN d USING (doc_id) WHERE batch < prefix GROUP BY doc_id""")
+def resume_baseline(spark, sf_dir):
+    """What was done before a run goes on: characters and paragraphs of its first batches without a gap."""
+    b = packing.batches(paras(spark, sf_dir), ["doc_id"], 1500).where("is_batch")
+    flags = b.select("doc_id", "batch").distinct().withColumn("done", (F.col("doc_id") * 7 + F.col("batch")) % 5 != 0)
+    return audit.resume_baseline(b, packing.completed_prefix(flags, ["doc_id"], "batch", "done"), ["doc_id"])

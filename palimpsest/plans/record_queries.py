@@ -17,8 +17,7 @@ from .registry import query
 
 @query("""SELECT user_id, round(list_reduce(list_prepend(NULL, list(value ORDER BY ts, event_id)), lambda a, v: CASE WHEN a IS NULL THEN v ELSE v * CAST(0.3 AS DOUBLE) + a * CAST(0.7 AS DOUBLE) END), 6) AS ema FROM events WHERE value > 0 GROUP BY user_id""")
 def latency_ema(spark, sf_dir):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"])
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(ordered.alias("vs")).select("user_id", F.round(audit.latency_average(F.col("vs")), 6).alias("ema")).where("ema is not null")
+    return audit.latency_averages(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @query("""WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE event_type = 'error'),
@@ -471,3 +470,13 @@ def event_log(spark, sf_dir):
     line = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("event"), F.struct(F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("id")).alias("details"))))
     got = e.select("event_id", F.from_json(line, "ts_ms long, event string, details map<string,string>").alias("x")).where("x.event is not null")
     return got.select("event_id", F.col("x.details")["id"].alias("id"), F.col("x.event").alias("event_type"))
+
+
+_ELEMENTS = ("comment", "altChunk", "TOC", "chart", "diagram", "oleObject", "vml", "p", "r")
+
+
+@query("WITH e AS (SELECT l_orderkey, [" + ", ".join(f"'{e}'" for e in _ELEMENTS) + """][l_partkey % 9 + 1] AS k FROM lineitem) SELECT l_orderkey, count(*) FILTER (WHERE k = 'comment') AS comments, count(*) FILTER (WHERE k = 'altChunk') AS "foreign", count(*) FILTER (WHERE k = 'TOC') AS directories,
+count(*) FILTER (WHERE k = 'chart') AS charts, count(*) FILTER (WHERE k = 'diagram') AS diagrams, count(*) FILTER (WHERE k = 'oleObject') AS objects, count(*) FILTER (WHERE k = 'vml') AS drawings FROM e GROUP BY l_orderkey""")
+def content_counters(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, _ELEMENTS)), (F.col("l_partkey") % 9 + 1).cast("int"))
+    return audit.content_counters(table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("kind")), ["l_orderkey"])

@@ -256,3 +256,10 @@ def test_sinks(spark, tmp_path, monkeypatch):
         sinks.log_events(spark.createDataFrame([(i, "e", {"k": "v"})], "ts_ms long, event string, details map<string,string>"), log)
     assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["current", "old-1", "old-2", "old-3"]
     assert [spark.read.json(f"{log}/{p}").first().ts_ms for p in ("current", "old-1", "old-3")] == [5, 4, 2]
+
+
+def test_latency_averages(spark):
+    rows = [(k, i, v) for k in (1, 2, None) for i, v in enumerate([4.0, 0.0, 2.0, -1.0, 10.0])] + [(3, 0, 0.0)]
+    got = audit.latency_averages(spark.createDataFrame(rows, "k int, i int, v double"), "k", ["i"], "v").collect()
+    want = spark.createDataFrame([([4.0, 0.0, 2.0, -1.0, 10.0],)], "vs array<double>").select(audit.latency_average(F.col("vs")).alias("v")).first().v
+    assert {r.k: round(r.ema, 9) for r in got} == {1: round(want, 9), 2: round(want, 9)} and round(want, 9) == round((4 * 0.7 + 2 * 0.3) * 0.7 + 3, 9)
