@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names, replies
-from ..functions import text as tx
 from ..operators import audit, lookup, packing, pacing, revisions, segments, validation
 from ..sources import sinks, tables
 from ..sources.tables import table
