@@ -84,7 +84,7 @@ class Bpe:
         # the same pattern for ASCII, in the faster library
         self.ascii_word = re.compile(split.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words, self.pieces = Memory(), Memory()
+        self.words, self.pieces = Memory(REMEMBERED // 2), Memory()
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of a word of byte characters."""
