@@ -19,7 +19,7 @@ def in_need(paras: DataFrame) -> DataFrame:
 
 
 def first_occurrences(paras: DataFrame, within: list[str], text_col: str = "text", order_col: str = "pos") -> DataFrame:
-    """Of equal texts in a scope the first; equality is by the text itself, and only digests are shuffled to find it."""
+    """Of equal texts in a scope the first.  Rows are keyed by the text's SHA-256, so they are sorted and compared by digests."""
     first = Window.partitionBy(*within, F.sha2(F.col(text_col), 256)).orderBy(order_col)
     return paras.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
