@@ -4,8 +4,8 @@ Words are folded to lower case and cut into the ids of a public vocabulary.
 Word counts of all training documents give the unigram base and, cut into
 subwords, the model's symbols: the frequent ids each, the rest as one that is
 shared out by count.  The attention model warms up on a bounded sample and is
-then trained by every task on windows of all its training documents; the
-tasks' weights are averaged.  A text is scored in overlapping windows; each
+then trained by every task on all windows of all its training documents, each
+once; the tasks' weights are averaged.  A text is scored in overlapping windows; each
 token once.
 
 The base of a text needs the count of each of its words.  Counts grow with the
@@ -41,10 +41,8 @@ SYMBOLS, GROUPS = 2048, 32
 #: Bound of the warm-up: documents, and windows of each.
 SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 1500, 64
 WARM_UP_STEPS, BATCH = 1600, 64
-#: Each task trains on one of so many stretches of the words of its training documents.
-TRAIN_EVERY = 40
-#: Words of such a stretch.
-TRAIN_WORDS = 40
+#: Rate of the training over all documents, and the steps after which it has fallen by the square root of two.
+TRAIN_RATE, RATE_STEPS = 0.004, 100
 #: Bytes of text, and texts, in a run whose words are looked up together.
 RUN_BYTES, RUN_ROWS = 16 << 20, 16384
 #: Bytes of a row of payload.
@@ -212,30 +210,36 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
     return out
 
 
-def _fit(model: Attention, grid, steps: int, rate: float, seed: int) -> int:
-    """Adam over windows in random order; the symbols seen."""
+def _fit(model: Attention, grid, steps: int, rate: float, seed: int) -> None:
+    """Adam over windows in random order, again and again."""
     c, t, _, length, _ = grid
     if not len(c):
-        return 0
-    adam, rng, seen = Adam(model, rate), np.random.default_rng(seed), 0
+        return
+    adam, rng = Adam(model, rate), np.random.default_rng(seed)
     order = rng.permutation(len(c))
     for s in range(steps):
         adam.rate = rate * (1 - 0.9 * s / steps)
         at = order[np.arange(s * BATCH, (s + 1) * BATCH) % len(order)] if len(order) > BATCH else order
         real = np.arange(CONTEXT) < length[at][:, None]
         adam.step(model.gradients(c[at], t[at], real)[1])
-        seen += int(real.sum())
-    return seen
 
 
-def _picked(found: list[list[bytes]], every: int, first: int) -> list[list[bytes]]:
-    """One of every so many stretches of the texts' words, counted through so that short texts have their turn."""
-    out, n = [], first
-    for ws in found:
-        for k in range((-n) % every, 1 + len(ws) // TRAIN_WORDS, every):
-            out.append(ws[k * TRAIN_WORDS : (k + 1) * TRAIN_WORDS])
-        n += 1 + len(ws) // TRAIN_WORDS
-    return out
+class Fit:
+    """Adam over windows as they come: each once, in random order among those that come together.  The rate falls with the steps done, so that the number of windows need not be known."""
+
+    def __init__(self, model: Attention, rate: float, seed: int):
+        self.model, self.rate, self.rng = model, rate, np.random.default_rng(seed)
+        self.adam, self.steps, self.seen = Adam(model, rate), 0, 0
+
+    def add(self, grid) -> None:
+        c, t, _, length, _ = grid
+        order = self.rng.permutation(len(c))
+        for at in np.array_split(order, -(-len(order) // BATCH)) if len(order) else ():
+            self.adam.rate = self.rate / np.sqrt(1 + self.steps / RATE_STEPS)
+            real = np.arange(CONTEXT) < length[at][:, None]
+            self.adam.step(self.model.gradients(c[at], t[at], real)[1])
+            self.steps += 1
+            self.seen += int(real.sum())
 
 
 def warmed_up(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str) -> None:
@@ -266,25 +270,20 @@ def warmed_up(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: s
     sent.unpersist()
 
 
-def trained(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str, every: int = TRAIN_EVERY, chunks: int = 64) -> None:
-    """Every task goes on from the same weights over windows of all its documents; the weights are averaged by the symbols seen."""
+def trained(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str, chunks: int = 64) -> None:
+    """Every task goes on from the same weights over all windows of all its documents, as they come; the weights are averaged by the symbols seen."""
     sent = docs.sparkSession.sparkContext.broadcast((model, symbols))  # of fixed size
 
     def run(batches):
         model, symbols = sent.value
         start = model.flat
-        subwords, parts = Subwords(vocabulary), []
-        seen = TaskContext.get().partitionId()
+        subwords, fit = Subwords(vocabulary), Fit(model, TRAIN_RATE, 2)
         for _, texts in slices(batches, as_bytes=True):
-            chosen = _picked([words(raw) for raw in texts], every, seen)
-            seen += len(texts)
-            if chosen:
-                cut = subwords.cut(chosen)
-                parts.append(windows_of(cut.expanded(0, len(chosen)), cut.sizes(), symbols))
-        if not parts:
+            cut = subwords.cut(map(words, texts))
+            fit.add(windows_of(cut.expanded(0, len(texts)), cut.sizes(), symbols))
+        if not fit.seen:
             return
-        grid = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-        seen = _fit(model, grid, -(-len(grid[0]) // BATCH), 0.004, 2)
+        seen = fit.seen
         weights = np.array_split(model.flat, chunks)
         model.flat = start
         yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([seen] * chunks, pa.int64()), pa.array([(w.astype(np.float64) * seen).tobytes() for w in weights], pa.binary())], ["chunk", "n", "w"])

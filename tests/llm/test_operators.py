@@ -104,6 +104,27 @@ def test_model_is_causal_and_its_gradients_hold():
         assert grads[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-4, abs=2e-4), k
 
 
+def test_lm_trains_on_every_word(spark):
+    import public_tokenizers
+    from palimpsest.llm.attention import Attention
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    symbols = lm.Symbols(np.ones(lm.Subwords(vocabulary).end), 3, size=60, groups=4)
+
+    def weights(texts):
+        model = Attention(symbols.starts, symbols.counts)
+        lm.trained(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), model, symbols, vocabulary)
+        return model.flat
+
+    texts = [" ".join(f"{w}{k}" for k in range(150)) for w in ("a", "b", "c")]
+    first = weights(texts)
+    assert (weights(texts) == first).all()
+    for i, place in ((0, 149), (1, 0), (1, 75), (2, 149)):  # no text, and no part of one, is left out
+        ws = texts[i].split()
+        ws[place] = "the of and to"
+        assert (weights([*texts[:i], " ".join(ws), *texts[i + 1 :]]) != first).any(), (i, place)
+
+
 def test_windows_score_each_once():
     from palimpsest.llm.attention import CONTEXT
 
