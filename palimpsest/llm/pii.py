@@ -96,7 +96,8 @@ _RULES = re.compile(
     rf"|(?<!\w)(?P<spelled>(?:plus[\s-]+)?(?:{_WORD})(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9])){{6,}})(?!\w)",
     re.IGNORECASE,
 )
-_HINTS = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s[a-z0-9]|\s@\s|&(?:\#64|\#46|commat|period);|\b(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD})\b", re.IGNORECASE)
+#: Found in every text that a rule can rewrite: each of its parts asks for less than the rule.
+_HINTS = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s[a-z0-9-]|\s@\s|&(?:\#64|\#46|commat|period);|(?<!\w)(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD}|[0-9])", re.IGNORECASE)
 _PLAIN_PART = re.compile(r"(\s(?:at|dot)\s)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]", re.IGNORECASE)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -244,6 +245,17 @@ def test_pii_base_stays_where_disguises_are_added():
     assert pii.show(base) == plain.pii_base(text) and len(spans) == len(base) + 1
 
 
+def test_pii_pre_check_hides_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = ["plus", "one", "Two", "oh", "nine", "7", "4", "0", " ", " ", " ", "-", ", ", ".", "+", "x", " at ", " dot ", "@", " @ ", "[at]", "( dot )", "&#64;", "&period;", "jo", "host", "-a", "12"]
+    texts = ["".join(rng.choice(parts, rng.integers(4, 30))) for _ in range(20_000)]
+    texts += ["call +four 4 two 0 seven 9 four 6 one now", "one 2 3 4 5 6 7 8 9", "jo at host dot -a.org"]
+    with_check = [pii.find(t) for t in texts]
+    assert [texts[-3][a:b] for a, b, _ in with_check[-3][1]] == ["+four 4 two 0 seven 9 four 6 one"]
+    monkeypatch.setattr(pii, "_HINTS", re.compile(""))
+    assert with_check == [pii.find(t) for t in texts]
+
+
 def test_pii_masked(spark, odd, empty):
     out = pii.masked(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
