@@ -51,8 +51,6 @@ _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d)")
 #: log10 of the guesses from which a value counts as a secret.
 MIN_GUESSES = 10.0
-#: Characters that are cut into spans together.
-PIECE = 256
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -72,9 +70,7 @@ def _alphabet(c: str) -> int:
 
 @lru_cache(maxsize=20_000)
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest cut of value into spans, with the orders of the spans counted in.  Longer values than PIECE are cut there first, so that the time goes with their length."""
-    if len(value) > PIECE:
-        return sum(guess_cost(value[i : i + PIECE]) for i in range(0, len(value), PIECE))
+    """log10 of the guesses for the cheapest cut of value into spans, with the orders of the spans counted in."""
     n, low = len(value), value.lower()
     if not n:
         return 0.0
@@ -82,9 +78,7 @@ def guess_cost(value: str) -> float:
     walks = _walks(low)
     best = [0.0] + [float("inf")] * n
     spans = [0] * (n + 1)
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + log10(_alphabet(c)))
+    walked, starts = 0, []  # where the walk at hand ends; starts in it, with their costs so far, that no earlier one makes needless
 
     def offer(i: int, j: int, cost: float) -> None:
         total = best[i] + cost + log10(spans[i] + 1)
@@ -100,10 +94,16 @@ def guess_cost(value: str) -> float:
         for j, cost in repeats.get(i, ()):
             offer(i, j, cost)
         if (j := walks[i]) - i >= 4:
-            for k in range(i + 4, j + 1):
-                offer(i, k, log10(47 * 3 * (k - i)))
+            if j != walked:
+                walked, starts = j, []
+            # An earlier start of the same walk that is no dearer at the nearest end is no dearer at any: the time goes with the length, not its square.
+            own = best[i] + log10(spans[i] + 1)
+            if not any(cost + log10((i + 4 - at) / 4) <= own - 1e-9 for at, cost in starts):
+                starts.append((i, own))
+                for k in range(i + 4, j + 1):
+                    offer(i, k, log10(47 * 3 * (k - i)))
         # A brute-force span may end anywhere; going on by one character is enough, as its cost adds up.
-        step = brute[i + 1] - brute[i]
+        step = log10(_alphabet(value[i]))
         if best[i] + step < best[i + 1]:
             best[i + 1], spans[i + 1] = best[i] + step, max(1, spans[i])
     return best[n]

@@ -360,6 +360,14 @@ def test_secrets_odd(odd, empty):
     assert secrets.secrets(odd).count() == odd.count() and secrets.secrets(empty).collect() == []
 
 
+def test_secrets_long_values_are_cut_as_one():
+    raw = b"password is " + b"x" * 600
+    assert secrets.find(raw) == ([], [])
+    assert secrets.guess_cost("x" * 600) == pytest.approx(np.log10(26 * 600))
+    walk = "qwertyuioplkjhgfdsa" * 2_000  # one walk of 38,000 keys, and repeats of 19 are none
+    assert secrets.guess_cost(walk) <= np.log10(141 * len(walk)) + 1e-9
+
+
 # 8
 
 
