@@ -174,7 +174,7 @@ def bpe_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         return run
 
-    return map_texts(docs.select(F.col(id_col), F.col(text_col).alias("text")), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string", start)
+    return map_texts(docs.select(F.col(id_col), F.col(text_col).alias("text")), "ids array<int>, decoded string", start)
 
 
 def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,4 +201,4 @@ def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         return run
 
-    return map_texts(docs.select(F.col(id_col), F.col(text_col).alias("text")), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", start)
+    return map_texts(docs.select(F.col(id_col), F.col(text_col).alias("text")), "n_tokens long, ids_sha256 string, decoded_sha256 string", start)

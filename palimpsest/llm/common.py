@@ -24,21 +24,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder that driver and executors share (spark.checkpoint.dir).  Only where the session names none and runs on one machine, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 class Workspace:
-    """Intermediate tables in the shared folder.  Writing one cuts the lineage, and survives the loss of executors."""
+    """Intermediate tables in the shared folder.  Writing one cuts the lineage, and survives the loss of executors.  What isn't dropped before goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        forget(spark, self.path)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -58,6 +61,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Makes the folder path, and has it deleted when the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1, ...: whatever they were called, they clash with nothing.  toDF(*df.columns) undoes it."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+
+
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder.  A null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
@@ -104,22 +120,23 @@ def _slice(batch, column, start, end, as_bytes):
     return batch.slice(start, end - start), [blank if x is None else x for x in part.to_pylist()]
 
 
-def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable], text: str = "text", as_bytes: bool = False) -> DataFrame:
-    """Texts to columns, row by row.
+def map_texts(df: DataFrame, added: str, start: Callable[[], Callable], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> DataFrame:
+    """df without its text, and the columns of added, which the texts are worked out to.
 
     start() runs once in a task and returns f(texts) -> one tuple for each text.
-    The columns of schema are those of df without the text, then the tuple's.
     """
-    struct = StructType.fromDDL(schema)
-    names, types = struct.names, [to_arrow_type(f.dataType) for f in struct.fields]
-    kept = [c for c in df.columns if c != text]
+    made_fields, at = StructType.fromDDL(added).fields, df.columns.index(text)
+    plain = numbered(df)  # names may hold signs that mapInArrow can't resolve
+    kept = [f for i, f in enumerate(plain.schema.fields) if i != at]
+    struct = StructType([*kept, *made_fields])
+    names, types = struct.names, [to_arrow_type(f.dataType) for f in made_fields]
 
     def run(batches):
         f = start()
-        for rows, texts in slices(batches, text, as_bytes):
+        for rows, texts in slices(batches, f"_{at}", as_bytes, most_bytes, most_rows):
             made = zip(*f(texts), strict=True)
-            arrays = [rows.column(rows.schema.get_field_index(c)).cast(t) for c, t in zip(kept, types, strict=False)]
-            arrays += [pa.array(c, t) for c, t in zip(made, types[len(kept) :], strict=True)]
+            arrays = [rows.column(rows.schema.get_field_index(c)) for c in names[: len(kept)]]
+            arrays += [pa.array(c, t) for c, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.mapInArrow(run, struct)
+    return plain.mapInArrow(run, struct).toDF(*[c for i, c in enumerate(df.columns) if i != at], *names[len(kept) :])

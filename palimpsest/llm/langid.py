@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, sampled, slices
+from .common import held_out, map_texts, numbered, sampled, slices
 
 #: Hash buckets of the n-grams.
 BUCKETS = 8192
@@ -33,7 +33,7 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def counts(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
-    """n-gram counts, a row for each text.  Characters are folded to lower case; whatever isn't a letter counts as one kind of gap."""
+    """n-gram counts, a row for each text.  Characters are folded to lower case; whatever of ASCII (and the signs up to U+00A9) isn't a letter counts as one kind of gap."""
     out = np.zeros((len(texts), buckets), np.float32)
     step = max(1, CELLS // buckets)
     for a in range(0, len(texts), step):
@@ -153,7 +153,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
 
         return run
 
-    got = map_texts(sample, f"id {rows.schema['id'].dataType.simpleString()}, lang string, rows binary, vals binary", start).collect()  # bounded by the sample
+    got = map_texts(sample, "rows binary, vals binary", start).collect()  # bounded by the sample
     got.sort(key=lambda r: (r.lang, str(r.id), r.rows))
     languages = sorted({r.lang for r in got})
     data = [(np.frombuffer(r.rows, np.int32), np.frombuffer(r.vals, np.float32).astype(float), languages.index(r.lang)) for r in got]
@@ -179,10 +179,8 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without its text, with lang_pred and score."""
-    kept = [f for f in docs.schema.fields if f.name != text_col]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
-    return map_texts(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs, schema, lambda: shipped.value.predict)
+    return map_texts(docs, "lang_pred string, score double", lambda: shipped.value.predict, text_col)
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -195,6 +193,6 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identified(docs: DataFrame, labelled: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, in which a language of labelled's training documents is found with at least min_score."""
     model = train(labelled.where(~held_out(F.col("doc_id"), 4, 2)))
-    names = docs.columns
-    judged = predict(docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in names], F.col(f"`{text_col}`").alias("text")), model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col(f"`_{c}`").alias(c) for c in names])
+    text = docs.columns.index(text_col)
+    judged = predict(numbered(docs).withColumn("text", F.col(f"_{text}")), model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).drop("lang_pred", "score").toDF(*docs.columns)

@@ -57,7 +57,7 @@ N_FEATURES = N_KINDS + 8
 
 
 def bag(raw: bytes) -> np.ndarray:
-    """A row of features for each passage of a text."""
+    """A row of features for each passage of a text.  Passages are cut by bytes: a cut may fall inside a character, whose bytes then count on both sides."""
     n = max(1, -(-len(raw) // PASSAGE))
     kinds = _KIND[np.frombuffer(raw, np.uint8)].astype(np.int64)
     place = np.arange(len(raw)) // PASSAGE * N_KINDS
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # An id may stand in many rows: the bound is put to rows, too.
     sample = sampled(rows.join(F.broadcast(chosen), "id"), "label", order, per_label).select("id", "label", "text")
-    got = map_texts(sample, f"id {rows.schema['id'].dataType.simpleString()}, label int, bag binary", lambda: lambda texts: [(bag(t).tobytes(),) for t in texts], as_bytes=True).collect()  # bounded by the sample
+    got = map_texts(sample, "bag binary", lambda: lambda texts: [(bag(t).tobytes(),) for t in texts], as_bytes=True).collect()  # bounded by the sample
     model = Attention()
     if len({r.label for r in got}) < 2:
         return model
@@ -170,7 +170,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Attention, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without its text, with score and predicted."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col] + ["score double, predicted int"])
 
     def start():
         def run(texts):
@@ -183,7 +182,7 @@ def score(docs: DataFrame, model: Attention, text_col: str = "text", threshold:
 
         return run
 
-    return map_texts(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs, schema, start, as_bytes=True)
+    return map_texts(docs, "score double, predicted int", start, text_col, as_bytes=True)
 
 
 def qualities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

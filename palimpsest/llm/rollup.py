@@ -19,6 +19,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,11 @@ COUNTERS: dict[str, Callable[[bytes], int]] = {"words/1": words, "pieces/1": pie
 
 def counted(docs: DataFrame, keep: list[str], texts: dict[str, str], counters: dict[str, Callable[[bytes], int]] = COUNTERS) -> DataFrame:
     """keep, and for each name in texts an array of its column's counts, in the order of counters."""
-    out = docs.select(*[F.col(c) for c in keep], *[F.col(c).alias(f"_t_{n}") for n, c in texts.items()])
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    out = docs.select(*map(quoted, keep), *[quoted(c).alias(f"_t_{n}") for n, c in texts.items()])
     count = list(counters.values())
     for n in texts:
-        done = [f for f in out.schema.fields if f.name != f"_t_{n}"]
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in done] + [f"`{n}` array<long>"])
-        out = map_texts(out.withColumnRenamed(f"_t_{n}", "text"), schema, lambda: lambda raws: [([f(r) for f in count],) for r in raws], as_bytes=True)
+        out = map_texts(out, f"`{n}` array<long>", lambda: lambda raws: [([f(r) for f in count],) for r in raws], f"_t_{n}", as_bytes=True)
     return out
 
 
@@ -111,22 +111,31 @@ class Rollup:
                 with_stream = fs.open(status.getPath())
                 text = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(with_stream)).decode()
                 with_stream.close()
-                if text:
+                if text.endswith("\n"):
                     found[status.getPath().getName()] = json.loads(text)
         return found
 
     def _mark(self, batch: str, content: dict) -> bool:
-        """The whole marker appears under its name at once, and only if none was there."""
-        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
-        draft = path(f"{self.path}/commits/.{batch}.{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(content).encode()))
+        """The marker under its name, only if none was there: it is created exclusively, which of several committers one alone can do.  A marker that its maker didn't finish holds no whole JSON line, counts for nothing, and is taken over."""
+        fs, marker = self._fs(), self._marker(batch)
+        line = json.dumps(content).encode() + b"\n"
+        if fs.exists(marker) and batch not in self.markers():
+            fs.delete(marker, False)
+        try:
+            out = fs.create(marker, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(line))
         out.close()
-        if fs.exists(self._marker(batch)) or not fs.rename(draft, self._marker(batch)):
-            fs.delete(draft, False)
-            return False
         return True
 
+    @staticmethod
+    def _named(batch: str) -> None:
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", batch):
+            raise ValueError(f"a batch needs a name of letters, digits, _ and -: {batch!r}")
+
     def _write(self, rows: DataFrame) -> str:
         data = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.groupBy(*self.KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(data)
@@ -134,9 +143,9 @@ class Rollup:
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Whether this call made the batch count; False where it counted already."""
-        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", batch):
-            raise ValueError(f"a batch needs a name of letters, digits, _ and -: {batch!r}")
-        if self._fs().exists(self._marker(batch)) or any(batch in m["covers"] for m in self.markers().values()):
+        self._named(batch)
+        marks = self.markers()
+        if batch in marks or any(batch in m["covers"] for m in marks.values()):
             return False
         data = self._write(rows)
         if self._mark(batch, {"data": data, "covers": []}):
@@ -149,11 +158,17 @@ class Rollup:
         covered = {c for m in marks.values() for c in m["covers"]}
         return {b: m["data"] for b, m in marks.items() if b not in covered}
 
-    def compact(self, name: str) -> None:
-        """Folds the batches of now into one; their names stay known."""
+    def compact(self, name: str) -> bool:
+        """Folds the batches of now into one; their names stay known.  True if this call did so.  Only one committer may compact at a time."""
+        self._named(name)
         live = self._live()
-        if live:
-            self._mark(name, {"data": self._write(self.spark.read.schema(self.SCHEMA).parquet(*live.values())), "covers": sorted({*live, *(c for m in self.markers().values() for c in m["covers"])})})
+        if not live:
+            return False
+        data = self._write(self.spark.read.schema(self.SCHEMA).parquet(*live.values()))
+        if self._mark(name, {"data": data, "covers": sorted({*live, *(c for m in self.markers().values() for c in m["covers"])})}):
+            return True
+        delete(self.spark, data)
+        return False
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens)."""
