@@ -7,7 +7,7 @@ from; the same detectors read the rewritten text, and their spans are mapped
 back to source characters.  A span that no rewriting touched is not added, and
 neither is one that overlaps a plain span of its kind.
 
-Null and empty texts have no spans.  Offsets count code points, ends excluded.
+Disguises are read in English, French, German and Spanish.  Null and empty texts have no spans.  Offsets count code points, ends excluded.
 Texts are taken whole; repeated rows give repeated results.
 """
 
@@ -21,7 +21,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, numbered
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -50,6 +50,11 @@ def _digits(s: str) -> str:
     return "".join([c for c in s if "0" <= c <= "9"])
 
 
+def octet(part: str) -> bool:
+    """Whether digits, however many, say at most 255."""
+    return len(part := part.lstrip("0")) <= 3 and int(part or 0) <= 255
+
+
 def emails(text: str) -> list[Span]:
     """A match holds one @ after its local part, so it is enough to look at each @: the match begins where the run before it begins."""
     found, at, free = [], text.find("@"), 0
@@ -68,7 +73,7 @@ def plain(text: str) -> list[Span]:
     """Spans of the fixed patterns, leftmost and non-overlapping in each kind, ordered by start and kind."""
     found = emails(text) if "@" in text else []
     if _DIGIT.search(text):
-        found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(map(octet, m[0].split(".")))]
         found += [(*m.span(), "card") for m in _CARD.finditer(text) if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -83,23 +88,64 @@ def ordered(spans) -> list[Span]:
 _LIKE = dict(zip("аеорсухіјѕԁһвмнтАВЕКМНОРСТХІЈЅοανριΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhbmhtABEKMHOPCTXIJSoavpiABEZHIKMNOPTYX", strict=True))
 _LIKE |= {"。": ".", "．": ".", "｡": ".", "․": ".", "·": ".", "＠": "@", "﹫": "@", "＋": "+", "﹢": "+", "‐": "-", "‑": "-", "‒": "-", "–": "-"}
 _HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-# Digits as words in English.
-_SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits as words in English, French, German and Spanish.
+_SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "una": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# The at sign and the dot as words of these languages.  Only words of one language go together where no bracket marks them.
+_SPOKEN = (("at", "dot"), ("arobase|arrobase", "point|dot"), ("arroba", "punto"), ("at|ät|klammeraffe", "punkt"))
+_AT, _DOT = ("|".join(dict.fromkeys(w for pair in _SPOKEN for w in pair[i].split("|"))) for i in (0, 1))
+_PLUS = "plus|más|mas"
+
+
+def _alike(c: str) -> str:
+    if c in _LIKE:
+        return _LIKE[c]
+    if c in _HIDDEN:
+        return ""
+    folded = unicodedata.normalize("NFKC", c)
+    if len(folded) == 1 and folded.isascii():
+        return folded
+    value = unicodedata.decimal(c, None)
+    return c if value is None else str(value)
+
+
+def _class(chars: list[int]) -> str:
+    """A character class of code points, in ranges."""
+    runs: list[list[int]] = []
+    for c in chars:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
 
-#: Characters that may need rewriting: outside ASCII and the Latin letters of European languages.
-_ODD = re.compile("[\u00ad\u00b7\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010-\u2013\u2024\u200b-\u200d\u2060\u3002\ufe62\ufe6b\ufeff\uff0b-\uff61\U0001d400-\U0001d7ff]+")
+#: Characters that the first transducer rewrites.  The planes above the second hold none.
+_ODD = re.compile(_class([c for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and _alike(chr(c)) != chr(c)]) + "+")
 _WORD = "|".join(_SPELLED)
+_DIGITS = rf"(?:(?:{_WORD}|[0-9])(?:[\s-](?:{_WORD}|[0-9])){{0,2}}|[0-9]{{1,3}})"
+_LABEL = "[A-Za-z0-9-]+"
+_MAIL = "|".join(rf"\s(?:{at})\s{_LABEL}(?:\s(?:{dot})\s{_LABEL})+" for at, dot in (*_SPOKEN,)) + rf"|@{_LABEL}(?:\s(?:{_DOT})\s{_LABEL})+"
 _RULES = re.compile(
-    r"(?P<at>\s{0,3}[\[({<]\s*(?:at|@)\s{0,3}[\])}>]\s{0,3}|(?<=\w)\s@\s(?=\w)|&(?:\#64|commat);)"
-    r"|(?P<dot>\s{0,3}[\[({<]\s*(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|&(?:\#46|period);)"
-    r"|(?<![\w@.%+-])(?P<plain>[A-Za-z0-9._%+-]+(?:\sat\s|@)[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+|[0-9]{1,3}(?:\sdot\s[0-9]{1,3}){3})(?!\w)"
-    rf"|(?<!\w)(?P<spelled>(?:plus[\s-]+)?(?:{_WORD})(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9])){{6,}})(?!\w)",
+    rf"(?P<at>\s{{0,3}}[\[({{<]\s*(?:{_AT}|@)\s{{0,3}}[\])}}>]\s{{0,3}}|(?<=\w)\s@\s(?=\w)|&(?:\#64|commat);)"
+    rf"|(?P<dot>\s{{0,3}}[\[({{<]\s*(?:{_DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|&(?:\#46|period);)"
+    rf"|(?<![\w@.%+-])(?P<plain>[A-Za-z0-9._%+-]+(?:{_MAIL}))(?!\w)"
+    rf"|(?<!\w)(?P<spelled>{_DIGITS}(?:\s(?:{_DOT})\s{_DIGITS}){{3}}|(?:(?:{_PLUS})[\s-]+)?(?:{_WORD})(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9])){{6,}})(?!\w)",
     re.IGNORECASE,
 )
 #: Found in every text that a rule can rewrite: each of its parts asks for less than the rule.
-_HINTS = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s[a-z0-9-]|\s@\s|&(?:\#64|\#46|commat|period);|(?<!\w)(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD}|[0-9])", re.IGNORECASE)
-_PLAIN_PART = re.compile(r"(\s(?:at|dot)\s)", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]", re.IGNORECASE)
+_HINTS = re.compile(
+    rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]|\s@\s|&(?:\#64|\#46|commat|period);|(?:\s(?:{_AT})\s|@){_LABEL}\s(?:{_DOT})\s"
+    rf"|(?:[0-9]|(?<!\w)(?:{_WORD}))\s(?:{_DOT})\s(?:{_WORD}|[0-9])|(?<!\w)(?:{_WORD})[\s,.-]{{1,2}}(?:{_WORD}|[0-9])",
+    re.IGNORECASE,
+)
+_PLAIN_PART = re.compile(rf"(\s(?:{_AT}|{_DOT})\s)", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"{_PLUS}|{_WORD}|{_DOT}|[0-9]", re.IGNORECASE)
+_SIGNS = {w: "@" for w in _AT.split("|")} | {w: "." for w in _DOT.split("|")} | {w: "+" for w in _PLUS.split("|")}
 
 
 class Rewritten:
@@ -133,18 +179,6 @@ class Rewritten:
         return begin, stop, stop - begin != end - start or any(self.sources[k][2] for k in range(i, j + 1))
 
 
-def _alike(c: str) -> str:
-    if c in _LIKE:
-        return _LIKE[c]
-    if c in _HIDDEN:
-        return ""
-    folded = unicodedata.normalize("NFKC", c)
-    if len(folded) == 1 and folded.isascii():
-        return folded
-    value = unicodedata.decimal(c, None)
-    return c if value is None else str(value)
-
-
 def unlike(text: str) -> Rewritten:
     """First transducer: characters drawn like others, compatibility forms, digits of other scripts, hidden characters."""
     out, done = Rewritten(), 0
@@ -168,13 +202,13 @@ def unspell(text: str) -> Rewritten:
             out.add("@" if m["at"] else ".", *m.span(), True)
         elif m["plain"]:
             for part in _PLAIN_PART.split(m[0]):
-                sign = {"at": "@", "dot": "."}.get(part.strip().lower()) if part[:1].isspace() else None
+                sign = _SIGNS.get(part.strip().lower()) if part[:1].isspace() else None
                 out.add(sign or part, at, at + len(part), bool(sign))
                 at += len(part)
         else:
             for x in _SPELLED_PART.finditer(m[0]):
                 word = x[0].lower()
-                out.add("+" if word == "plus" else _SPELLED.get(word, word), at + x.start(), at + x.end(), True)
+                out.add(_SIGNS.get(word) or _SPELLED.get(word, word), at + x.start(), at + x.end(), True)
     out.add(text[done:], done, len(text), False)
     return out
 
@@ -244,18 +278,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return run
 
     kept = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return map_texts(kept, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", start)
+    return map_texts(kept, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", start)
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, with the spans of every text masked.  A null text stays null."""
-    other = [c for c in docs.columns if c != text_col]
+    at = docs.columns.index(text_col)
 
     def start():
         return lambda texts: [(mask(t, find(t)[1]),) for t in texts]
 
-    names = docs.columns
-    plain_docs = docs.select(*[F.col(c) for c in other], F.col(text_col).isNull().alias("_no_text"), F.col(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain_docs.schema.fields if f.name != "text") + ", `_masked` string"
-    out = map_texts(plain_docs, schema, start)
-    return out.select(*[F.when(~F.col("_no_text"), F.col("_masked")).alias(text_col) if c == text_col else F.col(c) for c in names])
+    rows = numbered(docs).withColumn("text", F.col(f"_{at}")).withColumn(f"_{at}", F.col(f"_{at}").isNull())
+    out = map_texts(rows, "masked string", start)
+    return out.select(*[F.when(~F.col(f"_{i}"), F.col("masked")) if i == at else F.col(f"_{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
