@@ -2,17 +2,20 @@
 
 Two fingerprints that differ in at most d bits agree in one of d + 1 blocks of
 bits, and in one of d + 1 parts of the rest; each distinct fingerprint goes to
-the groups of its (block, part) values.  Within a group the fingerprints are
+the groups of its (block, part) values.  A group that is too large for a task
+is cut into parts, and each two of its parts meet in a task of their own.
+Groups are the roots of a Gray-order index: below a root the fingerprints are
 sorted by Gray rank, so that neighbours share long masked patterns.  Upper
 nodes hold those patterns; differences accumulate from node to node, and a
 pair of nodes that is too far apart is dropped with all below it.  A group
-gives one link from each of its linked fingerprints to the smallest document
-of its cluster, never all pairs.  Links are joined to components by star
-contraction on tables in the shared folder.
+gives one link from each of its linked fingerprints to the least of its
+cluster, never all pairs.  Links are joined to components by star contraction
+on tables in the shared folder.
 
 Texts without words (null, empty or blank) have fingerprint zero and link like
 any other.  Rows without an id keep their fingerprint, link nothing, and have a
-null component.  Repeated rows give repeated results.  Texts are taken whole.
+null component.  Repeated rows give repeated results; rows that share an id and
+differ in text are judged each by its own text.  Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_texts
+from .common import Workspace, map_texts, numbered
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Nodes of a level that are compared with one another at once.
 TILE = 2048
-#: Cut points of the index's levels: the first bits, then more of them.
+#: Cut points of the index's levels below the roots: the first bits, then more of them.
 LEVELS = (16, 32, 48, 64)
+#: Fingerprints of a group from which on it is cut into parts of about as many.
+PART = 8192
 
 
 def shingle_hashes(raw: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -58,8 +63,7 @@ def fingerprints_of(texts: list[bytes]) -> list[int]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp as the signed long of the same 64 bits."""
-    kept = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return map_texts(kept, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long", lambda: lambda texts: [(x,) for x in fingerprints_of(texts)], as_bytes=True)
+    return map_texts(docs.select(id_col, text_col), "fp long", lambda: lambda texts: [(x,) for x in fingerprints_of(texts)], text_col, as_bytes=True)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -87,24 +91,24 @@ class Clusters:
 
 
 class GrayIndex:
-    """Distinct fingerprints in Gray order under nodes of shared leading bits."""
+    """Distinct codes of several groups, in Gray order under nodes of shared leading bits; the groups are the roots."""
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes = codes[self.order]
-        # Leading bits of a code and of its rank name one another, so each pattern is one run of the order.
+    def __init__(self, codes: np.ndarray, groups: np.ndarray):
+        self.order = np.lexsort((gray_rank(codes), groups))
+        self.codes, groups = codes[self.order], groups[self.order]
+        new_group = np.r_[True, groups[1:] != groups[:-1]]
+        # Leading bits of a code and of its rank name one another, so each pattern is one run of its group.
         self.levels = []
-        for bits in LEVELS:
-            pattern = self.codes >> np.uint64(64 - bits)
-            starts = np.flatnonzero(np.r_[True, pattern[1:] != pattern[:-1]])
+        for bits in (0, *LEVELS):
+            pattern = self.codes >> np.uint64(64 - bits) if bits else np.zeros(len(codes), np.uint64)
+            starts = np.flatnonzero(new_group | np.r_[True, pattern[1:] != pattern[:-1]])
             self.levels.append((pattern[starts], starts))
 
     def pairs(self, most: int):
-        """Places (i, j), i < j in the order, of codes that differ in at most most bits; in bounded runs."""
-        n = len(self.levels[0][0])
-        for a in range(0, n, TILE):
-            for b in range(a, n, TILE):
-                yield from self._tile(0, np.arange(a, min(n, a + TILE)), np.arange(b, min(n, b + TILE)), most)
+        """Places (i, j), i < j in the order, of codes of one group that differ in at most most bits; in bounded runs."""
+        roots = np.arange(len(self.levels[0][0]))
+        for a in range(0, len(roots), TILE):
+            yield from self._down(0, roots[a : a + TILE], roots[a : a + TILE], most)
 
     def _tile(self, level: int, left: np.ndarray, right: np.ndarray, most: int):
         patterns, _ = self.levels[level]
@@ -149,22 +153,16 @@ class GrayIndex:
         return first, np.r_[first[1:], len(below)]
 
 
-def links(codes: np.ndarray, names: np.ndarray, most: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """(name, least name of its cluster) for the codes of a group that link to a lesser one."""
-    clusters = Clusters(len(codes))
-    order = np.argsort(names, kind="stable")
+def links(codes: np.ndarray, groups: np.ndarray, most: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(code, least code of its cluster) for the codes that link to a lesser one of their group."""
+    index, clusters = GrayIndex(codes, groups), Clusters(len(codes))
+    order = np.argsort(index.codes, kind="stable")
     place = np.empty(len(codes), np.int64)
-    place[order] = np.arange(len(codes))  # clusters are named by the rank of their least name
-    if len(codes) <= 64:
-        i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= most, 1))
+    place[order] = np.arange(len(codes))  # clusters are named by the rank of their least code
+    for i, j in index.pairs(most):
         clusters.join(place[i], place[j])
-    else:
-        index = GrayIndex(codes)
-        for i, j in index.pairs(most):
-            clusters.join(place[index.order[i]], place[index.order[j]])
-    root = clusters.root
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return names[order[moved]], names[order[root[moved]]]
+    moved = np.flatnonzero(clusters.root != np.arange(len(codes)))
+    return index.codes[order[moved]], index.codes[order[clusters.root[moved]]]
 
 
 def _keys(d: int = DISTANCE):
@@ -185,40 +183,47 @@ def _keys(d: int = DISTANCE):
     return F.array(*out)
 
 
-def candidate_links(distinct: DataFrame) -> DataFrame:
-    """(a, b), b < a: links between the documents named rep of distinct fingerprints (fp, rep)."""
+def candidate_links(distinct: DataFrame, work: Workspace, part: int = PART) -> DataFrame:
+    """(a, b): links of distinct fingerprints fp, each to the least of its cluster in a group."""
 
     def run(batches):
-        # Rows come sorted by key; the last group of a batch may go on in the next one.
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        key_held = None
-
-        def groups(key, fp, rep):
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[starts[1:], len(key)]
-            out = [links(fp[a:b], rep[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1]
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-            if len(a):
-                pairs = np.unique(np.column_stack([a, b]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        # Rows come sorted by group; the last group of a batch may go on in the next one.
+        held: list[np.ndarray] = []  # of (key, cell, fp) rows
+        last = None
+
+        def found():
+            rows = np.concatenate(held, axis=1)
+            group = np.cumsum(np.r_[False, (np.diff(rows[:2]) != 0).any(0)])
+            alone = np.bincount(group) < 2
+            rows, group = rows[2][~alone[group]], group[~alone[group]]
+            if len(rows):
+                pairs = np.unique(np.column_stack(links(rows.view(np.uint64), group)), axis=0).view(np.int64)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, fp, rep = (batch.column(i).to_numpy() for i in range(3))
-            fp = fp.view(np.uint64)
-            cut = int(np.searchsorted(key, key[-1]))  # what stands before the last group is whole
-            if key_held is not None and key[-1] == key_held:
-                held.append((key, fp, rep))
-                continue
-            held.append((key[:cut], fp[:cut], rep[:cut]))
-            yield from groups(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held, key_held = [(key[cut:], fp[cut:], rep[cut:])], key[-1]
+            rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cut = int(np.flatnonzero(np.r_[True, (np.diff(rows[:2]) != 0).any(0)])[-1])  # what stands before the last group is whole
+            if cut or tuple(rows[:2, 0]) != last:
+                held.append(rows[:, :cut])
+                yield from found()
+                held.clear()
+            held.append(rows[:, cut:])
+            last = tuple(rows[:2, -1])
         if held:
-            yield from groups(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from found()
 
-    keyed = distinct.select(F.explode(_keys()).alias("key"), "fp", "rep")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    keyed = distinct.select(F.explode(_keys()).alias("key"), "fp")
+    hot = work.table(keyed.groupBy("key").count().where(F.col("count") > part).select("key", F.ceil(F.col("count") / part).alias("parts")), "hot")
+    # A code of part p goes to the cells of p with each other part: every two parts meet, and what lies in one part meets itself.
+    own = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != F.col("own"))
+    cells = F.transform(others, lambda q: F.least(q, "own") * F.col("parts") + F.greatest(q, "own"))
+    placed = keyed.join(hot, "key", "left").withColumn("own", own)
+    celled = placed.select("key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(cells)).alias("cell"), "fp")
+    return celled.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
@@ -256,27 +261,45 @@ def components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFrame:
+    """Rows (id, digest, fp, root, least): of every row of docs its text's digest and fingerprint, the fingerprint that names its component, and the least id there."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("digest"), F.col(f"`{text_col}`").alias("text"))
+    marked = work.table(map_texts(rows, "fp long", lambda: lambda texts: [(x,) for x in fingerprints_of(texts)], as_bytes=True), "marked")
+    distinct = work.table(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "distinct")
+    roots = components(candidate_links(distinct, work), work)
+    named = work.table(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    return marked.join(named.join(least, "root").select("fp", "root", "least"), "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): component_id is the least id that can be reached over links of at most three bits."""
-    work = Workspace(docs.sparkSession, "simhash")
-    marked = work.table(fingerprints(docs, id_col, text_col), "marked")
-    distinct = work.table(marked.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "distinct")
-    roots = components(candidate_links(distinct), work)
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = marked.join(named, "fp", "left")
-    return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+    out = _marked(docs, id_col, text_col, Workspace(docs.sparkSession, "simhash"))
+    return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("least")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, one of each component: that with the least id.  Rows without an id stay."""
+    """The rows of docs, with their columns, one of each component: that with the least id.
+
+    Of rows with that id in the component the one with the least digest of its
+    text stays, and of rows that share both the one whose other columns come
+    first as JSON.  Rows without an id stay.
+    """
     work = Workspace(docs.sparkSession, "dedup")
-    found = work.table(near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(id_col, "component_id"), "components")
-    gone = work.table(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if found.count() > found.select(id_col).distinct().count():  # ids that stand in several rows
-        named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = named.union(kept.where(F.col(id_col).isNull()))
-    return kept
+    found = work.table(_marked(docs, id_col, text_col, work).where("id IS NOT NULL").groupBy("root", "id", "digest").count(), "found")
+    first = found.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first"))
+    judged = work.table(found.join(first, "root").select("id", "digest", (F.col("first") == F.struct("id", "digest")).alias("kept"), (F.col("count") > 1).alias("many")), "judged")
+    at = docs.columns.index(id_col), docs.columns.index(text_col)
+    rows = numbered(docs).withColumns({"id": F.col(f"_{at[0]}"), "digest": F.xxhash64(f"_{at[1]}")})
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    kept = rows.join(judged.where("NOT kept").select("id", "digest"), ["id", "digest"], "left_anti")
+    repeated = work.table(judged.where("kept AND many").select("id", "digest"), "repeated")
+    if not repeated.isEmpty():
+        several = kept.join(repeated, ["id", "digest"], "left_semi")
+        whole, others = F.struct(*names), F.to_json(F.struct(*[n for n in names if n != f"_{at[1]}"]))
+        one = several.groupBy("id", "digest").agg(F.min_by(whole, others).alias("row")).select("row.*")
+        return kept.join(repeated, ["id", "digest"], "left_anti").select(*names).union(one).toDF(*docs.columns)
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:
