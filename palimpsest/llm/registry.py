@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decon, langid, lm, pii, quality, rollup, secrets, simhash
-from .common import read, shared_dir
+from .common import forget, read, shared_dir
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("revised", F.regexp_replace("text", "[&$#%*!|]", ""))
     toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     ledger = rollup.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex[:12]}")
+    forget(spark, ledger.path)
     path = f"{ledger.path}/documents"
     rollup.counted(docs, ["doc_id", "source", "lang"], {"before": "text", "after": "revised"}).write.parquet(path)
     counts = spark.read.parquet(path)
@@ -100,11 +101,9 @@ dw AS (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
 m AS (SELECT r, item, dw.n AS n, i FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY r),
 t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY r),
-runs AS (SELECT DISTINCT r, item, n, i, ip FROM (SELECT dw.r, b1.item, dw.n, dw.i, b1.i AS ip FROM dw JOIN
-         (SELECT item, least(10, len(w)) AS n, i, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS g
-          FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)) b1 ON dw.n = b1.n AND dw.g = b1.g)),
-isl AS (SELECT r, item, n, i, i - row_number() OVER (PARTITION BY r, item, n, i - ip ORDER BY i) AS k, i - ip AS diag FROM runs),
-l AS (SELECT r, max(c) AS longest FROM (SELECT r, n + count(*) - 1 AS c FROM isl GROUP BY r, item, n, diag, k) GROUP BY r)
+same AS (SELECT x.r, y.k, x.i, x.i - y.i AS diag FROM (SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d) x
+         JOIN (SELECT k, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS k, w FROM (SELECT DISTINCT w FROM b))) y USING (v)),
+l AS (SELECT r, max(c) AS longest FROM (SELECT r, count(*) AS c FROM (SELECT r, k, diag, i - row_number() OVER (PARTITION BY r, k, diag ORDER BY i) AS run FROM same) GROUP BY r, k, diag, run) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN l USING (r)""",
