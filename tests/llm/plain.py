@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Texts that a table may hold: null, empty, blank, one word, repeated, very long, other scripts.
-ODD_TEXTS = [None, "", "   \n\t", "word", "word", "a b", "a b", "ÀÉ ñ ü ß 日本語 😀 text", "x " * 30_000, "y" * 50_000, "1234567890", "!!! ??? ...", "1" * 60_000, " " * 60_000, "-" * 60_000, "[ " * 30_000, "password=" + "as" * 30_000, "token: " + "é" * 9 + "0123456789abcdef" * 2]
+ODD_TEXTS = [None, "", "   \n\t", "word", "word", "a b", "a b", "ÀÉ ñ ü ß 日本語 😀 text", "x " * 30_000, "y" * 50_000, "1234567890", "!!! ??? ...", "1" * 60_000, "1" * 5_000 + ".1.1.1 and " + "0" * 5_000 + "1.2.3.4", " " * 60_000, "-" * 60_000, "[ " * 30_000, "password=" + "as" * 30_000, "token: " + "é" * 9 + "0123456789abcdef" * 2]
 
 
 def fold(text):
@@ -66,10 +66,22 @@ def overlap(docs, items, window=10):
     return out
 
 
+def longest_overlap(text, items):
+    """Words of the longest run that text shares with an item."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    ws, best = split(text), 0
+    for item in items:
+        before = [0] * (len(ws) + 1)
+        for w in split(item):
+            before = [0] + [before[i] + 1 if w == v else 0 for i, v in enumerate(ws)]
+            best = max(best, *before)
+    return best
+
+
 def pii_base(text):
     text = text or ""
     found = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    found += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    found += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(re.fullmatch("0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])", x) for x in m[0].split("."))]
 
     def luhn(s):
         ds = [int(c) for c in s][::-1]
@@ -91,6 +103,33 @@ def secret_base(text):
     return shown(found, ("assign", "access", "hex"))
 
 
+def span_cost(v, rank, near):
+    """log10 of the guesses for a whole value as one span."""
+    low, size = v.lower(), lambda c: 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
+    costs = [sum(math.log10(size(c)) for c in v)]
+    if low in rank:
+        costs.append(math.log10(rank[low] * (1 if v == low else 2) + 1))
+    year, month, day = "(19|20)[0-9][0-9]", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
+    for form, many in ((year, 120), (f"{year}[-/.]?{month}", 1440), (f"{year}[-/.]?{month}[-/.]?{day}", 43800), (f"{day}[-/.]?{month}[-/.]?{year}", 43800)):
+        if re.fullmatch(form, v):
+            costs.append(math.log10(many))
+    for n in (1, 2, 3, 4):
+        if len(v) >= 3 * n and low == low[:n] * (len(v) // n):
+            costs.append(sum(math.log10(size(c)) for c in low[:n]) + math.log10(len(v) // n))
+    if len(v) >= 4 and all(b in near.get(a, ()) for a, b in zip(low, low[1:], strict=False)):
+        costs.append(math.log10(141 * len(v)))
+    return min(costs)
+
+
+def guess_cost(v, rank, near):
+    """The least cost of all cuts of a value."""
+    best, cost = math.inf, {(i, j): span_cost(v[i:j], rank, near) for j in range(len(v) + 1) for i in range(j)}
+    for cuts in range(2 ** (len(v) - 1)):
+        ends = [i + 1 for i in range(len(v) - 1) if cuts >> i & 1] + [len(v)]
+        best = min(best, sum(cost[p] for p in zip([0, *ends], ends, strict=False)) + math.log10(5) * (len(ends) - 1))
+    return best
+
+
 def shown(found, kinds):
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(found, key=lambda s: (s[0], kinds.index(s[2]))))
 

@@ -230,7 +230,9 @@ def test_pii_base(small, odd):
     [
         ("write to jo.e [at] host [dot] com now", ["jo.e [at] host [dot] com"]), ("mail jo at host dot com", ["jo at host dot com"]), ("jo＠host．com", ["jo＠host．com"]), ("аnnа@host.com", ["аnnа@host.com"]),
         ("plus one two three four five six seven eight nine", ["plus one two three four five six seven eight nine"]), ("card four one one one one one one one one one one one one one one one.", ["four one one one one one one one one one one one one one one one"]),
-        ("４１１１ 1111 1111 1111", ["４１１１ 1111 1111 1111"]), ("we met at noon and dot the i", []), ("one two three", []), ("jo@\u200bhost.com", ["jo@\u200bhost.com"]), ("look at this. Dot com", []), ("jo@host dot co dot uk", ["jo@host dot co dot uk"]), ("ip 10 dot 0 dot 0 dot 7!", ["10 dot 0 dot 0 dot 7"]), ("jo @ host.com", ["jo @ host.com"]), ("two @ 5.99 each", []), ("jo&#64;host.com", ["jo&#64;host.com"]), ("look at example.com", []), ("one by one at ten", []), ("", []),
+        ("４１１１ 1111 1111 1111", ["４１１１ 1111 1111 1111"]), ("we met at noon and dot the i", []), ("one two three", []), ("jo@\u200bhost.com", ["jo@\u200bhost.com"]), ("look at this. Dot com", []), ("jo@host dot co dot uk", ["jo@host dot co dot uk"]), ("ip 10 dot 0 dot 0 dot 7!", ["10 dot 0 dot 0 dot 7"]), ("jo @ host.com", ["jo @ host.com"]), ("two @ 5.99 each", []), ("jo&#64;host.com", ["jo&#64;host.com"]), ("look at example.com", []), ("écrire à jo arobase exemple point fr demain", ["jo arobase exemple point fr"]), ("jo (arroba) sitio (punto) es", ["jo (arroba) sitio (punto) es"]), ("mail an jo ät haus punkt de", ["jo ät haus punkt de"]), ("jo [at] haus [Punkt] de", ["jo [at] haus [Punkt] de"]),
+        ("we arrive at that point we know", []), ("más tres cuatro nueve uno dos cero ocho siete cinco.", ["más tres cuatro nueve uno dos cero ocho siete cinco"]), ("plus drei null eins zwei vier fünf sechs sieben acht", ["plus drei null eins zwei vier fünf sechs sieben acht"]), ("plus trois zéro un deux quatre cinq six sept huit", ["plus trois zéro un deux quatre cinq six sept huit"]),
+        ("ip one nine two dot one six eight dot one dot one.", ["one nine two dot one six eight dot one dot one"]), ("ip 10 point 0 point 0 point 7!", ["10 point 0 point 0 point 7"]), ("১০.০.০.৭", ["১০.০.০.৭"]), ("un point sur deux points", []), ("one by one at ten", []), ("", []),
     ],
 )
 def test_pii_disguised(text, found):
@@ -247,7 +249,7 @@ def test_pii_base_stays_where_disguises_are_added():
 
 def test_pii_pre_check_hides_nothing(monkeypatch):
     rng = np.random.default_rng(4)
-    parts = ["plus", "one", "Two", "oh", "nine", "7", "4", "0", " ", " ", " ", "-", ", ", ".", "+", "x", " at ", " dot ", "@", " @ ", "[at]", "( dot )", "&#64;", "&period;", "jo", "host", "-a", "12"]
+    parts = [" arobase ", " point ", " punkt ", "(arroba)", "[ punto ]", "drei", "fünf", "un", "más", "plus", "one", "Two", "oh", "nine", "7", "4", "0", " ", " ", " ", "-", ", ", ".", "+", "x", " at ", " dot ", "@", " @ ", "[at]", "( dot )", "&#64;", "&period;", "jo", "host", "-a", "12"]
     texts = ["".join(rng.choice(parts, rng.integers(4, 30))) for _ in range(20_000)]
     texts += ["call +four 4 two 0 seven 9 four 6 one now", "one 2 3 4 5 6 7 8 9", "jo at host dot -a.org"]
     with_check = [pii.find(t) for t in texts]
@@ -256,6 +258,21 @@ def test_pii_pre_check_hides_nothing(monkeypatch):
     assert with_check == [pii.find(t) for t in texts]
 
 
+def test_pii_knows_every_character_it_rewrites():
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    assert [c for c in chars if pii._alike(c) != c] == [c for c in chars if pii._ODD.fullmatch(c)]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "_text", "_masked", "_no_text", "text`s", "_0", "component_id", "m"]
+    docs = spark.createDataFrame([(1, "to a@b.c", "en", "s", 8, 1, "x", "y", True, 2, 3, 4, 5), (2, "nothing here", "en", "s", 12, 1, "x", "y", True, 2, 3, 4, 5)], names)
+    bench = spark.createDataFrame([(1, "nothing here")], "item_id long, text string")
+    assert pii.masked(docs).columns == names and sorted(r.text for r in pii.masked(docs).collect()) == ["nothing here", "to [EMAIL]"]
+    for out, n in ((decon.decontaminated(docs, bench), 1), (simhash.deduplicated(docs), 2), (langid.identified(docs, docs, 0.0), 2)):
+        assert out.columns == names and out.count() == n
+    assert rollup.counted(docs, ["a.b", "text`s"], {"n": "text"}).columns == ["a.b", "text`s", "n"]
+
+
 def test_pii_masked(spark, odd, empty):
     out = pii.masked(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -305,7 +322,7 @@ def test_ann(spark):
 def test_decon(spark, empty):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]
-    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 10, 14])))) for i in range(8)] + [(20, ""), (21, None), (22, "?!")]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 10, 14])))) for i in range(8)] + [(20, ""), (21, None), (22, "?!"), (0, "w1 w2 w3"), (0, " ".join(words)), (None, "w4 w4")]
     docs = []
     for i in range(40):
         parts = rng.choices(words + ["other", "Thing,"], k=rng.randrange(60))
@@ -315,22 +332,43 @@ def test_decon(spark, empty):
         docs.append(rng.choice([" ", ", ", "\n"]).join(parts))
     docs += plain.ODD_TEXTS
     df, bench = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
+    items = [("null" if i is None else i, t) for i, t in items]
     want = plain.overlap(docs, items)
+    longest = [plain.longest_overlap(t, [x for _, x in items]) for t in docs]
     for size in (decon.BLOCK_BYTES, 150):
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decon.contamination(df, bench, block_bytes=size).collect()}
         assert got == dict(enumerate(want))
-    kept = decon.decontaminated(df, bench)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, w in enumerate(want) if not w[-1]}
+        assert {r.doc_id: r.longest for r in decon.contamination(df, bench, block_bytes=size).collect()} == dict(enumerate(longest))
+        kept = decon.decontaminated(df, bench, block_bytes=size)
+        assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, w in enumerate(want) if not w[-1]}
     assert decon.contamination(empty, bench).collect() == [] and decon.decontaminated(empty, bench).collect() == []
     assert not any(r.contaminated for r in decon.contamination(df, bench.limit(0)).collect())
 
 
-def test_decon_longest_match(spark):
+def test_decon_matches(spark):
     item = " ".join(f"t{i}" for i in range(30))
-    doc = "x y " + " ".join(f"t{i}" for i in range(5, 22)) + " z " + " ".join(f"t{i}" for i in range(10))
-    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
-    m = decon.overlaps(documents(spark, [doc]), bench).first().matches
-    assert [(x["item"], x["word"], x["item_word"], x["length"]) for x in m] == [("7", 2, 5, 17)]
+    doc = "x y " + " ".join(f"t{i}" for i in range(5, 22)) + " z " + " ".join(f"t{i}" for i in range(10)) + " zz t1 t2 s s"
+    bench = spark.createDataFrame([(7, item), (8, "s s")], "item_id long, text string")
+    for size in (decon.BLOCK_BYTES, 40):
+        r = decon.overlaps(documents(spark, [doc, "t3 t4 t5 t6 t7 t8 t9 t10 t11 and no more"]), bench, block_bytes=size).orderBy("_0").collect()
+        assert [(x["item"], x["word"], x["item_word"], x["length"]) for x in r[0].matches] == [("7", 2, 5, 17), ("7", 20, 0, 10), ("8", 33, 0, 2)]
+        assert (r[0].longest, r[0]["items"], r[1].longest, r[1]["items"], r[1].hits) == (17, ["7", "8"], 9, [], [])
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(0)
+    for depth in (3, 100):
+        for _ in range(200):
+            ids = np.r_[rng.integers(0, 4, rng.integers(1, 60)), 0]
+            suffix = lambda i: tuple(ids[i : i + np.flatnonzero(ids[i:] == 0)[0]][:depth].tolist())  # noqa: E731, B023
+            got = decon.suffix_array(ids, depth)
+            assert sorted(got.tolist()) == np.flatnonzero(ids).tolist() and [suffix(i) for i in got] == sorted(suffix(i) for i in got)
+
+
+def test_decon_holds_no_grid_of_places_and_items():
+    block = decon.Block([(str(i), b"a") for i in range(1000)] + [(f"x{i}", b"a " * (i % 9 + 1) + b"b") for i in range(1000)] + [("long", b"a " * 300)])
+    n, hits, items, _, longest = decon.search([b"a " * 200_000, b"a"], block)[0]
+    assert (n, len(hits), len(items), longest) == (200_000, 200_000, 1001, 300)
 
 
 # 7
@@ -356,6 +394,20 @@ def test_guess_cost():
     assert secrets.find("the password is changeme!".encode())[1] == [] and secrets.find(b"a password reset is needed")[1] == []
 
 
+def test_guess_cost_is_the_least_of_all_cuts():
+    rng = random.Random(6)
+    parts = ["aaa", "abab", "abcabcabc", "1999", "20240131", "31.12.2001", "qwer", "asdfgh", "love", "Dog", "PASS", "x", "7", "$", "É", "zz", "the", "cat", "1q2w", "aaaa"]
+    values = ["".join(rng.choices(parts, k=rng.randrange(1, 5)))[:11] for _ in range(250)] + ["aaaaaaaabc", "passsssword", "121212123", "ababababcat", "qwertyyyy", "19991231"]
+    rank, _ = secrets.ranks(secrets.VOCABULARY)
+    for v in values:
+        assert secrets.guess_cost(v) == pytest.approx(plain.guess_cost(v, rank, secrets._NEAR), abs=1e-9), v
+
+
+def test_words_cost_their_rank():
+    assert secrets.find(b"the password is incorrect")[1] == [] and secrets.find(b"my token is important, the secret is happiness")[1] == []
+    assert secrets.guess_cost("correcthorsebatterystaple") < 20
+
+
 def test_secrets_odd(odd, empty):
     assert secrets.secrets(odd).count() == odd.count() and secrets.secrets(empty).collect() == []
 
@@ -364,6 +416,7 @@ def test_secrets_long_values_are_cut_as_one():
     raw = b"password is " + b"x" * 600
     assert secrets.find(raw) == ([], [])
     assert secrets.guess_cost("x" * 600) == pytest.approx(np.log10(26 * 600))
+    assert [secrets.find(b"my password is " + b"z" * n)[1] for n in (256, 257, 768)] == [[], [], []]
     walk = "qwertyuioplkjhgfdsa" * 2_000  # one walk of 38,000 keys, and repeats of 19 are none
     assert secrets.guess_cost(walk) <= np.log10(141 * len(walk)) + 1e-9
 
@@ -446,18 +499,54 @@ def test_simhash_odd(spark, odd, empty):
     assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in got if r.component_id is not None}) and ids.count(None) == 1
 
 
-@pytest.mark.parametrize("size", [5, 60, 300, 2500])
-def test_gray_index_finds_all_pairs(size):
+def near_codes(size):
     rng = np.random.default_rng(size)
     codes = rng.integers(0, 2**63, max(2, size // 20), dtype=np.uint64)[rng.integers(0, max(2, size // 20), size)]
     for _ in range(4):
         codes = codes ^ np.where(rng.random(size) < 0.6, np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64), np.uint64(0))
-    codes = np.unique(codes)
-    index, found = simhash.GrayIndex(codes), set()
+    return np.unique(codes)
+
+
+@pytest.mark.parametrize("size", [5, 60, 300, 2500])
+def test_gray_index_finds_all_pairs(size):
+    codes = near_codes(size)
+    groups = np.random.default_rng(1).integers(0, 3, len(codes))
+    index, found = simhash.GrayIndex(codes, groups), []
     for i, j in index.pairs(3):
-        found |= {(min(p), max(p)) for p in zip(index.order[i].tolist(), index.order[j].tolist(), strict=True)}
-    i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3, 1))
-    assert found == set(zip(i.tolist(), j.tolist(), strict=True))
+        found += [(min(p), max(p)) for p in zip(index.order[i].tolist(), index.order[j].tolist(), strict=True)]
+    near = (np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3) & (groups[:, None] == groups[None, :])
+    i, j = np.nonzero(np.triu(near, 1))
+    assert sorted(found) == sorted(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_groups_in_parts_lose_no_link(spark):
+    from palimpsest.llm.common import Workspace
+
+    codes = near_codes(1500)
+    rows = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long").repartition(4)
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3
+    want = np.arange(len(codes))
+    for _ in range(len(codes)):
+        less = np.where(near, want[None, :], len(codes)).min(1)
+        if (less == want).all():
+            break
+        want = less
+    for part in (simhash.PART, 7):
+        work = Workspace(spark, "t")
+        edges = simhash.candidate_links(rows, work, part)
+        root = {r.node: r.root for r in simhash.components(edges, work).collect()}
+        got = [root.get(int(c), int(c)) for c in codes.view(np.int64)]
+        assert len(set(zip(got, want.tolist(), strict=True))) == len(set(got)) == len(set(want.tolist()))
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black brown pink")
+    rows = [(3, b, "x"), (5, a, "y"), (5, b, "z"), (6, c, "q"), (6, c, "p"), (6, c, "p"), (7, c, "a"), (5, c, "w"), (5, a, "y"), (None, a, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = sorted((r.doc_id or 0, r.text, r.lang) for r in simhash.deduplicated(df).collect())
+    assert kept == sorted([(0, a, "n"), (3, b, "x"), (5, a, "y"), (5, c, "w")])
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert sorted(v for v in got.values() if v is not None) == [3, 3, 5, 5, 5, 5] and got[(None, simhash.fingerprints_of([a.encode()])[0])] is None
 
 
 def test_components_of_long_paths_and_hubs(spark):
