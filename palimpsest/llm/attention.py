@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 
 #: Tokens of a window; a window starts every STRIDE tokens, so all but a text's first tokens see at least CONTEXT - STRIDE others.
-CONTEXT, STRIDE = 32, 28
+CONTEXT, STRIDE = 32, 16
 #: Windows that are worked on at once: their logits stay in a core's cache.
 WINDOWS = 64
 
@@ -40,6 +42,12 @@ class Attention:
         i, j = np.indices((CONTEXT, CONTEXT))
         self.distance, self.seen = np.clip(i - j, 0, CONTEXT - 1), i >= j
 
+    def copy(self) -> Attention:
+        """A model of its own with the same weights."""
+        out = copy(self)
+        out.p = dict(self.p)  # arrays are replaced, never changed
+        return out
+
     @property
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
@@ -52,21 +60,30 @@ class Attention:
             self.p[k] = values[start : start + size].reshape(self.p[k].shape).astype(np.float32)
             start += size
 
-    def _hidden(self, c: np.ndarray):
-        """c: windows x tokens of classes."""
+    def _weights(self) -> np.ndarray:
+        """The projections of a symbol's vector side by side: query (scaled), key, value, now and before."""
+        p = self.p
+        return np.hstack([p["Q"] * np.float32(1 / np.sqrt(p["Q"].shape[1])), p["K"], p["V"], p["A"], p["B"]])
+
+    def _hidden(self, c: np.ndarray, weights: np.ndarray):
+        """c: windows x tokens of symbols."""
         p, n = self.p, c.shape[1]
-        x = p["E"][c]
-        q, k, v = x @ (p["Q"] * np.float32(1 / np.sqrt(p["Q"].shape[1]))), x @ p["K"], x @ p["V"]
+        x = p["E"].take(c, 0)
+        head, width = p["Q"].shape[1], x.shape[2]
+        hidden = p["A"].shape[1]
+        made = x @ weights
+        q, k, v, now, before = np.split(made, np.cumsum([head, head, width, hidden]), axis=2)
         w = q @ k.transpose(0, 2, 1)
         w += np.where(self.seen, p["R"][self.distance], np.float32(-1e9))[:n, :n]
         np.minimum(w, np.float32(60), out=w)  # in place of a maximum for each row
         np.exp(w, out=w)
-        w /= (w @ np.ones(n, np.float32))[:, :, None]
+        w *= (1 / (w @ np.ones(n, np.float32)))[:, :, None]
         a = w @ v
-        before = np.zeros_like(x)
-        before[:, 1:] = x[:, :-1]
-        h = np.tanh(x @ p["A"] + before @ p["B"] + a @ p["D"] + p["b"])
-        return x, before, q, k, v, w, a, h
+        h = a @ p["D"]
+        h += now
+        h += p["b"]
+        h[:, 1:] += before[:, :-1]
+        return x, q, k, v, w, a, np.tanh(h, out=h)
 
     def ready(self) -> Attention:
         """For scoring: what depends on a symbol alone becomes a table, and weights that could pass what exp() of a float holds are scaled down."""
@@ -83,27 +100,33 @@ class Attention:
         self.bias = np.where(self.seen, p["R"][self.distance], np.float32(-1e9))
         return self
 
-    def _hidden_by_table(self, c: np.ndarray) -> np.ndarray:
+    def _hidden_by_table(self, c: np.ndarray, first: int = 0) -> np.ndarray:
+        """For the places of each window from first on."""
         q, k, v, now, before = self.tables
-        w = np.matmul(q.take(c, 0), k.take(c, 0).transpose(0, 2, 1))
-        w += self.bias[: c.shape[1], : c.shape[1]]
+        w = np.matmul(q.take(c[:, first:], 0), k.take(c, 0).transpose(0, 2, 1))
+        w += self.bias[first : c.shape[1], : c.shape[1]]
         np.exp(w, out=w)
         a = np.matmul(w, v.take(c, 0))  # its last column is the sum of the weights
         h = a[:, :, :-1] * (1 / a[:, :, -1:])
-        h += now.take(c, 0)
-        h[:, 1:] += before.take(c[:, :-1], 0)
+        h += now.take(c[:, first:], 0)
+        begin = max(first, 1)
+        h[:, begin - first :] += before.take(c[:, begin - 1 : -1], 0)
         return np.tanh(h, out=h)
 
     def log_probabilities(self, c: np.ndarray, first: np.ndarray, size: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Of the scored targets, in order, after ready().  c: windows x symbols; t: the symbols that follow; each window's places from first up to size are scored."""
-        out = []
-        at = np.arange(c.shape[1])
+        many = size - first
+        begin = np.cumsum(many) - many
+        out = np.empty(int(many.sum()), np.float32)
         step = 12 * WINDOWS
-        for i in range(0, len(c), step):
-            real = (at >= first[i : i + step, None]) & (at < size[i : i + step, None])
-            h = np.concatenate([self._hidden_by_table(c[j : j + WINDOWS])[real[j - i : j - i + WINDOWS]] for j in range(i, min(len(c), i + step), WINDOWS)])
-            out.append(self._outcome(h, t[i : i + step][real]))
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
+        for f in np.unique(first).tolist():
+            chosen, at = np.flatnonzero(first == f), np.arange(f, c.shape[1])
+            for i in range(0, len(chosen), step):
+                part = chosen[i : i + step]
+                real = at < size[part, None]
+                h = np.concatenate([self._hidden_by_table(c[part[j : j + WINDOWS]], f)[real[j : j + WINDOWS]] for j in range(0, len(part), WINDOWS)])
+                out[(begin[part, None] + at - f)[real]] = self._outcome(h, t[part, f:][real])
+        return out
 
     def _outcome(self, h: np.ndarray, t: np.ndarray) -> np.ndarray:
         p, groups = self.p, self.group[t]
@@ -127,54 +150,78 @@ class Attention:
         return out
 
     def gradients(self, c: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the real tokens, and its gradients; t: targets."""
-        p, n = self.p, c.shape[1]
-        x, before, q, k, v, w, a, h = self._hidden(c)
-        rows = lambda m: m.reshape(-1, m.shape[2])
+        """Mean loss over the real tokens, and its gradients; t: targets.  The attention goes by WINDOWS windows, the softmax over all at once."""
+        p, weights = self.p, self._weights()
+        runs = [slice(i, i + WINDOWS) for i in range(0, len(c), WINDOWS)]
+        states = [self._hidden(c[r], weights) for r in runs]
+        loss, g, dh = self._outcome_gradients(np.concatenate([s[-1] for s in states]), t, real)
+        sums = [self._hidden_gradients(c[r], s, dh[r], weights) for r, s in zip(runs, states, strict=True)]
+        dw, g["D"], g["b"], g["R"] = (sum(x[i] for x in sums) for i in range(4))
+        head, width, hidden = p["Q"].shape[1], p["V"].shape[1], p["A"].shape[1]
+        g["Q"], g["K"], g["V"], g["A"], g["B"] = np.split(dw, np.cumsum([head, head, width, hidden]), axis=1)
+        g["Q"] = g["Q"] * np.float32(1 / np.sqrt(head))
+        dx, flat = np.concatenate([x[4] for x in sums]), c.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        met, first = np.unique(flat[order], return_index=True)
+        g["E"] = np.zeros_like(p["E"])
+        g["E"][met] = np.add.reduceat(dx.take(order, 0), first, axis=0)
+        return loss, g
+
+    def _outcome_gradients(self, h: np.ndarray, t: np.ndarray, real: np.ndarray):
+        """The loss, its gradients in the weights of the two softmaxes, and in h."""
+        p, width = self.p, h.shape[2]
         keep = np.flatnonzero(real.ravel())
-        keep = keep[np.argsort(self.group[t.ravel()[keep]], kind="stable")]
-        hk, tk = rows(h)[keep], t.ravel()[keep]
+        keep = keep[np.argsort(self.group[t.ravel()[keep]].astype(np.uint16), kind="stable")]
+        hk, tk = h.reshape(-1, width).take(keep, 0), t.ravel()[keep]
         groups, share = self.group[tk], np.float32(1 / len(keep))
 
         def soft(z, hit):
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
+            np.minimum(z, np.float32(80), out=z)  # in place of a maximum for each row
             at = np.arange(len(z))
-            lost = -np.log(np.maximum(z[at, hit], 1e-30)).sum(dtype=float)
-            z[at, hit] -= 1
-            z *= share
-            return lost
+            got = z[at, hit].sum(dtype=float)
+            np.exp(z, out=z)
+            total = z @ np.ones(z.shape[1], z.dtype) + np.float32(1e-30)
+            z *= (share / total)[:, None]
+            z[at, hit] -= share
+            return np.log(total).sum(dtype=float) - got
 
         z = hk @ p["G"] + p["g"]
         loss = soft(z, groups)
         g = {"G": hk.T @ z, "g": z.sum(0), "O": np.zeros_like(p["O"]), "o": np.zeros_like(p["o"])}
         dk = z @ p["G"].T
         ends = np.searchsorted(groups, np.arange(len(self.starts)))
-        for k_ in np.flatnonzero(np.diff(ends)):
-            i, j, x_, y_ = ends[k_], ends[k_ + 1], self.starts[k_], self.starts[k_ + 1]
-            z = hk[i:j] @ p["O"][:, x_:y_] + p["o"][x_:y_]
-            loss += soft(z, tk[i:j] - x_)
-            g["O"][:, x_:y_], g["o"][x_:y_] = hk[i:j].T @ z, z.sum(0)
-            dk[i:j] += z @ p["O"][:, x_:y_].T
-        dh = np.zeros((c.size, hk.shape[1]), np.float32)
+        for k in np.flatnonzero(np.diff(ends)):
+            i, j, x, y = ends[k], ends[k + 1], self.starts[k], self.starts[k + 1]
+            z = hk[i:j] @ p["O"][:, x:y]
+            z += p["o"][x:y]
+            loss += soft(z, tk[i:j] - x)
+            g["O"][:, x:y], g["o"][x:y] = hk[i:j].T @ z, z.sum(0)
+            dk[i:j] += z @ p["O"][:, x:y].T
+        dh = np.zeros((t.size, width), h.dtype)
         dh[keep] = dk
-        dh = dh.reshape(h.shape) * (1 - h * h)
-        loss *= share
-        g |= {"A": rows(x).T @ rows(dh), "B": rows(before).T @ rows(dh), "D": rows(a).T @ rows(dh), "b": rows(dh).sum(0)}
-        dx, da = dh @ p["A"].T, dh @ p["D"].T
-        dx[:, :-1] += (dh @ p["B"].T)[:, 1:]
-        dv, dw = w.transpose(0, 2, 1) @ da, da @ v.transpose(0, 2, 1)
-        ds = w * (dw - (dw * w).sum(2, keepdims=True))
-        g["R"] = np.bincount(self.distance[:n, :n].ravel(), (ds.sum(0) * self.seen[:n, :n]).ravel(), minlength=CONTEXT).astype(np.float32)
-        dq, dk = (ds @ k) * np.float32(1 / np.sqrt(q.shape[2])), ds.transpose(0, 2, 1) @ q
-        g |= {"Q": rows(x).T @ rows(dq), "K": rows(x).T @ rows(dk), "V": rows(x).T @ rows(dv)}
-        dx += dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-        order = np.argsort(c.ravel(), kind="stable")
-        met, first = np.unique(c.ravel()[order], return_index=True)
-        g["E"] = np.zeros_like(p["E"])
-        g["E"][met] = np.add.reduceat(rows(dx)[order], first, axis=0)
-        return float(loss), g
+        return float(loss * share), g, dh.reshape(h.shape)
+
+    def _hidden_gradients(self, c: np.ndarray, state, dh: np.ndarray, weights: np.ndarray):
+        """Gradients in the projections side by side, in D, b and R, and in the symbols' vectors, row by row."""
+        x, q, k, v, w, a, h = state
+        p, n = self.p, c.shape[1]
+        rows = lambda m: m.reshape(-1, m.shape[2])
+        dh = dh * (1 - h * h)
+        da = dh @ p["D"].T
+        ds = da @ v.transpose(0, 2, 1)
+        ds -= (da * a).sum(2, keepdims=True)  # the mean of what each place gets, by its weights
+        ds *= w
+        # in the order of the weights side by side
+        made = np.zeros((*c.shape, weights.shape[1]), h.dtype)
+        ends = np.cumsum([q.shape[2], k.shape[2], v.shape[2], h.shape[2]])
+        made[:, :, : ends[0]] = ds @ k
+        made[:, :, ends[0] : ends[1]] = ds.transpose(0, 2, 1) @ q
+        made[:, :, ends[1] : ends[2]] = w.transpose(0, 2, 1) @ da
+        made[:, :, ends[2] : ends[3]] = dh
+        made[:, :-1, ends[3] :] = dh[:, 1:]
+        by_distance = np.bincount(self.distance[:n, :n].ravel(), (ds.sum(0) * self.seen[:n, :n]).ravel(), minlength=CONTEXT).astype(np.float32)
+        made = rows(made)
+        return rows(x).T @ made, rows(a).T @ rows(dh), rows(dh).sum(0), by_distance, made @ weights.T
 
 
 class Adam:
@@ -192,12 +239,3 @@ class Adam:
             self.m[k] += np.float32(0.1) * (g - self.m[k])
             self.v[k] += np.float32(0.01) * (g * g - self.v[k])
             self.model.p[k] = self.model.p[k] - np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
-
-
-def windows(n: int) -> list[tuple[int, int, int]]:
-    """(start, end, first scored) over n tokens, so that each is scored once."""
-    out, start = [(0, min(n, CONTEXT), 0)], 0
-    while out[-1][1] < n:
-        start += STRIDE
-        out.append((start, min(n, start + CONTEXT), out[-1][1]))
-    return out

@@ -3,10 +3,13 @@
 Words are folded to lower case and cut into the ids of a public vocabulary.
 Word counts of all training documents give the unigram base and, cut into
 subwords, the model's symbols: the frequent ids each, the rest as one that is
-shared out by count.  The attention model warms up on a bounded sample and is
-then trained by every task on all windows of all its training documents, each
-once; the tasks' weights are averaged.  A text is scored in overlapping windows; each
-token once.
+shared out by count.  A text is scored in overlapping windows; each token once.
+
+All training documents are trained on, whole.  Hashes of their ids and texts
+deal them to groups of about GROUP_WORDS words and order them there.  The first
+group trains the model from its start; each other group goes on from there, and
+the weights are averaged by the tokens seen.  Groups, their order and the sums
+don't depend on how the input is partitioned or who trains what.
 
 The base of a text needs the count of each of its words.  Counts grow with the
 corpus, so they are joined, never broadcast: a task gives each distinct word of
@@ -34,15 +37,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import CONTEXT, STRIDE, Adam, Attention
-from .common import Workspace, held_out, slices
+from .common import Workspace, held_out, map_texts, slices
 
 #: Symbols of the model: frequent ids, the end, and one for all other ids.
 SYMBOLS, GROUPS = 2048, 32
-#: Bound of the warm-up: documents, and windows of each.
-SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 1500, 64
-WARM_UP_STEPS, BATCH = 1600, 64
-#: Rate of the training over all documents, and the steps after which it has fallen by the square root of two.
-TRAIN_RATE, RATE_STEPS = 0.004, 100
+#: Words of a group of training documents.
+GROUP_WORDS = 2_500_000
+#: Windows of a step, and the rate, in the first group and in the others.
+FIRST_BATCH, FIRST_RATE, BATCH, RATE = 128, 0.03, 256, 0.01
+#: The steps after which a rate has fallen by the square root of two.
+RATE_STEPS = 100
+#: A first group too small for this many steps is gone over again, this often at most.
+FIRST_STEPS, FIRST_PASSES = 800, 20
+#: Ids whose windows are put in random order together.
+MIXED = 1 << 19
+#: Tasks that train at once, at most: beyond, a task has several groups.
+TASKS = 1 << 16
+#: Parts of the weights that are summed apart.
+CHUNKS = 64
+#: Words that are looked up in a partition.
+LOOKED_UP = 2_000_000
 #: Bytes of text, and texts, in a run whose words are looked up together.
 RUN_BYTES, RUN_ROWS = 16 << 20, 16384
 #: Bytes of a row of payload.
@@ -146,7 +160,7 @@ class Symbols:
         self.other = size - 1
 
 
-def windows_of(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts, as ids in a row, to (windows, what follows, first scored place, size, text of each window): each symbol after the start, and the end, is scored once."""
     end = len(symbols.of) - 1
     size = sizes + 1  # symbols to score
@@ -154,12 +168,12 @@ def windows_of(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols) -> tuple[np
     stream = np.full(size.sum() + len(sizes) + CONTEXT, end, np.int64)
     stream[np.arange(len(ids)) + np.repeat(starts + 1 - (np.cumsum(sizes) - sizes), sizes)] = ids
     stream = symbols.of[stream]
-    many = 1 + np.maximum(0, -(-(size - CONTEXT) // STRIDE))
+    many = 1 + np.maximum(0, -(-(size - CONTEXT) // stride))
     text = np.repeat(np.arange(len(sizes)), many)
     k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    length = np.minimum(CONTEXT, size[text] - k * STRIDE)
-    at = (starts[text] + k * STRIDE)[:, None] + np.arange(CONTEXT)
-    return stream[at], stream[np.minimum(at + 1, len(stream) - 1)], np.where(k > 0, CONTEXT - STRIDE, 0), length, text
+    length = np.minimum(CONTEXT, size[text] - k * stride)
+    at = (starts[text] + k * stride)[:, None] + np.arange(CONTEXT)
+    return stream[at], stream[np.minimum(at + 1, len(stream) - 1)], np.where(k > 0, CONTEXT - stride, 0), length, text
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -210,101 +224,152 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
     return out
 
 
-def _fit(model: Attention, grid, steps: int, rate: float, seed: int) -> None:
-    """Adam over windows in random order, again and again."""
-    c, t, _, length, _ = grid
-    if not len(c):
-        return
-    adam, rng = Adam(model, rate), np.random.default_rng(seed)
-    order = rng.permutation(len(c))
-    for s in range(steps):
-        adam.rate = rate * (1 - 0.9 * s / steps)
-        at = order[np.arange(s * BATCH, (s + 1) * BATCH) % len(order)] if len(order) > BATCH else order
-        real = np.arange(CONTEXT) < length[at][:, None]
-        adam.step(model.gradients(c[at], t[at], real)[1])
-
-
 class Fit:
-    """Adam over windows as they come: each once, in random order among those that come together.  The rate falls with the steps done, so that the number of windows need not be known."""
+    """Adam over windows as they come: random order among those that come together.  The rate falls with the steps done, so that the number of windows need not be known."""
 
-    def __init__(self, model: Attention, rate: float, seed: int):
-        self.model, self.rate, self.rng = model, rate, np.random.default_rng(seed)
+    def __init__(self, model: Attention, rate: float, batch: int, seed: int = 2):
+        self.model, self.rate, self.batch, self.rng = model, rate, batch, np.random.default_rng(seed)
         self.adam, self.steps, self.seen = Adam(model, rate), 0, 0
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray, symbols: Symbols) -> None:
+        """A text; texts are held until there are enough of them."""
+        self.held.append(ids)
+        self.size += len(ids)
+        if self.size >= MIXED:
+            self.flush(symbols)
+
+    def flush(self, symbols: Symbols) -> None:
+        if self.held:
+            # each token is learned once: training windows follow one another without overlap
+            c, t, _, length, _ = windows_of(np.concatenate(self.held), np.array([len(i) for i in self.held]), symbols, CONTEXT)
+            self.held, self.size = [], 0
+            order = self.rng.permutation(len(c))
+            for at in np.array_split(order, -(-len(order) // self.batch)):
+                self.adam.rate = self.rate / np.sqrt(1 + self.steps / RATE_STEPS)
+                real = np.arange(CONTEXT) < length[at][:, None]
+                self.adam.step(self.model.gradients(c[at], t[at], real)[1])
+                self.steps += 1
+                self.seen += int(real.sum())
+
+
+def _dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """(g, h, id, text): the rows with their groups, and what orders them there."""
+    hashed = docs.withColumn("h", F.xxhash64("id", "text"))
+    return hashed.select(F.pmod("h", F.lit(groups)).cast("int").alias("g"), "h", "id", "text")
+
+
+def _cut(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """The rows with ids in place of the text."""
+
+    def start():
+        subwords = Subwords(vocabulary)
 
-    def add(self, grid) -> None:
-        c, t, _, length, _ = grid
-        order = self.rng.permutation(len(c))
-        for at in np.array_split(order, -(-len(order) // BATCH)) if len(order) else ():
-            self.adam.rate = self.rate / np.sqrt(1 + self.steps / RATE_STEPS)
-            real = np.arange(CONTEXT) < length[at][:, None]
-            self.adam.step(self.model.gradients(c[at], t[at], real)[1])
-            self.steps += 1
-            self.seen += int(real.sum())
+        def run(texts):
+            cut = subwords.cut(map(words, texts))
+            ids = cut.expanded(0, len(texts)).astype(np.uint16)
+            return [(part.tobytes(),) for part in np.split(ids, np.cumsum(cut.sizes())[:-1])]
 
+        return run
 
-def warmed_up(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str) -> None:
-    """Trains on windows of a bounded sample, in one task."""
-    chosen = docs.select("id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(SAMPLE_DOCUMENTS).distinct()
-    sent = docs.sparkSession.sparkContext.broadcast((model, symbols))  # of fixed size
-    most = SAMPLE_WINDOWS * STRIDE
+    return map_texts(rows, "ids binary", start, as_bytes=True, most_bytes=RUN_BYTES, most_rows=RUN_ROWS)
 
-    def cut(batches):
-        subwords = Subwords(vocabulary)
-        for _, texts in slices(batches, as_bytes=True):
-            cut = subwords.cut(words(raw)[:most] for raw in texts)
-            ids, sizes = cut.expanded(0, len(texts)), cut.sizes()
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[b - n : b][:most].astype(np.uint16).tobytes() for n, b in zip(sizes, ends, strict=True)], pa.binary())], ["ids"])
 
-    def fit(batches):
-        model, symbols = sent.value
-        texts = sorted(t for batch in batches for t in batch.column(0).to_pylist())
-        if texts:
-            grid = windows_of(np.frombuffer(b"".join(texts), np.uint16).astype(np.int64), np.array([len(t) // 2 for t in texts]), symbols)
-            _fit(model, grid, min(WARM_UP_STEPS, 1 + 20 * len(grid[0]) // BATCH), 0.02, 1)
-            yield pa.RecordBatch.from_arrays([pa.array([model.flat.tobytes()], pa.binary())], ["w"])
-
-    sample = docs.join(F.broadcast(chosen), "id").select("text").mapInArrow(cut, "ids binary").limit(SAMPLE_DOCUMENTS)
-    for row in sample.repartition(1).mapInArrow(fit, "w binary").collect():
+def _from_bytes(column) -> Iterable[np.ndarray]:
+    return (np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in column)
+
+
+def first_group(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str, groups: int) -> None:
+    """Trains on the first group, of bounded size, in one task."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, symbols))  # of fixed size
+
+    def run(batches):
+        model, symbols = sent.value[0].copy(), sent.value[1]  # the worker may see the broadcast again
+        texts = [ids for batch in batches for ids in _from_bytes(batch.column(0))]
+        fit = Fit(model, FIRST_RATE, FIRST_BATCH)
+        for _ in range(FIRST_PASSES if texts else 0):
+            for ids in texts:
+                fit.add(ids, symbols)
+            fit.flush(symbols)
+            if fit.steps >= FIRST_STEPS:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([model.flat.tobytes()], pa.binary())], ["w"])
+
+    rows = _cut(_dealt(docs, groups).where("g = 0"), vocabulary)
+    for row in rows.repartition(1).sortWithinPartitions("h", "id").select("ids").mapInArrow(run, "w binary").collect():
         model.flat = np.frombuffer(row.w, np.float32)
     sent.unpersist()
 
 
-def trained(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str, chunks: int = 64) -> None:
-    """Every task goes on from the same weights over all windows of all its documents, as they come; the weights are averaged by the symbols seen."""
+def other_groups(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str, groups: int) -> None:
+    """Every other group goes on from the same weights over all its documents; the weights are averaged by the tokens seen.
+
+    A task sums the weights of its groups, then salted parts of the tasks are
+    summed, then these.  Weights are rounded to 20 binary places: as long as
+    the sums hold them whole, their order plays no part.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model, symbols))  # of fixed size
+    tasks = min(groups - 1, TASKS)
+    salts = 1 + min(63, tasks // 64)
+    schema = "chunk int, salt int, n long, w binary"
 
-    def run(batches):
-        model, symbols = sent.value
-        start = model.flat
-        subwords, fit = Subwords(vocabulary), Fit(model, TRAIN_RATE, 2)
-        for _, texts in slices(batches, as_bytes=True):
-            cut = subwords.cut(map(words, texts))
-            fit.add(windows_of(cut.expanded(0, len(texts)), cut.sizes(), symbols))
-        if not fit.seen:
-            return
-        seen = fit.seen
-        weights = np.array_split(model.flat, chunks)
-        model.flat = start
-        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([seen] * chunks, pa.int64()), pa.array([(w.astype(np.float64) * seen).tobytes() for w in weights], pa.binary())], ["chunk", "n", "w"])
+    def packed(chunks, salt, n, weights):
+        arrays = [pa.array(chunks, pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array(n, pa.int64()), pa.array([w.tobytes() for w in weights], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["chunk", "salt", "n", "w"])
+
+    def train(batches):
+        model, symbols = sent.value[0].copy(), sent.value[1]  # the worker may see the broadcast again
+        start, total, seen, now, fit = model.flat, np.zeros(len(model.flat)), 0, None, None
+
+        def finished():
+            fit.flush(symbols)
+            return np.round(model.flat.astype(float) * 2**20) / 2**20 * fit.seen, fit.seen
+
+        for batch in batches:
+            for g, ids in zip(batch.column(0).to_pylist(), _from_bytes(batch.column(1)), strict=True):
+                if g != now:
+                    if fit:
+                        w, n = finished()
+                        total, seen = total + w, seen + n
+                    model.flat, now = start, g
+                    fit = Fit(model, RATE, BATCH)
+                fit.add(ids, symbols)
+        if fit:
+            w, n = finished()
+            yield packed(range(CHUNKS), TaskContext.get().partitionId() % salts, [seen + n] * CHUNKS, np.array_split(total + w, CHUNKS))
 
     def add(batches):
-        total: dict[int, list] = {}
+        held: dict[int, list] = {}
         for batch in batches:
-            for chunk, n, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held = total.setdefault(chunk, [0, 0])
-                held[0] += n
-                held[1] = held[1] + np.frombuffer(w)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].tobytes() for v in total.values()], pa.binary())], ["chunk", "n", "w"])
-
-    schema = "chunk int, n long, w binary"
-    got = sorted(docs.select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect(), key=lambda r: r.chunk)  # as many rows as chunks
-    if got and got[0].n:
+            for chunk, n, w in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                sums = held.setdefault(chunk, [0, 0.0])
+                sums[0] += n
+                sums[1] = sums[1] + np.frombuffer(w)
+        if held:
+            yield packed(list(held), 0, [v[0] for v in held.values()], [v[1] for v in held.values()])
+
+    rows = _cut(_dealt(docs, groups).where("g > 0"), vocabulary)
+    trained = rows.repartitionById(tasks, F.col("g") % tasks).sortWithinPartitions("g", "h", "id").select("g", "ids").mapInArrow(train, schema)
+    if salts > 1:
+        trained = trained.repartition(CHUNKS * salts, "chunk", "salt").mapInArrow(add, schema)
+    got = sorted(trained.repartition("chunk").mapInArrow(add, schema).collect(), key=lambda r: r.chunk)  # as many rows as chunks
+    if got:
         model.flat = np.concatenate([np.frombuffer(r.w) / r.n for r in got])
     sent.unpersist()
 
 
+def learned(train: DataFrame, counts: DataFrame, total: int, end_count: int, vocabulary: str, group_words: int = GROUP_WORDS) -> tuple[Attention, Symbols]:
+    """The model of all rows (id, text) of train, whose words counts has."""
+    symbols = Symbols(subword_counts(counts, vocabulary), end_count)
+    model = Attention(symbols.starts, symbols.counts)
+    groups = max(1, -(-total // group_words))
+    first_group(train, model, symbols, vocabulary, groups)
+    if groups > 1:
+        other_groups(train, model, symbols, vocabulary, groups)
+    return model, symbols
+
+
 def _scored(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str) -> DataFrame:
     """Rows (word, run, place, payload): for each run of documents its distinct words with their numbers, and, as payload under negative places, what is known of its documents and where they hold which word how often."""
     sent = docs.sparkSession.sparkContext.broadcast((model.ready(), symbols))
@@ -389,27 +454,36 @@ def _gathered(found: DataFrame, total: int, distinct: int, end_count: int) -> Da
             yield out(held)
 
     schema = "id long, n_tokens long, n_known long, base_score double, score double"
-    return found.repartition("run").sortWithinPartitions("run").mapInArrow(run, schema)
+    return _spread(found, total, "run").sortWithinPartitions("run").mapInArrow(run, schema)
+
+
+def _spread(rows: DataFrame, words: int, key: str) -> DataFrame:
+    """rows by key, in as many partitions as the words ask for where that is more than the session's number."""
+    many = min(words // LOOKED_UP, 100_000)
+    return rows.repartition(many, key) if many > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
 
 
-def scored(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def scored(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, group_words: int = GROUP_WORDS) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs, learned from train."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     work = Workspace(docs.sparkSession, "lm")
-    docs, train = (d.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) for d in (docs, train))
+    docs, train = (d.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")) for d in (docs, train))
     counts = work.table(word_counts(train), "counts")
-    total, distinct, end_count = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    symbols = Symbols(subword_counts(counts, vocabulary), end_count)
-    model = Attention(symbols.starts, symbols.counts)
-    warmed_up(train, model, symbols, vocabulary)
-    trained(train, model, symbols, vocabulary)
-    rows = _scored(docs, model, symbols, vocabulary).join(counts, "word", "left")
+    total, end_count, distinct = totals(counts)
+    model, symbols = learned(train, counts, total, end_count, vocabulary, group_words)
+    rows = _spread(_scored(docs, model, symbols, vocabulary), total, "word").join(_spread(counts, total, "word"), "word", "left")
     found = rows.select("run", "place", "payload", F.coalesce("n", F.lit(0)).alias("n"))
     out = _gathered(found, total, distinct, end_count)
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def totals(counts: DataFrame) -> tuple[int, int, int]:
+    """All words, texts, and distinct words of a table of counts."""
+    ends = F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))
+    return tuple(counts.agg(F.coalesce(F.sum("n"), F.lit(0)), ends, F.count(F.lit(1))).first())
+
+
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), learned from the documents whose crc32 of the id leaves a remainder other than 1 by 5."""
-    out = scored(docs, docs.where(~held_out(F.col(id_col), 5, 1)), id_col, text_col)
+    out = scored(docs, docs.where(~held_out(F.col(f"`{id_col}`"), 5, 1)), id_col, text_col)
     return out.select(id_col, held_out(F.col(id_col), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

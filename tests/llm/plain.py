@@ -25,6 +25,35 @@ def lm_base(docs):
     return {i: (held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, t in docs for ws in [[*fold(t).split(), None]]}
 
 
+def lm_score(ids, p, starts, symbols, context=32, stride=16):
+    """log10 probability of a text's ids and its end, symbol by symbol and sum by sum."""
+    end = len(symbols.of) - 1
+    seen = [int(symbols.of[i]) for i in [end, *ids]]
+    nexts = [*ids, end]
+    vec = lambda name, s: [float(x) for x in p[name][s]]
+    times = lambda v, m: [sum(v[i] * float(m[i][j]) for i in range(len(v))) for j in range(len(m[0]))]
+    cache = {s: tuple(times(vec("E", s), p[w]) for w in ("Q", "K", "V", "A", "B")) for s in set(seen)}
+    total = 0.0
+    for at, following in enumerate(nexts):
+        window = 0 if at < context else -(-(at + 1 - context) // stride)
+        begin = window * stride
+        q = cache[seen[at]][0]
+        weights = [math.exp(sum(a * b for a, b in zip(q, cache[seen[j]][1], strict=True)) / math.sqrt(len(q)) + float(p["R"][at - j])) for j in range(begin, at + 1)]
+        mixed = [sum(w * cache[seen[j]][2][i] for w, j in zip(weights, range(begin, at + 1), strict=True)) / sum(weights) for i in range(len(cache[seen[at]][2]))]
+        before = cache[seen[at - 1]][4] if at > begin else [0.0] * len(p["b"])
+        h = [math.tanh(a + b + c + float(d)) for a, b, c, d in zip(cache[seen[at]][3], before, times(mixed, p["D"]), p["b"], strict=True)]
+        symbol = int(symbols.of[following])
+        group = max(i for i in range(len(starts) - 1) if starts[i] <= symbol)
+        z = [a + float(b) for a, b in zip(times(h, p["G"]), p["g"], strict=True)]
+        total += z[group] - math.log(sum(map(math.exp, z)))
+        x, y = int(starts[group]), int(starts[group + 1])
+        z = [sum(h[i] * float(p["O"][i][j]) for i in range(len(h))) + float(p["o"][j]) for j in range(x, y)]
+        total += z[symbol - x] - math.log(sum(map(math.exp, z)))
+        if symbol == symbols.other:
+            total += float(symbols.share[following])
+    return total / math.log(10)
+
+
 def fingerprint(text):
     words = fold(text).split()
     if not words:

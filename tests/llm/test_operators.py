@@ -89,8 +89,9 @@ def test_model_is_causal_and_its_gradients_hold():
     c = rng.integers(0, 5, (3, CONTEXT))
     other = c.copy()
     other[:, 10:] = (other[:, 10:] + 1) % 5
-    assert np.allclose(model._hidden(c)[-1][:, :10], model._hidden(other)[-1][:, :10])
-    assert np.allclose(model._hidden(c)[-1], model.ready()._hidden_by_table(c), atol=1e-5)
+    assert np.allclose(model._hidden(c, model._weights())[-1][:, :10], model._hidden(other, model._weights())[-1][:, :10])
+    assert np.allclose(model._hidden(c, model._weights())[-1], model.ready()._hidden_by_table(c), atol=1e-5)
+    assert np.allclose(model._hidden_by_table(c)[:, 7:], model._hidden_by_table(c, 7), atol=1e-5)
     t, real = rng.integers(0, 5, c.shape), rng.random(c.shape) < 0.8
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     loss, grads = model.gradients(c, t, real)
@@ -105,27 +106,64 @@ def test_model_is_causal_and_its_gradients_hold():
         assert grads[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-4, abs=2e-4), k
 
 
-def test_lm_trains_on_every_word(spark):
-    import public_tokenizers
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_lm_trains_on_every_word(spark, groups):
     from palimpsest.llm.attention import Attention
 
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    symbols = lm.Symbols(np.ones(lm.Subwords(vocabulary).end), 3, size=60, groups=4)
+    symbols = lm.Symbols(np.ones(lm.Subwords(VOCABULARY).end), 3, size=60, groups=4)
 
     def weights(texts):
         model = Attention(symbols.starts, symbols.counts)
-        lm.trained(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), model, symbols, vocabulary)
+        rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        lm.first_group(rows, model, symbols, VOCABULARY, groups)
+        if groups > 1:
+            lm.other_groups(rows, model, symbols, VOCABULARY, groups)
         return model.flat
 
-    texts = [" ".join(f"{w}{k}" for k in range(150)) for w in ("a", "b", "c")]
+    texts = [" ".join(f"{w}{k}" for k in range(150)) for w in ("a", "b", "c", "d", "e", "f")]
     first = weights(texts)
     assert (weights(texts) == first).all()
-    for i, place in ((0, 149), (1, 0), (1, 75), (2, 149)):  # no text, and no part of one, is left out
+    for i, place in ((0, 149), (1, 0), (2, 75), (4, 149)):  # no text, and no part of one, is left out
         ws = texts[i].split()
         ws[place] = "the of and to"
         assert (weights([*texts[:i], " ".join(ws), *texts[i + 1 :]]) != first).any(), (i, place)
 
 
+def test_lm_does_not_depend_on_partitions(spark, small):
+    rows = {}
+    for n in (1, 8):
+        out = lm.scored(small.repartition(n, "doc_id"), small.repartition(n, "lang"), group_words=5_000)
+        rows[n] = sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in out.collect())
+    for a, b in zip(rows[1], rows[8], strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-6)
+
+
+def test_lm_weights_do_not_depend_on_partitions(spark, small):
+    train, flat = small.select(F.col("doc_id").alias("id"), "text"), []
+    for n in (1, 8):
+        counts = lm.word_counts(train.repartition(n))
+        total, ends, _ = lm.totals(counts)
+        flat.append(lm.learned(train.repartition(n), counts, total, ends, VOCABULARY, 5_000)[0].flat)
+    assert (flat[0] == flat[1]).all()
+
+
+def test_lm_scores_as_loops_do(spark, small):
+    train = small.select(F.col("doc_id").alias("id"), "text")
+    counts = lm.word_counts(train)
+    total, ends, _ = lm.totals(counts)
+    model, symbols = lm.learned(train, counts, total, ends, VOCABULARY, 20_000)
+    subwords = lm.Subwords(VOCABULARY)
+    got = {r.doc_id: r.score for r in lm.scored(small, small, group_words=20_000).collect()}
+    texts = sorted(((r.doc_id, r.text) for r in small.collect()), key=lambda x: len(x[1]))
+    model.ready()
+    for doc, text in [*texts[:4], *texts[20:180:40]]:
+        ids = [int(i) for w in plain.fold(text).split() for i in subwords.words([w])[0]]
+        assert got[doc] == pytest.approx(plain.lm_score(ids, model.p, model.starts, symbols), rel=1e-4), doc
+
+
 def test_windows_score_each_once():
     from palimpsest.llm.attention import CONTEXT
 
