@@ -23,18 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 #: Vectors of a query block and of a candidate block.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
-#: Candidate blocks that one copy of a query block meets.
+#: Candidate blocks that one copy of a query block meets, at most.
 BLOCKS_PER_COPY = 8
 
 _BLOCK = "dim int, ids binary, vectors binary, codes binary, scales binary, errors binary"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    return vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
 def _pack(ids: np.ndarray, x: np.ndarray) -> tuple:
@@ -116,16 +118,19 @@ def _unpack(row: dict, prefix: str):
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, blocks_per_copy: int = BLOCKS_PER_COPY) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors with the largest cosine to each row of queries."""
-    asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    n_queries = asked.count()
-    n_query_blocks = max(1, -(-n_queries // query_block))
-    n_copies = max(1, -(-usable(vectors, id_col, vector_col).count() // (candidate_block * blocks_per_copy)))
+    # Both sides are packed once; what is counted after are blocks.
+    work = Workspace(vectors.sparkSession, "neighbours")
+    c = work.table(_blocks(usable(vectors, id_col, vector_col), candidate_block), "candidates")
+    asked = work.table(usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    n_query_blocks = max(1, -(-asked.count() // query_block))
+    n_blocks = c.count()
+    n_copies = max(1, -(-n_blocks // blocks_per_copy), min(n_blocks, vectors.sparkSession.sparkContext.defaultParallelism))
     dealt = asked.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks))).repartition(n_query_blocks, "p")
     q = _blocks(dealt, query_block)
-    q = q.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes", "scales", "errors")])
+    q = q.select("dim", *[F.col(name).alias(f"q_{name}") for name in ("ids", "vectors", "codes", "scales", "errors")])
     # The grid of tiles is laid out by an equi-join: a candidate block goes to one share of the copies, a query block to all shares.
     q = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))))
-    c = _blocks(usable(vectors, id_col, vector_col), candidate_block).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(n_copies)).cast("int"))
+    c = c.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(n_copies)).cast("int"))
     tiles = c.join(q, ["dim", "share"])
 
     def meet(batches):
