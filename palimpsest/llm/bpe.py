@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Pieces remembered in a generation; two generations are kept.
-REMEMBERED = 250_000
+#: What a generation of remembered pieces may weigh: a piece weighs WEIGHT and its characters; two generations are kept.
+REMEMBERED, WEIGHT = 24_000_000, 88
 
 #: Characters that str.split() takes as white space and Unicode's White_Space does not.
 _INFORMATION_SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -47,10 +47,10 @@ def byte_alphabet() -> list[str]:
 
 
 class Memory:
-    """A dictionary of bounded size: when the young generation is full it becomes the old one."""
+    """A dictionary of bounded weight: when the young generation is full it becomes the old one.  What outweighs a generation isn't remembered."""
 
-    def __init__(self, size: int = REMEMBERED):
-        self.young, self.old, self.size = {}, {}, size
+    def __init__(self, most: int = REMEMBERED):
+        self.young, self.old, self.most, self.weight = {}, {}, most, 0
 
     def get(self, key):
         value = self.young.get(key)
@@ -59,9 +59,13 @@ class Memory:
         return value
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+        weight = WEIGHT + len(key)
+        if weight > self.most:
+            return
+        if self.weight + weight > self.most:
+            self.old, self.young, self.weight = self.young, {}, 0
         self.young[key] = value
+        self.weight += weight
 
 
 class Bpe:
