@@ -128,6 +128,17 @@ def document_frequencies(docs: DataFrame, buckets: int = BUCKETS) -> tuple[int,
     return int(out[0]), out[1:]
 
 
+def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
+    """What the logits are divided by so that the labels are likeliest."""
+    tried = np.geomspace(0.02, 20, 120)
+    # Even where every one of them is right the next may be wrong: a pseudo-count for each language keeps scores under 1.
+    doubt = 1 / sum(logits.shape)
+    target = np.full(logits.shape, doubt / logits.shape[1])
+    target[np.arange(len(labels)), labels] += 1 - doubt
+    losses = [-(target * np.log(np.maximum(softmax(logits / t), 1e-30))).sum(1).mean() for t in tried]
+    return float(tried[int(np.argmin(losses))])
+
+
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", buckets: int = BUCKETS, per_language: int = SAMPLE_PER_LANGUAGE, epochs: int = 6, seed: int = 7) -> Model:
     """A model of the rows of docs that have a text and a label."""
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
@@ -168,13 +179,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     w = learner.weights()
     logits = np.array([data[i][1] @ w[data[i][0]] for i in kept])
     labels = np.array([data[i][2] for i in kept])
-    tried = np.geomspace(0.02, 20, 120)
-    # Even where every one of them is right the next may be wrong: a pseudo-count for each language keeps scores under 1.
-    doubt = 1 / (len(kept) + len(languages))
-    target = np.full(logits.shape, doubt / len(languages))
-    target[np.arange(len(kept)), labels] += 1 - doubt
-    losses = [-(target * np.log(np.maximum(softmax(logits / t), 1e-30))).sum(1).mean() for t in tried]
-    return Model(languages, w.astype(np.float32), idf, float(tried[int(np.argmin(losses))]))
+    return Model(languages, w.astype(np.float32), idf, temperature(logits, labels))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -172,3 +172,120 @@ def nearest(rows, k=5):
             scores = sorted(((float(x @ y) / math.sqrt(x @ x) / math.sqrt(y @ y), -j) for j, y in good if j != q and len(y) == len(x)), reverse=True)
             out += [(q, r + 1, -j, s) for r, (s, j) in enumerate(scores[:k])]
     return out
+
+
+def quality_score(raw, model):
+    """The model's score of a text, passage by passage and number by number."""
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    passages = [raw[i : i + 400] for i in range(0, len(raw), 400)] or [b""]
+    rows = []
+    for part in passages:
+        share = [0] * (7 + len(signs))
+        for b in part:
+            c = chr(b)
+            kind = 6 if b >= 128 else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c == " " else 4 if c == "\n" else 7 + signs.index(c) if c in signs else 5
+            share[kind] += 1
+        size, ws = max(1, len(part)), part.split()
+        row = [math.sqrt(n / size) for n in share]
+        if ws:
+            m, same = len(ws), lambda k: sum(a == b for a, b in zip(ws, ws[k:], strict=False)) / len(ws)  # noqa: B023
+            row += [len(set(ws)) / m, same(1), same(2), same(3), min(m / 100, 1), min((size - m) / m / 10, 2), max(map(len, ws)) / 40, 1 / m]
+        else:
+            row += [0.0] * 8
+        rows.append(row)
+    return 1 / (1 + math.exp(-quality_logit(rows, model)[0]))
+
+
+def quality_logit(rows, model):
+    """(logit, encodings, tanh parts, gates, attention, pooled encoding, scaled rows) of a bag."""
+    p, n = model.p, len(model.p["b"])
+    g = len(p["w"])
+    scaled = [[(float(x) - m) / s for x, m, s in zip(row, model.mean, model.scale, strict=True)] for row in rows]
+    h = [[max(0.0, sum(x * p["W"][i][j] for i, x in enumerate(row)) + p["b"][j]) for j in range(n)] for row in scaled]
+    t = [[math.tanh(sum(e[j] * p["V"][j][k] for j in range(n))) for k in range(g)] for e in h]
+    u = [[1 / (1 + math.exp(-sum(e[j] * p["U"][j][k] for j in range(n)))) for k in range(g)] for e in h]
+    raw = [sum(a * b * w for a, b, w in zip(x, y, p["w"], strict=True)) for x, y in zip(t, u, strict=True)]
+    weights = [math.exp(a - max(raw)) for a in raw]
+    a = [x / sum(weights) for x in weights]
+    z = [sum(x * e[j] for x, e in zip(a, h, strict=True)) for j in range(n)]
+    return sum(x * c for x, c in zip(z, p["c"], strict=True)) + p["d"][0], h, t, u, a, z, scaled
+
+
+def quality_fit(model, bags, labels, epochs, size, rate=0.01, decay=1e-4, seed=5):
+    """Adam on gradients by small differences of the mean loss."""
+    every = np.concatenate(bags)
+    model.mean, model.scale = every.mean(0), every.std(0) + 0.02
+    rng, m, v, t = np.random.default_rng(seed), {}, {}, 0
+
+    def loss(part):
+        total = 0.0
+        for k in part:
+            p = 1 / (1 + math.exp(-quality_logit(bags[k].tolist(), model)[0]))
+            total -= math.log(p if labels[k] else 1 - p)
+        return total / len(part)
+
+    for epoch in range(epochs):
+        step = rate * 0.5 * (1 + math.cos(math.pi * epoch / epochs))
+        order = rng.permutation(len(bags))
+        for i in range(0, len(order), size):
+            part, grads = order[i : i + size], {}
+            for name, values in model.p.items():
+                grads[name] = np.zeros_like(values)
+                for at in np.ndindex(values.shape):
+                    kept, sides = values[at], []
+                    for d in (1e-5, -1e-5):
+                        values[at] = kept + d
+                        sides.append(loss(part))
+                    values[at] = kept
+                    grads[name][at] = (sides[0] - sides[1]) / 2e-5
+            t += 1
+            for name, grad in grads.items():
+                grad = grad + decay * model.p[name]
+                m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
+                v[name] = 0.999 * v.get(name, 0) + 0.001 * grad * grad
+                model.p[name] = model.p[name] - step * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
+
+
+def gram_counts(text, buckets):
+    """Bucket -> count of the character n-grams of a text, gram by gram."""
+    chars = [ord(c) for c in " " + text.lower() + " "]
+    chars = [c if 97 <= c <= 122 or c >= 0xAA else 32 for c in chars]
+    out, mask = {}, 2**32 - 1
+    for n in (1, 2, 3):
+        for end in range(n - 1, len(chars)):
+            mixed = n
+            for back in range(n - 1, -1, -1):
+                mixed = mixed * 0x01000193 & mask ^ chars[end - back] * 0x9E3779B1 & mask
+            cell = (((mixed ^ mixed >> 15) * 0x2C1B3C6D & mask) >> 7) % buckets
+            out[cell] = out.get(cell, 0.0) + 1.0
+    return out
+
+
+def ftrl(rows, n, classes, alpha, beta, l1, l2):
+    """Weights after learning (places, values, label) rows one by one, number by number."""
+    z, s = [[0.0] * classes for _ in range(n)], [[0.0] * classes for _ in range(n)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(l1, z[i][k])) / ((beta + math.sqrt(s[i][k])) / alpha + l2)
+
+    for at, values, label in rows:
+        logits = [sum(x * weight(i, k) for i, x in zip(at, values, strict=True)) for k in range(classes)]
+        e = [math.exp(x - max(logits)) for x in logits]
+        for i, x in zip(at, values, strict=True):
+            for k in range(classes):
+                w, g = weight(i, k), x * (e[k] / sum(e) - (k == label))
+                sigma = (math.sqrt(s[i][k] + g * g) - math.sqrt(s[i][k])) / alpha
+                z[i][k] += g - sigma * w
+                s[i][k] += g * g
+    return [[weight(i, k) for k in range(classes)] for i in range(n)]
+
+
+def language(text, model):
+    """The probability of each language."""
+    x = {i: math.log1p(n) * float(model.idf[i]) for i, n in gram_counts(text, len(model.idf)).items()}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    logits = [sum(v / length * float(model.weights[i][k]) for i, v in x.items()) / model.temperature for k in range(len(model.languages))]
+    e = [math.exp(z - max(logits)) for z in logits]
+    return [a / sum(e) for a in e]

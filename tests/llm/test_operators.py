@@ -234,6 +234,27 @@ def test_quality(spark, odd, empty):
     assert {r.score for r in quality.qualities(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_scores_as_loops_do(spark):
+    path = f"{DATA}/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + plain.ODD_TEXTS[:8]
+    got = sorted((r.doc_id, r.score, r.predicted) for r in quality.score(documents(spark, texts).select("doc_id", "text"), model).collect())
+    for (_, score, predicted), text in zip(got, texts, strict=True):
+        assert score == pytest.approx(plain.quality_score((text or "").encode(), model), abs=1e-6) and predicted == int(score >= 0.3)
+
+
+def test_quality_learns_as_loops_do():
+    rng = np.random.default_rng(2)
+    bags = [rng.normal(size=(n, 4)) for n in (1, 3, 2, 4, 1)]
+    labels = np.array([1.0, 0, 1, 0, 1])
+    model, other = quality.Attention(4, 3, 2), quality.Attention(4, 3, 2)
+    model.fit(bags, labels, epochs=4, size=2)
+    plain.quality_fit(other, bags, labels, epochs=4, size=2)
+    for k in model.p:
+        assert np.allclose(model.p[k], other.p[k], atol=1e-6), k
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     model = quality.Attention(6, 5, 4)
@@ -469,13 +490,56 @@ def test_language(spark, odd, empty):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) >= 0.95
     out = {r.doc_id: r for r in langid.languages(odd).collect()}
     assert len(out) > 0 and all(0 <= r.score <= 1 for r in out.values())
-    assert {out[i].lang_pred for i in (0, 1, 2, 10, 11, 12, 13)} == {"und"} and out[3].lang_pred in ("en", "fr")
+    assert {out[i].lang_pred for i in (0, 1, 2, 10, 11, 12, 14, 15)} == {"und"} and out[3].lang_pred in ("en", "fr")
     assert langid.languages(odd).count() == odd.count()
     assert langid.languages(empty).collect() == []
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.languages(unlabelled).collect()} == {"und"}
 
 
+def test_language_features_as_loops_count_them():
+    texts = ["Abc déf", "", "a", "日本 x!", "the  cat, 12"]
+    for t in texts:
+        want = plain.gram_counts(t, langid.BUCKETS)
+        got = langid.counts([t])[0]
+        assert {int(i): float(got[i]) for i in np.flatnonzero(got)} == want
+
+
+def test_ftrl_as_loops_do():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4), int(rng.integers(3))) for _ in range(40)]
+    learner = langid.Ftrl(12, 3)
+    for at, values, label in rows:
+        learner.learn(at, values, label)
+    want = plain.ftrl(rows, 12, 3, learner.alpha, learner.beta, learner.l1, learner.l2)
+    assert np.allclose(learner.weights(), want, atol=1e-10) and (learner.weights() == 0).any()
+
+
+def test_language_predicts_as_loops_do(spark, small):
+    model = langid.train(small)
+    texts = [r.text for r in small.orderBy("doc_id").limit(40).collect()] + ["x", "Ünï 日本"]
+    for t, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        p = plain.language(t, model)
+        assert lang == model.languages[int(np.argmax(p))] and score == pytest.approx(max(p), abs=1e-5)
+
+
+def test_temperature_is_the_best_of_those_tried(spark, small):
+    """The calibration, over again: with the model's own weights no temperature tried gives the kept documents a smaller loss."""
+    rng = np.random.default_rng(0)
+    logits, labels = rng.normal(size=(60, 3)) * 5, rng.integers(0, 3, 60)
+    found = langid.temperature(logits, labels)
+
+    def loss(t):
+        total = 0.0
+        for z, k in zip(logits, labels, strict=True):
+            p = [np.exp((x - max(z)) / t) for x in z]
+            doubt = 1 / (len(labels) + 3)
+            total -= sum((doubt / 3 + (1 - doubt) * (j == k)) * np.log(max(p[j] / sum(p), 1e-30)) for j in range(3))
+        return total
+
+    assert all(loss(found) <= loss(t) + 1e-9 for t in np.geomspace(0.02, 20, 120))
+
+
 def test_features_are_whole_and_apart():
     long = "abc " * 3000
     together = langid.counts(["xyz", long, "", "é"])
@@ -508,11 +572,15 @@ def test_bpe(spark, small, odd, empty):
 
 
 def test_memory_is_bounded():
-    m = bpe.Memory(10)
-    for i in range(1000):
-        m.put(i, i)
+    m = bpe.Memory(10 * (bpe.WEIGHT + 4))
+    for i in range(1000, 2000):
+        m.put(str(i), i)
         assert len(m.young) <= 10 and len(m.old) <= 10
-    assert m.get(999) == 999 and m.get(0) is None
+    assert m.get("1999") == 1999 and m.get("1000") is None
+    m.put("x" * 500, 1)
+    assert sum(map(len, m.young)) <= 540
+    m.put("x" * 5000, 1)
+    assert m.get("x" * 5000) is None
 
 
 # 10
