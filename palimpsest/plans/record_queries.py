@@ -26,7 +26,21 @@ def throttle_sessions(spark, sf_dir):
     return pacing_stream.notices(table(spark, sf_dir, "events").where("event_type = 'error'"), "user_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, epoch_us(CAST(ts AS TIMESTAMP)) / CAST(1000 AS DOUBLE) AS t, event_type = 'error' AS hit,
+  CASE WHEN event_id % 5 = 0 THEN 2000.0 ELSE 0.0 END AS pause, event_id % 97 = 0 AS told FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT key, CAST(0 AS BIGINT) AS seq, CAST(500 AS DOUBLE) AS iv, CAST(0 AS DOUBLE) AS learned, CAST(0 AS DOUBLE) AS stated, CAST(0 AS DOUBLE) AS free, CAST(-1e300 AS DOUBLE) AS burst, 0 AS run, CAST(0 AS DOUBLE) AS slot FROM (SELECT DISTINCT key FROM e)
+UNION ALL
+SELECT key, seq, iv, learned, stated, greatest(t, free) + iv, burst, run, greatest(t, free) FROM (
+ SELECT key, seq, t, stated, burst, CAST(CASE WHEN hit THEN greatest(free, t + greatest(iv, pause)) ELSE free END AS DOUBLE) AS free, CASE WHEN falls THEN 0 ELSE run END AS run,
+  CASE WHEN falls AND stated = 0 THEN CASE WHEN learned > 0 THEN least(learned, iv) ELSE iv END ELSE learned END AS learned,
+  CAST(CASE WHEN falls AND stated > 0 THEN stated WHEN falls THEN greatest(iv - 150, 0.9 * CASE WHEN learned > 0 THEN least(learned, iv) ELSE iv END) ELSE iv END AS DOUBLE) AS iv FROM (
+  SELECT *, NOT hit AND run >= CASE WHEN stated > 0 THEN 5 ELSE 20 END AS falls FROM (
+   SELECT key, seq, t, hit, pause, stated, free, CAST(CASE WHEN grows THEN grown ELSE iv END AS DOUBLE) AS iv, CAST(CASE WHEN grows AND stated = 0 THEN greatest(learned, grown) ELSE learned END AS DOUBLE) AS learned,
+    CAST(CASE WHEN grows THEN t + grown ELSE burst END AS DOUBLE) AS burst, CASE WHEN grows THEN 0 WHEN hit THEN run ELSE run + 1 END AS run FROM (
+    SELECT *, hit AND t >= burst AS grows, CAST(least(iv * CASE WHEN stated > 0 THEN 1.5 ELSE 2.0 END, 15000) AS DOUBLE) AS grown FROM (
+     SELECT s.key, e.seq, e.t, e.hit, e.pause, s.free, s.burst, s.learned, CASE WHEN told THEN CAST(2100 AS DOUBLE) ELSE stated END AS stated, CASE WHEN told THEN greatest(iv, 2100) ELSE iv END AS iv, CASE WHEN told AND iv < 2100 THEN 0 ELSE run END AS run
+     FROM s JOIN e ON e.key = s.key AND e.seq = s.seq + 1))))))
+SELECT key, seq, iv AS interval_ms, learned AS learned_floor_ms, stated AS stated_floor_ms, slot AS slot_ms FROM s WHERE seq > 0""")
 def adaptive_pacing(spark, sf_dir):
     """The pacer's state after each event of a user: errors as refusals, some with a time to wait or a stated limit."""
     e = table(spark, sf_dir, "events")

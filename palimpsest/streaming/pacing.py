@@ -9,19 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.pacing import STATE, STATES, Pacer, follow, from_state, state_of
+from ..operators.pacing import LIMITS, STATE, STATES, Limits, State, first, follow
 
 #: A notice stays for so long after the last refusal.
 NOTICE = "12 seconds"
 
 
-def paced(events: DataFrame) -> DataFrame:
+def paced(events: DataFrame, limits: Limits = LIMITS["auto"]) -> DataFrame:
     """Events in order across triggers to the states after each."""
 
     def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pacer = from_state(tuple(state.get)) if state.exists else Pacer.auto()
-        yield follow(pacer, pd.concat(parts).sort_values("seq"))
-        state.update(state_of(pacer))
+        before = State(*state.get) if state.exists else first(limits)
+        after, out = follow(limits, before, pd.concat(parts).sort_values("seq"))
+        state.update(tuple(after))
+        yield out
 
     return events.groupBy("key").applyInPandasWithState(step, STATES, STATE, "append", GroupStateTimeout.NoTimeout)
 

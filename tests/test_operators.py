@@ -142,61 +142,70 @@ def test_directory_walk():
     assert w([(1, "paragraph", None), (1, "begin", None), (1, "code", " T"), (1, "code", "OC "), (2, "paragraph", None), (2, "end", None)]) == [1, 2]
 
 
-def test_pacer_plateaus_over_the_servers_limit():
-    """A server takes one request in 1000 ms; the pacer's last hundred requests meet few refusals."""
-    pacer, now, free_at, refused = pacing.Pacer.auto(), 0.0, 0.0, []
+AUTO = pacing.LIMITS["auto"]
+
+
+def events_of(limits, state, *events):
+    starts = []
+    for e in events:
+        state, start = pacing.step(limits, state, pacing.Event(*e) if isinstance(e, tuple) else e)
+        starts.append(start)
+    return state, starts
+
+
+def test_pacing_plateaus_over_the_servers_limit():
+    """A server takes one request in 1000 ms; the last hundred of 400 requests meet few refusals."""
+    state, now, free_at, refused = pacing.first(AUTO), 0.0, 0.0, []
     for _ in range(400):
-        now = pacer.slot(now)
-        if now >= free_at:
+        ok = now >= free_at
+        if ok:
             free_at = now + 1000
-            refused.append(0)
-            pacer.succeeded()
-        else:
-            refused.append(1)
-            pacer.refused(now)
-    assert sum(refused[-100:]) <= 5 and 1000 <= pacer.interval_ms <= 2000
-
-
-def test_pacer_rules():
-    p = pacing.Pacer.auto()
-    p.refused(0)
-    p.refused(10)  # of the same burst
-    assert p.interval_ms == 1000 and p.learned_floor_ms == 1000
-    p.refused(2000, retry_after_s=5)
-    assert p.interval_ms == 2000 and p.slot(2000) == 7000
-    for _ in range(20):
-        p.succeeded()
-    assert p.interval_ms == 1850
-    stated = pacing.Pacer.auto()
-    stated.limit_stated(60)
-    assert stated.interval_ms == 1050
-    stated.refused(0)
-    assert stated.interval_ms == 1575 and stated.learned_floor_ms == 0
-    for _ in range(5):
-        stated.succeeded()
+        refused.append(not ok)
+        state, now = pacing.step(AUTO, state, pacing.Event(now, "success" if ok else "throttled"))
+    assert sum(refused[-100:]) <= 5 and 1000 <= state.interval_ms <= 2000
+
+
+def test_pacing_rules():
+    ok = [(1e6, "success")]
+    s, _ = events_of(AUTO, pacing.first(AUTO), (0, "throttled"), (10, "throttled"))  # the second is of the same burst
+    assert (s.interval_ms, s.learned_ms) == (1000, 1000)
+    s, starts = events_of(AUTO, s, (2000, "throttled", 5))
+    assert s.interval_ms == 2000 and starts == [7000]
+    s, _ = events_of(AUTO, s, *ok * 19)
+    assert s.interval_ms == 2000
+    s, _ = events_of(AUTO, s, *ok)
+    assert s.interval_ms == 1850
+    s, _ = events_of(AUTO, s, *ok * 400)
+    assert 0 < s.interval_ms < 1850
+    stated, _ = events_of(AUTO, pacing.first(AUTO), (0, None, None, 60.0))
     assert stated.interval_ms == 1050
-    manual = pacing.Pacer.manual(60)
-    manual.refused(0)
-    assert manual.interval_ms == 2000
-    for _ in range(200):
-        manual.succeeded()
-    assert manual.interval_ms == 1000
-    assert {round(pacing.Pacer.auto(1000).interval_ms * (1 + (2 * j - 1) * pacing.JITTER)) for j in (0, 1)} == {750, 1250}
-    assert pacing.Pacer("local").slot(5) == 5
-
-
-def test_paced_is_the_pacer(spark):
+    stated, _ = events_of(AUTO, stated, (0, "throttled"))
+    assert (stated.interval_ms, stated.learned_ms) == (1575, 0)
+    assert events_of(AUTO, stated, *ok * 5)[0].interval_ms == 1050
+    by_hand = pacing.manual(60)
+    s, _ = events_of(by_hand, pacing.first(by_hand), (0, "throttled"))
+    assert s.interval_ms == 2000 and events_of(by_hand, s, *ok * 200)[0].interval_ms == 1000
+    assert events_of(by_hand, s, (1e6, None, None, 1.0))[0].stated_ms == 0  # what a service states doesn't count here
+    assert pacing.first(pacing.manual(None)).interval_ms == 0 and events_of(pacing.manual(None), pacing.State(0.0), (0, "throttled"))[0].interval_ms == 250
+    seeded = pacing.first(AUTO, 1000)
+    assert {round(events_of(AUTO, seeded, (0, None, None, None, j))[0].free_ms) for j in (0, 1)} == {750, 1250}
+    assert pacing.first(AUTO, 1e9).interval_ms == 15_000
+    local = pacing.LIMITS["local"]
+    assert events_of(local, pacing.first(local), (5, "throttled"), (6, None)) == (pacing.first(local), [5, 6])
+    floor, _ = events_of(AUTO, pacing.State(2000.0, 2000.0), *ok * 20)
+    assert floor.interval_ms == 1850 and events_of(AUTO, floor, *ok * 20)[0].interval_ms == 1700
+
+
+def test_paced_is_step_by_step(spark):
     rng = random.Random(1)
     rows = [(f"k{k}", i, float(i * 400), rng.choice(["success", "success", "throttled"]), rng.choice([None, 2]), rng.choice([None] * 9 + [30.0]), 0.5) for k in range(3) for i in range(60)]
-    got = {(r.key, r.seq): r.interval_ms for r in pacing.paced(spark.createDataFrame(rows, pacing.EVENTS)).collect()}
+    got = {(r.key, r.seq): (r.interval_ms, r.slot_ms) for r in pacing.paced(spark.createDataFrame(rows + [(None, 0, 0.0, "success", None, None, 0.5)], pacing.EVENTS)).collect()}
+    assert len(got) == 180
     for k in range(3):
-        p = pacing.Pacer.auto()
+        s = pacing.first(AUTO)
         for r in [r for r in rows if r[0] == f"k{k}"]:
-            if r[5]:
-                p.limit_stated(r[5])
-            p.refused(r[2], r[4]) if r[3] == "throttled" else p.succeeded()
-            p.slot(r[2])
-            assert got[(r[0], r[1])] == p.interval_ms
+            s, start = pacing.step(AUTO, s, pacing.Event(*r[2:]))
+            assert got[(r[0], r[1])] == (s.interval_ms, start)
 
 
 def test_parallelism(spark):
