@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import col, is_blank
 
-# Latin letters with marks, and the letters under the marks.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžąćęłńśźżčďěňřťůğışőűāēīūģķļņ"
-_BARE = "aaaaaaceeeeiiiinooooouuuuyyszacelnszzcdenrtugisouaeiugkln"
+
+
+def _unmarked() -> dict[str, str]:
+    """Letters with marks, of all Latin blocks, to the letters under the marks."""
+    table = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = unicodedata.normalize("NFD", c)
+        if len(base) > 1 and base[0].isascii() and all(unicodedata.combining(x) for x in base[1:]):
+            table[c] = base[0]
+    return table
+
+
+_UNMARKED = _unmarked()
 #: Longest slug.
 SLUG = 24
 #: Languages with display names of their own.
@@ -20,7 +32,7 @@ def slug(name: str | Column, fold: bool = True) -> Column:
     """Lower case, anything but a-z and 0-9 as one dash, at most 24 characters; "target" where nothing is left.  fold: letters lose their marks first."""
     low = F.lower(F.trim(col(name)))
     if fold:
-        low = F.translate(low, _MARKED, _BARE)
+        low = F.regexp_replace(F.translate(low, "".join(_UNMARKED), "".join(_UNMARKED.values())), r"\p{Mn}+", "")
     dashed = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     cut = F.regexp_replace(F.left(dashed, F.lit(SLUG)), "-+$", "")
     return F.when(F.coalesce(cut, F.lit("")) == "", F.lit("target")).otherwise(cut)
@@ -82,7 +94,13 @@ def is_directory_style(name: str | Column) -> Column:
 def endpoint(base: str | Column, tail: str = "chat/completions") -> Column:
     """The base as it is where it ends in the tail; else the tail is added, after /v1 where no version stands."""
     t = F.regexp_replace(F.trim(col(base)), "/+$", "")
-    return F.when(t.endswith(tail), t).when(t.rlike("/v[0-9]+$"), F.concat(t, F.lit(f"/{tail}"))).otherwise(F.concat(t, F.lit(f"/v1/{tail}")))
+    return F.when(F.lower(t).endswith(tail), t).when(t.rlike("(?i)/v[0-9]+$"), F.concat(t, F.lit(f"/{tail}"))).otherwise(F.concat(t, F.lit(f"/v1/{tail}")))
+
+
+def editor_endpoint(base: str | Column, local: Column) -> Column:
+    """The editor's own rule: the base holds its version already; a local server has a path of its own."""
+    t = F.regexp_replace(F.trim(col(base)), "/+$", "")
+    return F.concat(t, F.when(local, F.lit("/api/chat")).otherwise(F.lit("/chat/completions")))
 
 
 def memory_tier(gib: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -17,6 +19,8 @@ from .lookup import once_each
 
 CHUNK = 7500
 
+log = logging.getLogger(__name__)
+
 
 class Corrector(Protocol):
     """Prompts and texts in, replies out, a batch at a time; None where the service gave none."""
@@ -37,16 +41,49 @@ def rules(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "!{2,}", "!"), " {2,}", " ")
 
 
-def with_retries(corrector: Corrector, most: int = 3, failures: tuple[type[Exception], ...] = (Exception,)) -> Callable:
-    """The corrector, asked up to most times while it fails; a text that never succeeds has no reply."""
+class Throttled(Exception):
+    """The service refuses for now; seconds: how long it asks to wait, if it says so."""
 
-    def ask(prompts: list[str], texts: list[str]) -> list[str | None]:
-        for _ in range(most):
+    def __init__(self, seconds: float | None = None):
+        super().__init__(seconds)
+        self.seconds = seconds
+
+
+def with_retries(corrector: Corrector, batch_refusals: int = 3, refusals: int = 20, tries: int = 3, wait: Callable[[float], None] = time.sleep) -> Callable:
+    """The corrector, asked with patience.
+
+    A batch that is refused is sent again, three times at most.  Where it
+    fails otherwise, its texts are asked one by one; each may be refused twenty
+    times and fail three times.  What never succeeds has no reply.  Before it
+    asks again it waits as long as the service says, or half a second for each
+    attempt.
+    """
+
+    def attempt(prompts: list[str], texts: list[str], refused_most: int, failed_most: int) -> tuple[list[str | None] | None, bool]:
+        """The replies, or none, and whether that was for refusals alone."""
+        refused = failed = 0
+        while True:
             try:
-                return corrector(prompts, texts)
-            except failures:
-                continue
-        return [None] * len(texts)
+                return corrector(prompts, texts), False
+            except Throttled as e:
+                refused += 1
+                if refused >= refused_most:
+                    return None, True
+                wait(max(e.seconds or 0.0, 0.5 * refused))
+            except Exception as e:
+                failed += 1
+                if failed >= failed_most:
+                    log.warning("a request failed %d times: %r", failed, e)
+                    return None, False
+
+    def ask(prompts: list[str], texts: list[str]) -> list[str | None]:
+        several = len(texts) > 1
+        got, refused = attempt(prompts, texts, batch_refusals if several else refusals, 1 if several else tries)
+        if got is not None:
+            return got
+        if refused or not several:
+            return [None] * len(texts)
+        return [(attempt([p], [t], refusals, tries)[0] or [None])[0] for p, t in zip(prompts, texts, strict=True)]
 
     return ask
 

@@ -17,14 +17,30 @@ def _fs(spark: SparkSession, path: str):
 
 
 def promoted(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Written beside its place and moved there when it is whole: readers see the old table or the new one."""
-    draft = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Written beside its place and moved there when it is whole.  The old table is moved aside first and deleted last: whatever breaks off in between, one of the two is whole and `recovered` finds it."""
+    spark, base = df.sparkSession, path.rstrip("/")
+    draft, aside = f"{base}.{uuid.uuid4().hex}", f"{base}.old"
     df.write.format(fmt).save(draft)
-    fs, target = _fs(df.sparkSession, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_fs(df.sparkSession, draft)[1], target):
+    recovered(spark, base)
+    fs, target = _fs(spark, base)
+    old, new = _fs(spark, aside)[1], _fs(spark, draft)[1]
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        recovered(spark, base)
         raise OSError(f"{draft} can't be moved to {path}")
+    fs.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Puts a table in its place again that a broken off promotion had moved aside."""
+    fs, target = _fs(spark, path.rstrip("/"))
+    old = _fs(spark, f"{path.rstrip('/')}.old")[1]
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
 
 
 def log_events(events: DataFrame, path: str) -> None:

@@ -42,10 +42,27 @@ def test_reader(spark, tmp_path):
     assert files.count() == 2
     rows = office.read_paragraphs(files).select("part_kind", "label", "pos", "style", office.editable_text(F.col("runs")).alias("text"), office.visible_characters(F.col("runs")).alias("n"), office.has_tracked_changes(F.col("runs")).alias("tracked")).collect()
     main = [tuple(r)[2:] for r in rows if r.part_kind == "main"]
-    assert main == [(0, "TOC1", "Plain bold", 10, False), (1, None, "new", 3, True), (2, None, "afterx", 7, False), (3, None, "", 0, False)]
+    assert main == [(0, "TOC1", "Plain bold", 10, False), (1, None, "new", 3, True), (2, None, "afterx", 6, False), (3, None, "", 0, False)]
     assert [(r.label, r.text) for r in rows if r.part_kind != "main"] == [("footnotes", " Note."), ("headers 1", "Head")]
 
 
+def test_templates_and_labels(spark, tmp_path):
+    package(tmp_path / "a.DOTX", "<w:p><w:r><w:t>1.</w:t></w:r><w:r><w:tab/></w:r><w:r><w:t>Text</w:t></w:r></w:p>")
+    package(tmp_path / "b.dotm", BODY)
+    files = office.packages(spark, str(tmp_path))
+    assert files.count() == 2
+    row = office.read_paragraphs(files.where("lower(path) like '%dotx'")).where("part_kind = 'main'").select(office.visible_characters(F.col("runs")).alias("n")).first()
+    assert row.n == 4
+
+
+def test_comments_pass_through(spark):
+    schema = "doc int, entry string, content binary"
+    old = spark.createDataFrame([(1, "word/comments.xml", b"old"), (1, "word/document.xml", b"a"), (2, "word/document.xml", b"b"), (3, "word/comments.xml", b"gone")], schema)
+    new = spark.createDataFrame([(1, "word/comments.xml", b"new"), (1, "word/document.xml", b"A"), (2, "word/document.xml", b"B"), (2, "word/comments.xml", b"own")], schema)
+    got = sorted((r.doc, r.entry, bytes(r.content)) for r in office.with_comments(new, old, ["doc"]).collect())
+    assert got == [(1, "word/comments.xml", b"old"), (1, "word/document.xml", b"A"), (2, "word/comments.xml", b"own"), (2, "word/document.xml", b"B")]
+
+
 def test_integrity_of_packages(spark, tmp_path):
     (tmp_path / "old").mkdir(), (tmp_path / "new").mkdir()
     package(tmp_path / "old" / "a.docx", BODY)

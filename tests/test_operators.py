@@ -52,11 +52,24 @@ def test_large_input_falls_back():
 def test_write_back_keeps_the_text(runs, corrected):
     out = d.write_back(runs, corrected)
     assert len(out) == len(runs)
-    assert corrected.endswith("".join(out)) or not "".join(runs)  # an insertion before the first character has no run
+    assert "".join(out) == corrected  # nothing is lost, wherever it was put in
 
 
 def test_write_back_keeps_runs_at_words():
     assert d.write_back(["Hello ", "bold", " world"], "Hello brave bold worlds") == ["Hello ", "brave bold", " worlds"]
+    assert d.write_back(["alpha beta gamma"], "New alpha beta gamma") == ["New alpha beta gamma"]
+    assert d.write_back(["alpha ", "beta"], "New alpha beta") == ["New alpha ", "beta"]
+    assert d.write_back(["on", "ly this"], "only that", [True, False]) == ["on", "ly that"] and d.write_back(["on", "ly this"], "only that") == ["only", " that"]
+    assert d.write_back(["", ""], "text") == ["text", ""] and d.write_back(["gone"], "") == [""]
+
+
+def test_places():
+    parts = d.pieces("the old cat", "the very old dog")
+    assert sum(x for _, x, _ in parts) == 11 and sum(y for *_, y in parts) == 16
+    assert d.places(parts, [0, 3, 11]) == [0, 3, 16]
+    assert d.places(d.pieces("abcd", "xyabcd"), [0, 1, 4]) == [2, 3, 6]  # what is put in lies before
+    assert d.places([(False, 4, 2)], [0, 1, 2, 3, 4]) == [0, 0, 1, 2, 2]
+    assert d.likeness("", "") == 1 and d.likeness("abcd", "abxd") == 0.75 and d.likeness("a", "") == 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -102,16 +115,35 @@ def test_corrector_run(spark):
 
 
 def test_retries():
-    calls = []
-
-    def fails_twice(prompts, texts):
-        calls.append(1)
-        if len(calls) < 3:
-            raise OSError
-        return texts
-
-    assert correct.with_retries(fails_twice)(["p"], ["t"]) == ["t"]
-    assert correct.with_retries(lambda p, t: 1 / 0)(["p"], ["t"]) == [None]
+    def service(*answers):
+        """Answers or errors, one after the other; the last for good."""
+        left, calls, waits = list(answers), [], []
+
+        def ask(prompts, texts):
+            calls.append(len(texts))
+            now = left.pop(0) if len(left) > 1 else left[0]
+            if isinstance(now, Exception):
+                raise now
+            return [t.upper() for t in texts]
+
+        got = correct.with_retries(ask, wait=waits.append)
+        return (lambda *texts: got(["p"] * len(texts), list(texts))), calls, waits
+
+    no, broken = correct.Throttled(), OSError()
+    ask, calls, waits = service(broken, broken, "ok")
+    assert ask("t") == ["T"] and calls == [1, 1, 1] and waits == []
+    ask, calls, _ = service(broken)
+    assert ask("t") == [None] and calls == [1] * 3
+    ask, calls, waits = service(no, correct.Throttled(7), "ok")
+    assert ask("a", "b") == ["A", "B"] and calls == [2, 2, 2] and waits == [0.5, 7]
+    ask, calls, _ = service(no)
+    assert ask("a", "b") == [None, None] and calls == [2] * 3  # refusals don't send a batch's texts one by one
+    ask, calls, _ = service(no)
+    assert ask("a") == [None] and calls == [1] * 20
+    ask, calls, _ = service(broken, "ok")
+    assert ask("a", "b") == ["A", "B"] and calls == [2, 1, 1]
+    ask, calls, _ = service(broken, no, "ok", broken)
+    assert ask("a", "b") == ["A", None] and calls == [2, 1, 1, 1, 1, 1]
 
 
 def entries(spark, *rows):
@@ -259,6 +291,11 @@ def test_sinks(spark, tmp_path, monkeypatch):
     for n in (3, 5):
         sinks.promoted(spark.range(n), path)
         assert spark.read.parquet(path).count() == n
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a promotion that broke off
+    sinks.recovered(spark, path)
+    assert spark.read.parquet(path).count() == 5
+    sinks.promoted(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t.old").exists()
     monkeypatch.setattr(sinks, "LOG_BYTES", 1)
     log = f"file://{tmp_path}/log"
     for i in range(6):

@@ -77,6 +77,20 @@ def test_durations_and_retries(spark):
     assert [r.v for r in evaluate(spark, [(h, b) for h, b, _ in bodies], "h string, b string", v=replies.retry_seconds(F.col("h"), F.col("b")))] == [s for *_, s in bodies]
 
 
+def test_retry_dates(spark):
+    rows = [("Sun, 06 Nov 1994 08:49:37 GMT", 37), ("Sun, 06 Nov 1994 08:48:00 GMT", 1), ("soon", None), ("06 Nov 1994", None)]
+    now = F.timestamp_seconds(F.lit(784111740))
+    assert [r.v for r in evaluate(spark, [(h,) for h, _ in rows], "h string", v=replies.retry_seconds(F.col("h"), F.lit("{}"), now))] == [s for _, s in rows]
+
+
+def test_completion_text(spark):
+    cases = [
+        ('{"choices":[{"message":{"content":"a"}}]}', "a"), ('{"choices":[{"text":"b"}]}', "b"), ('{"output":[{"content":[{"text":"c"},{"text":"d"}]},{"content":[{"text":{"value":"e"}}]}]}', "cde"),
+        ('{"message":{"content":[{"type":"text","text":{"value":"f"}},"g"]}}', "fg"), ('{"output_text":"h"}', "h"), ("{}", None), ('{"output":[{"content":"i"}]}', "i"),
+    ]
+    assert [r.v for r in evaluate(spark, [(p,) for p, _ in cases], "p string", v=replies.completion_text(F.col("p")))] == [t for _, t in cases]
+
+
 def test_citations(spark):
     rows = [("S. 1 ff. and S. 2ff.", "with_space"), ("S. 1ff. s.2 f.", "without_space"), (f"S. 5{NB}f.", "without_space"), ("none", "with_space")]
     got = evaluate(spark, rows, "t string, w string", v=citations.normalized("t", F.col("w")), n=F.struct(*citations.style_counts("t")))
@@ -93,7 +107,7 @@ def test_edges_and_guards(spark):
 
 
 def test_names(spark):
-    rows = [("Français", "francais"), ("  ", "target"), ("Chinese (Simplified, Taiwan etc)", "chinese-simplified-taiwa"), ("日本語", "target"), (None, "target")]
+    rows = [("Français", "francais"), ("  ", "target"), ("Chinese (Simplified, Taiwan etc)", "chinese-simplified-taiwa"), ("日本語", "target"), (None, "target"), ("Ṩàrdū cafe\u0301", "sardu-cafe")]
     assert [r.v for r in evaluate(spark, [(a,) for a, _ in rows], "t string", v=names.slug("t"))] == [b for _, b in rows]
     rows = [("v1.2.3", "1.2.3", 0), ("1.2", "1.10", -1), ("2.0-rc1", "1.9.9", 1), ("1.x", "1.0", 0)]
     assert [r.v for r in evaluate(spark, [r[:2] for r in rows], "a string, b string", v=names.version_compare("a", "b"))] == [r[2] for r in rows]
