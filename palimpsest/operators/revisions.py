@@ -6,8 +6,13 @@ insert, delete; or rows of it, one for each entry, with their place.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate, pairwise
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.diff import OPS, accepted, amount, kept_original, word_diff
 from ..functions.text import html_escaped
@@ -54,6 +59,47 @@ def entries(revised: DataFrame, key: list[str]) -> DataFrame:
     return revised.select(*key, F.posexplode("ops").alias("seq", "o")).select(*key, "seq", "o.kind", "o.token")
 
 
+RUNS = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType()), StructField("offset", IntegerType()), StructField("props", StringType())]))
+
+
+def runs_of(ops: list, spans: list, new_spans: list, marks: list[int]) -> list[tuple[str, str, int, str | None]]:
+    """Entries as runs (kind, text, offset in the original, props).
+
+    Equal and deleted text is cut where the original's spans (size, props) and
+    marks lie, and has their formats; inserted text has those of the corrected
+    text's spans.  A mark comes back as a run of its own kind before what
+    stands at its offset, in front of what is inserted there.
+    """
+    old_ends, new_ends = ([0, *accumulate(n for n, _ in s)] for s in (spans, new_spans))
+    left, out, i, j = sorted(marks), [], 0, 0
+
+    def cut(kind: str, text: str, at: int, ends: list[int], formats: list) -> None:
+        stops = {at, at + len(text), *ends, *(() if kind == "insert" else left)}
+        for a, b in pairwise(sorted(x for x in stops if at <= x <= at + len(text))):
+            place = i if kind == "insert" else a
+            while left and left[0] <= place:
+                out.append(("mark", "", left.pop(0), None))
+            k = bisect_right(ends, a) - 1
+            out.append((kind, text[a - at : b - at], place, formats[k][1] if k < len(formats) else None))
+
+    for kind, text in ops:
+        if kind == "insert":
+            cut(kind, text, j, new_ends, new_spans)
+        else:
+            cut(kind, text, i, old_ends, spans)
+            i += len(text)
+        j += len(text) * (kind != "delete")
+    return out + [("mark", "", at, None) for at in left]
+
+
+@F.pandas_udf(RUNS)
+def revision_runs(ops: pd.Series, spans: pd.Series, new_spans: pd.Series, marks: pd.Series) -> pd.Series:
+    """Columns of arrays (kind, token), (size, props), (size, props) and offsets to runs."""
+    pairs = lambda rows, *names: [tuple(r[n] for n in names) for r in rows]
+    made = [runs_of(pairs(o, "kind", "token"), pairs(s, "size", "props"), pairs(n, "size", "props"), [int(m) for m in k]) for o, s, n, k in zip(ops, spans, new_spans, marks, strict=True)]
+    return pd.Series([[dict(zip(("kind", "text", "offset", "props"), r, strict=True)) for r in rows] for rows in made])
+
+
 def numbered(rows: DataFrame, key: list[str], order: list[str], first: Column | None = None) -> DataFrame:
     """Entries with rev_id for insertions and deletions, counted in order within a document."""
     turn = F.count_if(F.col("kind") != "equal").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

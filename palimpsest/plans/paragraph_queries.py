@@ -10,7 +10,6 @@ from ..functions import text as tx
 from ..operators import align, audit, lookup, packing, revisions
 from ..operators.correct import rules
 from ..sources.tables import PARTS, paragraphs, part_weights, parts, table
-from . import document_run
 from .registry import PARAS, query
 
 
@@ -206,11 +205,11 @@ def markdown_strip(spark, sf_dir):
 
 
 @query(f"""WITH {LABELLED}, l AS (SELECT doc_id, pos, text, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS o FROM labelled) SELECT doc_id, pos, CASE WHEN regexp_matches(text, '^[ \\t]*\\d+\\.[ \\t]+') AND NOT coalesce(regexp_matches(ltrim(o), '^[ \\t]*\\d+\\.[ \\t]+'), false)
-  THEN length(regexp_replace(text, '^[ \\t]*\\d+\\.[ \\t]+', '')) ELSE length(text) END AS n_chars FROM l""")
+  THEN sha256(regexp_replace(text, '^[ \\t]*\\d+\\.[ \\t]+', '')) ELSE sha256(text) END AS text_sha256 FROM l""")
 def list_number_strip(spark, sf_dir):
     w = Window.partitionBy("doc_id").orderBy("pos")
     rows = labelled(spark, sf_dir).withColumn("o", F.lead("text").over(w))
-    return rows.select("doc_id", "pos", F.length(replies.list_numbers_stripped("text", "o")).cast("long").alias("n_chars"))
+    return rows.select("doc_id", "pos", F.sha2(replies.list_numbers_stripped("text", "o"), 256).alias("text_sha256"))
 
 
 @query(f"""WITH {PARAS}, n AS (SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN '(Note: kept) ' || text WHEN 1 THEN 'Note: see below' || chr(10) || '* ' || replace(text, ')', '') ELSE text END AS t, text FROM paras),
@@ -224,13 +223,13 @@ def note_strip(spark, sf_dir):
 
 
 @query(f"""WITH {SPACED}, o AS (SELECT doc_id, pos, repeat(' ', pos % 3) || trim(text) || repeat(' ', pos % 4) AS o, CASE WHEN pos % 2 = 0 THEN 'x' || trim(text) ELSE ' x ' END AS c FROM spaced)
-SELECT doc_id, pos, length(CASE WHEN o = '' THEN c ELSE CASE WHEN starts_with(c, ' ') THEN '' ELSE regexp_extract(o, '^ *') END || c || CASE WHEN ends_with(c, ' ') OR regexp_full_match(o, ' *') THEN '' ELSE regexp_extract(o, ' *$') END END) AS n_chars FROM o""")
+SELECT doc_id, pos, sha256(CASE WHEN o = '' THEN c ELSE CASE WHEN starts_with(c, ' ') THEN '' ELSE regexp_extract(o, '^ *') END || c || CASE WHEN ends_with(c, ' ') OR regexp_full_match(o, ' *') THEN '' ELSE regexp_extract(o, ' *$') END END) AS text_sha256 FROM o""")
 def edge_spaces(spark, sf_dir):
     # DuckDB's trim takes no-break spaces as well
     bare = F.regexp_replace("text", r"^[ \u00A0]+|[ \u00A0]+$", "")
     o = F.concat(F.repeat(F.lit(" "), F.col("pos") % 3), bare, F.repeat(F.lit(" "), F.col("pos") % 4))
     c = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("x"), bare)).otherwise(" x ")
-    return spaced(spark, sf_dir).select("doc_id", "pos", F.length(replies.edge_spaces_restored(o, c)).cast("long").alias("n_chars"))
+    return spaced(spark, sf_dir).select("doc_id", "pos", F.sha2(replies.edge_spaces_restored(o, c), 256).alias("text_sha256"))
 
 
 @query(f"""WITH {PARAS} SELECT doc_id, pos, round(length(text) / 1.0, 1) >= 0 AND CASE WHEN length(text) = 0 THEN true ELSE length(left(text, 40)) / CAST(length(text) AS DOUBLE) BETWEEN 0.2 AND 4.0 END AS correction_safe,
@@ -277,13 +276,6 @@ def reject_all(spark, sf_dir):
     return r.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n"), 256).alias("text_sha256"))
 
 
-@query()
-def revision_numbers(spark, sf_dir):
-    """Every insertion and deletion with its number in its document."""
-    r = revisions.entries(revisions.compared(corrections(spark, sf_dir).repartition("doc_id", "pos")), ["doc_id", "pos"])
-    return revisions.numbered(r, ["doc_id"], ["pos", "seq"]).where("rev_id is not null").select("doc_id", "pos", "seq", "kind", "rev_id")
-
-
 def _entries(spark, sf_dir):
     """Entries by place: plain text, a deletion and an insertion that differ in a no-break space or not, spaces at the end."""
     word = F.regexp_extract("text", "^[^ ]*", 0)
@@ -416,21 +408,6 @@ def batch_alignment(spark, sf_dir):
     return out.select("doc_id", "batch", "item", "status", F.sha2("corrected", 256).alias("corrected_sha256"))
 
 
-@query()
-def runs_write_back(spark, sf_dir):
-    """A correction dealt to the three runs of a paragraph."""
-    c = corrections(spark, sf_dir).where(F.length("original") < 1500).repartition("doc_id", "pos")
-    n = F.length("original")
-    a, b = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
-    runs = F.array(F.left("original", a), F.substr("original", a + 1, b - a), F.substr("original", b + 1))
-    return c.select("doc_id", "pos", F.transform(diff.dealt_to_runs(runs, F.col("corrected")), lambda x: F.length(x)).alias("run_lengths"))
-
-
-@query()
-def document_summary(spark, sf_dir):
-    return document_run.summary(spark, sf_dir)
-
-
 @query("""SELECT doc_id, length(text) AS n_chars, CASE WHEN regexp_extract(text, '(?s)^(.*[.!?])(?:\\s|$)', 1) = '' THEN length(text) ELSE length(regexp_extract(text, '(?s)^(.*[.!?])(?:\\s|$)', 1)) END AS shown FROM documents""")
 def sentence_cut(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.length(tx.up_to_last_sentence("text")).cast("long").alias("shown"))

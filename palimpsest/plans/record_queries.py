@@ -366,9 +366,9 @@ def directory_styles(spark, sf_dir):
     return audit.without_directories(rows, inside, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
 
 
-@query()
+@query("""SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS para FROM lineitem WHERE l_linenumber IN (2, 3) AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_linenumber = 2) = 1 AND count(*) FILTER (WHERE l_linenumber = 3) = 1)""")
 def directory_fields(spark, sf_dir):
-    """Paragraphs in directory fields: in every order the second line opens one, its type in two pieces, and the third one closes it, if it is there."""
+    """Paragraphs in directory fields: in every order the second line opens one, its type in two pieces, and the third one closes it, if it is there; where a line stands several times, the pieces of their types mix to none, or the fields don't balance."""
     line = F.col("l_linenumber")
     e = lambda n, kind, text=None: F.struct((line * 10 + n).alias("seq"), line.alias("para"), F.lit(kind).alias("kind"), F.lit(text).cast("string").alias("text"))
     made = F.when(line == 2, F.array(e(0, "paragraph"), e(1, "begin"), e(2, "code", " TO"), e(3, "code", "C \\o"))).when(line == 3, F.array(e(0, "paragraph"), e(1, "end"))).otherwise(F.array(e(0, "paragraph")))
@@ -403,12 +403,20 @@ def run_segments(spark, sf_dir):
     return segments.segments(_runs(spark, sf_dir), ["o_custkey"], "o_orderkey", "anchor")
 
 
-@query()
+_NEAREST = """CASE WHEN p > 0 AND p < length(text) AND regexp_matches(substr(text, p, 2), '^[\\p{L}\\p{Nd}''-]{2}$') THEN CASE WHEN length(regexp_extract(left(text, p), '[\\p{L}\\p{Nd}''-]*$')) <= length(regexp_extract(substr(text, p + 1), '^[\\p{L}\\p{Nd}''-]*'))
+  THEN p - length(regexp_extract(left(text, p), '[\\p{L}\\p{Nd}''-]*$')) ELSE p + length(regexp_extract(substr(text, p + 1), '^[\\p{L}\\p{Nd}''-]*')) END ELSE p END"""
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, text, turn % 5 + 1 AS a, 7 AS b, conv_id % 11 AS c FROM conversations),
+x AS (SELECT *, CAST(round_even(length(text) * a / CAST(a + b + c AS DOUBLE), 0) AS BIGINT) AS p FROM s), y AS (SELECT * EXCLUDE p, {_NEAREST} AS one FROM x),
+z AS (SELECT *, CAST(round_even(length(text) * (a + b) / CAST(a + b + c AS DOUBLE), 0) AS BIGINT) AS p FROM y), w AS (SELECT *, greatest(one, {_NEAREST}) AS two FROM z)
+SELECT conv_id, turn, left(text, one) AS a, substr(text, one + 1, two - one) AS b, substr(text, two + 1) AS c FROM w""")
 def segment_distribution(spark, sf_dir):
     """Turns dealt to three segments by their shares, cut at words."""
     c = table(spark, sf_dir, "conversations")
     lengths = F.array((F.col("turn") % 5 + 1).cast("int"), F.lit(7), (F.col("conv_id") % 11).cast("int"))
-    return c.select("conv_id", "turn", F.transform(segments.dealt_to_segments(lengths, F.col("text")), lambda x: F.length(x)).alias("lengths"))
+    dealt = c.select("conv_id", "turn", segments.dealt_to_segments(lengths, F.col("text")).alias("d"))
+    return dealt.select("conv_id", "turn", *[F.col("d")[i].alias(name) for i, name in enumerate("abc")])
 
 
 @query("SELECT conv_id, turn, substr(text, 1, 5) AS a, substr(text, 6, turn) AS b, substr(text, 6 + turn) AS c FROM conversations")
@@ -478,7 +486,7 @@ def salvage(spark, sf_dir):
 
 @query("""SELECT event_id, CAST(event_id AS VARCHAR) || ';' AS id, event_type FROM events WHERE event_id % 5 <> 0""")
 def event_log(spark, sf_dir):
-    """An event log written as JSON lines and read again, odd lines passed over."""
+    """Lines as an event log has them, read; odd ones are passed over."""
     e = table(spark, sf_dir, "events")
     line = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("event"), F.struct(F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("id")).alias("details"))))
     got = e.select("event_id", F.from_json(line, "ts_ms long, event string, details map<string,string>").alias("x")).where("x.event is not null")
@@ -493,3 +501,34 @@ count(*) FILTER (WHERE k = 'chart') AS charts, count(*) FILTER (WHERE k = 'diagr
 def content_counters(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, _ELEMENTS)), (F.col("l_partkey") % 9 + 1).cast("int"))
     return audit.content_counters(table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("kind")), ["l_orderkey"])
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'http://h/v3/api/chat' ELSE 'http://h/v3/chat/completions' END AS endpoint FROM pages")
+def editor_endpoint(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.editor_endpoint(F.lit(" http://h/v3// "), F.col("page_id") % 2 == 0).alias("endpoint"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bad ' || event_id WHEN 1 THEN 'plain' WHEN 2 THEN 'short' ELSE 'first line' END AS message FROM events")
+def error_messages(spark, sf_dir):
+    """The message of an error payload in its formats, else its first line."""
+    i = F.col("event_id")
+    nested = F.to_json(F.struct(F.struct(F.concat(F.lit("bad "), i.cast("string")).alias("message")).alias("error")))
+    body = F.when(i % 4 == 0, nested).when(i % 4 == 1, F.lit('{"message":"plain"}')).when(i % 4 == 2, F.lit('{"error":"short"}')).otherwise(F.lit("first line\nsecond"))
+    return table(spark, sf_dir, "events").select("event_id", replies.error_text(body).alias("message"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN greatest(1, event_id % 600) WHEN event_id % 3 = 1 THEN 4 END AS seconds FROM events")
+def retry_dates(spark, sf_dir):
+    """Retry-After as a date, and as seconds."""
+    i = F.col("event_id")
+    until = F.concat(F.lit("Sun, "), F.date_format(F.timestamp_seconds(F.lit(784111740) + i % 600), "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    header = F.when(i % 3 == 0, until).when(i % 3 == 1, F.lit("3.2")).otherwise(F.lit("later"))
+    return table(spark, sf_dir, "events").select("event_id", replies.retry_seconds(header, F.lit("{}"), F.timestamp_seconds(F.lit(784111740))).alias("seconds"))
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, true AS done FROM conversations GROUP BY conv_id")
+def json_line_stream(spark, sf_dir):
+    """Turns as JSON lines, the last of each with done; joined again."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), (F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))).alias("done")))
+    return token_stream.joined(c.select("conv_id", F.col("turn").alias("seq"), line.alias("line")), "conv_id")
