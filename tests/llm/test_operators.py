@@ -308,12 +308,12 @@ def test_pii_base_stays_where_disguises_are_added():
 
 def test_pii_pre_check_hides_nothing(monkeypatch):
     rng = np.random.default_rng(4)
-    parts = [" arobase ", " point ", " punkt ", "(arroba)", "[ punto ]", "drei", "fünf", "un", "más", "plus", "one", "Two", "oh", "nine", "7", "4", "0", " ", " ", " ", "-", ", ", ".", "+", "x", " at ", " dot ", "@", " @ ", "[at]", "( dot )", "&#64;", "&period;", "jo", "host", "-a", "12"]
+    parts = [" arobase ", " point ", " punkt ", "(arroba)", "[ punto ]", "drei", "fünf", "un", "más", "sİx", "FÜNF", "ZÉRO", "plus", "one", "Two", "oh", "nine", "7", "4", "0", " ", " ", " ", "-", ", ", ".", "+", "x", " at ", " dot ", "@", " @ ", "[at]", "( dot )", "&#64;", "&period;", "jo", "host", "-a", "12"]
     texts = ["".join(rng.choice(parts, rng.integers(4, 30))) for _ in range(20_000)]
     texts += ["call +four 4 two 0 seven 9 four 6 one now", "one 2 3 4 5 6 7 8 9", "jo at host dot -a.org"]
     with_check = [pii.find(t) for t in texts]
     assert [texts[-3][a:b] for a, b, _ in with_check[-3][1]] == ["+four 4 two 0 seven 9 four 6 one"]
-    monkeypatch.setattr(pii, "_HINTS", re.compile(""))
+    monkeypatch.setattr(pii, "hinted", lambda text: True)
     assert with_check == [pii.find(t) for t in texts]
 
 
