@@ -287,13 +287,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     work = Workspace(docs.sparkSession, "dedup")
     found = work.table(_marked(docs, id_col, text_col, work).where("id IS NOT NULL").groupBy("root", "id", "digest").count(), "found")
-    first = found.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first"))
-    judged = work.table(found.join(first, "root").select("id", "digest", (F.col("first") == F.struct("id", "digest")).alias("kept"), (F.col("count") > 1).alias("many")), "judged")
+    # Joined by the rows' own keys, not by the component: a large component is then no hot key.
+    first = found.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first")).select("first.*")
+    first = work.table(first.join(found.select("id", "digest", "count"), ["id", "digest"]), "first")
+    gone = work.table(found.select("id", "digest").join(first, ["id", "digest"], "left_anti"), "gone")
     at = docs.columns.index(id_col), docs.columns.index(text_col)
     rows = numbered(docs).withColumns({"id": F.col(f"_{at[0]}"), "digest": F.xxhash64(f"_{at[1]}")})
     names = [f"_{i}" for i in range(len(docs.columns))]
-    kept = rows.join(judged.where("NOT kept").select("id", "digest"), ["id", "digest"], "left_anti")
-    repeated = work.table(judged.where("kept AND many").select("id", "digest"), "repeated")
+    kept = rows.join(gone, ["id", "digest"], "left_anti")
+    repeated = work.table(first.where("count > 1").select("id", "digest"), "repeated")
     if not repeated.isEmpty():
         several = kept.join(repeated, ["id", "digest"], "left_semi")
         whole, others = F.struct(*names), F.to_json(F.struct(*[n for n in names if n != f"_{at[1]}"]))
