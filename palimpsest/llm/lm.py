@@ -134,6 +134,15 @@ class Cut(NamedTuple):
         per_word = np.diff(self.starts)[self.numbers]
         return np.diff(np.r_[0, np.cumsum(per_word)][self.texts])
 
+    def stretches(self, most: int) -> Iterable[tuple[int, int]]:
+        """(first, last) of texts that follow one another and have about most ids together, one at least."""
+        ends, begin = np.cumsum(self.sizes()), 0
+        while begin < len(ends):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield begin, end
+            begin = end
+
     def expanded(self, first: int, last: int) -> np.ndarray:
         """The ids of the texts from first up to last, in a row."""
         numbers = self.numbers[self.texts[first] : self.texts[last]]
@@ -268,8 +277,11 @@ def _cut(rows: DataFrame, vocabulary: str) -> DataFrame:
 
         def run(texts):
             cut = subwords.cut(map(words, texts))
-            ids = cut.expanded(0, len(texts)).astype(np.uint16)
-            return [(part.tobytes(),) for part in np.split(ids, np.cumsum(cut.sizes())[:-1])]
+            sizes, made = cut.sizes(), []
+            for begin, end in cut.stretches(SCORED):
+                ids = cut.expanded(begin, end).astype(np.uint16)
+                made += [(part.tobytes(),) for part in np.split(ids, np.cumsum(sizes[begin:end])[:-1])]
+            return made
 
         return run
 
@@ -386,17 +398,14 @@ def _scored(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str
             cut = subwords.cut(map(words, texts))
             many, index = np.diff(cut.texts), cut.index
             size = cut.sizes()
-            scores, ends = np.zeros(len(texts)), np.cumsum(size)
-            begin = 0
-            while begin < len(texts):  # texts of about SCORED ids at once, one at least
-                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - size[begin] + SCORED)))
+            scores = np.zeros(len(texts))
+            for begin, end in cut.stretches(SCORED):
                 ids, own = cut.expanded(begin, end), size[begin:end]
                 c, t, a, b, of = windows_of(ids, own, symbols)
                 got = model.log_probabilities(c, a, b, t).astype(float)
                 rare = np.flatnonzero(symbols.of[ids] == symbols.other)
                 scores[begin:end] += np.bincount(np.repeat(of, b - a), got, minlength=end - begin)
                 scores[begin:end] += np.bincount(np.searchsorted(np.cumsum(own), rare, "right"), symbols.share[ids[rare]], minlength=end - begin)
-                begin = end
             key, times = np.unique(cut.numbers * np.int64(len(texts)) + np.repeat(np.arange(len(texts)), many), return_counts=True)
             number, place = np.divmod(key, len(texts))
             ids = rows.column(rows.schema.get_field_index("id"))
