@@ -102,6 +102,17 @@ def walk_fields(events: list[tuple]) -> list[int]:
     return [] if stack else sorted(found)
 
 
+def directories(by_field: DataFrame, by_style: DataFrame, key: list[str], part: str | None = None) -> DataFrame:
+    """The keys of paragraphs in directories, told by a field or by their style; part: of the main body only."""
+    both = [d.where(F.col(part) == "main") if part else d for d in (by_field, by_style)]
+    return both[0].select(*key).union(both[1].select(*key)).distinct()
+
+
+def in_order_of_place(marks: DataFrame, key: list[str], offset: str = "offset", order: str = "seq") -> DataFrame:
+    """Marks with turn, their place among all of a paragraph from 0: by offset, those at one offset as they came."""
+    return marks.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy(offset, order)) - 1)
+
+
 def without_directories(paras: DataFrame, directories: DataFrame, key: list[str]) -> DataFrame:
     return paras.join(directories, key, "left_anti")
 
@@ -135,7 +146,7 @@ def resume_baseline(batches: DataFrame, done: DataFrame, key: list[str]) -> Data
 
 
 def latency_averages(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """key and the average of its latencies in order, as in latency_average.  Rows come sorted and are folded as they come: a key's rows needn't fit in memory, and keys without a latency above 0 are left out."""
+    """key and the average of its latencies in order, as in latency_average.  Rows come sorted and are folded as they come: a key's rows needn't fit in memory.  Keys without a latency above 0, and rows without a key, are left out."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, average = None, None

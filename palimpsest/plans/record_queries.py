@@ -532,3 +532,31 @@ def json_line_stream(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     line = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), (F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))).alias("done")))
     return token_stream.joined(c.select("conv_id", F.col("turn").alias("seq"), line.alias("line")), "conv_id")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 = 0 AS anchor, count(*) FILTER (WHERE o_orderkey % 4 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS island FROM orders),
+c AS (SELECT o_custkey, count(*) FILTER (WHERE anchor) AS anchors, count(DISTINCT island) FILTER (WHERE NOT anchor) AS segments FROM r GROUP BY o_custkey)
+SELECT o_custkey, anchors, true AS few, sha256('Das ist ein Satz von ' || o_custkey || ', und er geht-weiter.') AS text_sha256 FROM c WHERE segments > 0""")
+def translated_runs(spark, sf_dir):
+    """Translations dealt to the segments between anchors: together they are whole, and no more runs than segments have text."""
+    runs = _runs(spark, sf_dir)
+    said = runs.select("o_custkey").distinct().withColumn("translation", F.concat(F.lit("Das ist ein Satz von "), F.col("o_custkey").cast("string"), F.lit(", und er geht-weiter.")))
+    out = segments.translated(runs, said, ["o_custkey"], "o_orderkey", "anchor")
+    island = F.sum(F.col("anchor").cast("int")).over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("anchor"), F.struct("o_orderkey", "text")))), lambda x: x["text"]), "")
+    sums = out.withColumn("island", island).groupBy("o_custkey").agg(F.count_if("anchor").alias("anchors"), F.countDistinct(F.when(~F.col("anchor"), F.col("island"))).alias("segments"), F.count_if(~F.col("anchor") & (F.col("text") != "")).alias("filled"), text.alias("t"))
+    return sums.where("segments > 0").select("o_custkey", "anchors", (F.col("filled") <= F.col("segments")).alias("few"), F.sha2("t", 256).alias("text_sha256"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 5 = 0 AND l_suppkey % 2 = 0), s AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 3 = 0 AND l_suppkey % 2 = 0) SELECT * FROM f UNION SELECT * FROM s""")
+def directory_union(spark, sf_dir):
+    """Paragraphs of the main body that lie in a directory, by a field or by their style."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_suppkey") % 2 == 0, "main").otherwise("headers").alias("part_kind"))
+    return audit.directories(rows.where("l_partkey % 5 = 0"), rows.where("l_partkey % 3 = 0"), ["l_orderkey", "l_linenumber"], "part_kind")
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 7, event_id) - 1 AS INTEGER) AS turn FROM events")
+def markers_in_order(spark, sf_dir):
+    """Marks of a paragraph by their offset, those at one place as they came."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("offset"))
+    return audit.in_order_of_place(rows, ["user_id"], "offset", "event_id").select("user_id", "event_id", "turn")

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, pos, text): the lines of each text, by their place from 0."""
+    """(doc_id, pos, text): the lines of each text, by their place from 0.  An empty text is one empty line; a null text has none, so its document has no rows."""
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
 
 
@@ -26,6 +26,14 @@ def parts(paras: DataFrame) -> DataFrame:
     return paras.withColumn("part_kind", F.element_at(names, F.col("pos") % len(PARTS) + 1))
 
 
+def scoped(paras: DataFrame, scope: list[str], part: str = "part_kind") -> DataFrame:
+    """Paragraphs of the parts asked for; an error where there is none."""
+    out = paras.where(F.col(part).isin(*scope))
+    if out.isEmpty():
+        raise ValueError(f"no text in {', '.join(scope)}")
+    return out
+
+
 def part_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, name, weight) for i, (name, weight) in enumerate(PARTS)], "part_no int, part_kind string, weight int")
 

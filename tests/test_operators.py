@@ -309,3 +309,31 @@ def test_latency_averages(spark):
     got = audit.latency_averages(spark.createDataFrame(rows, "k int, i int, v double"), "k", ["i"], "v").collect()
     want = spark.createDataFrame([([4.0, 0.0, 2.0, -1.0, 10.0],)], "vs array<double>").select(audit.latency_average(F.col("vs")).alias("v")).first().v
     assert {r.k: round(r.ema, 9) for r in got} == {1: round(want, 9), 2: round(want, 9)} and round(want, 9) == round((4 * 0.7 + 2 * 0.3) * 0.7 + 3, 9)
+
+
+def test_deadline(spark):
+    from palimpsest.plans.deadline import within
+
+    assert within(spark, 60, lambda: spark.range(3).count()) == 3
+    with pytest.raises(TimeoutError):
+        within(spark, 1.0, lambda: spark.range(4 * 10**10).selectExpr("sum(sqrt(id))").collect())
+    with pytest.raises(ValueError):
+        within(spark, 60, lambda: int("x"))
+    assert spark.range(3).count() == 3
+
+
+def test_scope(spark):
+    from palimpsest.sources.tables import scoped
+
+    rows = spark.createDataFrame([(1, "main"), (2, "headers")], "doc_id int, part_kind string")
+    assert [r.doc_id for r in scoped(rows, ["main"]).collect()] == [1]
+    with pytest.raises(ValueError):
+        scoped(rows, ["footnotes"])
+
+
+def test_revision_runs():
+    ops = [("equal", "ab"), ("delete", "cd"), ("insert", "XY"), ("equal", "e")]
+    got = revisions.runs_of(ops, [(3, "p"), (2, "q")], [(3, "n"), (2, "m")], [0, 3, 5])
+    assert got == [("mark", "", 0, None), ("equal", "ab", 0, "p"), ("delete", "c", 2, "p"), ("mark", "", 3, None), ("delete", "d", 3, "q"), ("insert", "X", 4, "n"), ("insert", "Y", 4, "m"), ("equal", "e", 4, "q"), ("mark", "", 5, None)]
+    assert revisions.runs_of([("insert", "new")], [], [(3, "n")], [0]) == [("mark", "", 0, None), ("insert", "new", 0, "n")]
+    assert revisions.runs_of([], [], [], [0]) == [("mark", "", 0, None)]
