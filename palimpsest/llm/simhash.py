@@ -290,11 +290,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Joined by the rows' own keys, not by the component: a large component is then no hot key.
     first = found.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first")).select("first.*")
     first = work.table(first.join(found.select("id", "digest", "count"), ["id", "digest"]), "first")
-    gone = work.table(found.select("id", "digest").join(first, ["id", "digest"], "left_anti"), "gone")
+    # An id none of whose rows stays is told by itself; texts are only looked at where one id has rows of both kinds.
+    gone = work.table(found.select("id").distinct().join(first.select("id"), "id", "left_anti"), "gone")
+    mixed = work.table(found.select("id", "digest").join(first.select("id").distinct(), "id", "left_semi").join(first, ["id", "digest"], "left_anti"), "mixed")
     at = docs.columns.index(id_col), docs.columns.index(text_col)
     rows = numbered(docs).withColumns({"id": F.col(f"_{at[0]}"), "digest": F.xxhash64(f"_{at[1]}")})
     names = [f"_{i}" for i in range(len(docs.columns))]
-    kept = rows.join(gone, ["id", "digest"], "left_anti")
+    kept = rows.join(gone, "id", "left_anti")
+    if not mixed.isEmpty():
+        kept = kept.join(mixed, ["id", "digest"], "left_anti")
     repeated = work.table(first.where("count > 1").select("id", "digest"), "repeated")
     if not repeated.isEmpty():
         several = kept.join(repeated, ["id", "digest"], "left_semi")
