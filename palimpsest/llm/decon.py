@@ -32,7 +32,7 @@ WINDOW = 10
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 8 << 20
 #: Bytes, and texts, of a shard.
-SHARD_BYTES, SHARD_ROWS = 8 << 20, 16384
+SHARD_BYTES, SHARD_ROWS = 4 << 20, 8192
 #: Pairs of a document and an item that are made at once.
 PAIRS = 1 << 20
 
@@ -52,7 +52,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     """
     order = np.flatnonzero(ids)
     order = order[np.argsort(ids[order], kind="stable")]
-    rank = np.zeros(len(ids) + 1, np.int64)
+    rank = np.zeros(len(ids) + 1, np.int32)
     slots, key = np.arange(len(order)), ids[order].astype(np.int64)
     k = 0
     while len(slots):
@@ -67,7 +67,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
             break
         slots = slots[more]
         places = order[slots]
-        key = (rank[places] << 32) | rank[np.minimum(places + k, len(ids))]
+        key = (rank[places].astype(np.int64) << 32) | rank[np.minimum(places + k, len(ids))]
         by = np.argsort(key, kind="stable")
         order[slots], key = places[by], key[by]
     return order
@@ -101,10 +101,10 @@ class Shard:
 
     def __init__(self, texts: list[bytes], block: Block):
         get = block.vocabulary.get
-        rows = [np.fromiter(map(get, words(t), repeat(0)), np.int64) for t in texts]
+        rows = [np.fromiter(map(get, words(t), repeat(0)), np.int32) for t in texts]
         self.sizes = np.array([len(r) for r in rows], np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes + 1)]
-        self.ids = np.zeros(self.starts[-1] + 1, np.int64)
+        self.ids = np.zeros(self.starts[-1] + 1, np.int32)
         for r, a in zip(rows, self.starts, strict=False):
             self.ids[a : a + len(r)] = r
         self.array = suffix_array(self.ids, block.depth)
