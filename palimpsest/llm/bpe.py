@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: What a generation of remembered pieces may weigh: a piece weighs WEIGHT and its characters; two generations are kept.
-REMEMBERED, WEIGHT = 24_000_000, 88
+REMEMBERED, WEIGHT = 16_000_000, 88
 
 #: Characters that str.split() takes as white space and Unicode's White_Space does not.
 _INFORMATION_SEPARATORS = regex.compile("[\x1c-\x1f]")
