@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -120,6 +122,12 @@ def _slice(batch, column, start, end, as_bytes):
     return batch.slice(start, end - start), [blank if x is None else x for x in part.to_pylist()]
 
 
+def hand_back() -> None:
+    """Gives memory that earlier tasks of a worker have freed back to the system, where the C library can: workers go on from stage to stage."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, added: str, start: Callable[[], Callable], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> DataFrame:
     """df without its text, and the columns of added, which the texts are worked out to.
 
@@ -132,6 +140,7 @@ def map_texts(df: DataFrame, added: str, start: Callable[[], Callable], text: st
     names, types = struct.names, [to_arrow_type(f.dataType) for f in made_fields]
 
     def run(batches):
+        hand_back()
         f = start()
         for rows, texts in slices(batches, f"_{at}", as_bytes, most_bytes, most_rows):
             made = zip(*f(texts), strict=True)
