@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -461,18 +463,33 @@ def space_after_mark(spark, sf_dir):
     return c.select("conv_id", "turn", replies.space_after_mark(F.concat(F.lit(" "), F.col("text")), F.col("text"), F.col("turn") % 2 == 0).alias("text"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'model' WHEN 2 THEN 'preset ids differ' WHEN 3 THEN 'scope parts' WHEN 4 THEN 'target_language' END AS problem FROM customer""")
+#: What is changed in settings that are right, and the rule that then fails.
+_FLAWS = (
+    ("provider", "None", None), ("model", " ", "model"), ("presets", [("a", "n", "v", "en"), ("A", "n", "v", "en")], "preset ids differ"), ("presets", [("a", " ", "v", "en"), ("", "n", "v", "en")], "preset name"), ("scope", ["attic"], "scope parts"),
+    ("target_language", " ", "target_language"), ("font_size", "huge", "font_size"), ("provider_keys", ["openai"], "provider_keys complete"), ("provider_keys", ["openai", "who"], "provider_keys known"), ("editor_chunk_size", 7, "editor_chunk_size"),
+    ("batching_parts", [], "batching_parts"), ("batching_parts", ["Main", "attic"], "batching_parts known"), ("reasoning_effort", "endless", "reasoning_effort"), ("translation_prompt", "", "translation_prompt"), ("translation_presets", [("t", "n", " ")], "translation preset main_prompt"),
+    ("api_url", "", "api_url"), ("ui_language", "tlh", "ui_language"), ("active_preset", "z", "active_preset exists"), ("compare_mode", "eyes", "compare_mode"), ("temperature", 2.5, "temperature"), ("batch_paragraphs", 0, "batch_paragraphs"), ("parallel", 17, "parallel"),
+    ("rpm", -1, "rpm"), ("mode", "dream", "mode"), ("speed", "MANUAL", None), ("reasoning_effort", None, None),
+)
+_RIGHT = {
+    "provider": " OpenAI ", "api_url": "http://h", "model": "m", "custom_prompt": "c", "system_prompt": "s", "ui_language": "de", "correction_language": "en", "active_preset": "A", "presets": [("a", "n", "v", "en"), ("b", "n", "v", "de")],
+    "provider_keys": list(validation.PROVIDERS[:-1]), "compare_mode": "openxml", "font_size": "default", "citation_style": "auto", "temperature": 0.5, "batch_chars": 7500, "chunk_size": 7500, "editor_chunk_size": 7500, "batch_paragraphs": 10, "batching_parts": ["main"],
+    "reasoning_effort": "low", "scope": ["main"], "parallel": 4, "speed": "auto", "rpm": 0, "mode": "translation", "target_language": "de", "translation_prompt": "t", "translation_presets": [("t", "n", "m")],
+}
+
+
+def _settings(flaw: tuple) -> str:
+    s = _RIGHT | {flaw[0]: flaw[1]}
+    s["presets"] = [dict(zip(("id", "name", "value", "locale"), p, strict=True)) for p in s["presets"]]
+    s["translation_presets"] = [dict(zip(("id", "name", "main_prompt"), p, strict=True)) for p in s["translation_presets"]]
+    return json.dumps(s | {"provider_keys": dict.fromkeys(s["provider_keys"], "k")})
+
+
+@query("SELECT c_custkey, CASE c_custkey % " + str(len(_FLAWS)) + " " + " ".join(f"WHEN {i} THEN '{f[2]}'" for i, f in enumerate(_FLAWS) if f[2]) + " END AS problem FROM customer")
 def settings_check(spark, sf_dir):
     """Settings as JSON, read and checked; the first rule that fails is named."""
-    k = F.col("c_custkey") % 6
-    preset = lambda i: F.struct(i.alias("id"), F.lit("n").alias("name"), F.lit("v").alias("value"), F.lit("en").alias("locale"))
-    s = F.struct(
-        F.when(k == 0, "none").otherwise("openai").alias("provider"), F.lit("http://h").alias("api_url"), F.when(k == 1, " ").otherwise("m").alias("model"), F.lit("c").alias("custom_prompt"), F.lit("s").alias("system_prompt"), F.lit("de").alias("ui_language"),
-        F.lit("en").alias("correction_language"), F.lit("A").alias("active_preset"), F.array(preset(F.lit("a")), preset(F.when(k == 2, "A").otherwise("b"))).alias("presets"), F.lit("builtin").alias("compare_mode"), F.lit("auto").alias("citation_style"),
-        F.lit(0.5).alias("temperature"), F.lit(7500).alias("chunk_size"), F.lit(7500).alias("batch_chars"), F.lit(10).alias("batch_paragraphs"), F.array(F.when(k == 3, "attic").otherwise("main")).alias("scope"), F.lit(4).alias("parallel"), F.lit("auto").alias("speed"),
-        F.when(k == 4, "translate").otherwise("correct").alias("mode"), F.lit(" ").alias("target_language"),
-    )
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.from_json(F.to_json(s), validation.SETTINGS).alias("s")).select("c_custkey", "s.*")
+    line = F.element_at(F.array(*[F.lit(_settings(f)) for f in _FLAWS]), (F.col("c_custkey") % len(_FLAWS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.from_json(line, validation.SETTINGS).alias("s")).select("c_custkey", "s.*")
     return validation.checked(rows).select("c_custkey", "problem")
 
 
