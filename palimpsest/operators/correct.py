@@ -121,3 +121,9 @@ def corrected(paras: DataFrame, corrector: Corrector | None = None, prompt: str
         return paras.withColumn("corrected", let(rules(F.col("text")), lambda new: F.when(length_safe("text", new), new).otherwise(F.col("text"))))
     work = lambda distinct: applied(distinct.join(replies(distinct, corrector, prompt), "_key"), mode).select("_key", "corrected")
     return once_each(paras, "text", work)
+
+
+def corrected_as_a_whole(texts: DataFrame, corrector: Corrector, prompt: str = "") -> DataFrame:
+    """texts with corrected, for texts without paragraphs around them, as in charts: equal texts are asked once, and a blank answer leaves the text as it is."""
+    work = lambda distinct: replies(distinct, corrector, prompt).join(distinct, "_key").withColumn("_clean", sanitized("reply", F.col("text"))).select("_key", F.when(is_blank("_clean"), F.col("text")).otherwise(F.col("_clean")).alias("corrected"))
+    return once_each(texts, "text", work)

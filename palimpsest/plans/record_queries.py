@@ -7,9 +7,9 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import names, replies
-from ..operators import audit, lookup, packing, pacing, revisions, segments, validation
-from ..sources import sinks, tables
+from ..functions import names, replies, text
+from ..operators import audit, correct, lookup, packing, pacing, revisions, segments, validation
+from ..sources import office, sinks, tables
 from ..sources.tables import table
 from ..streaming import pacing as pacing_stream
 from ..streaming import tokens as token_stream
@@ -577,3 +577,17 @@ def markers_in_order(spark, sf_dir):
     """Marks of a paragraph by their offset, those at one place as they came."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("offset"))
     return audit.in_order_of_place(rows, ["user_id"], "offset", "event_id").select("user_id", "event_id", "turn")
+
+
+@query("""WITH n AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'chart' ELSE 'diagram' END AS kind, unnest([0, 2]) AS node, url FROM pages) SELECT page_id, kind, CAST(node AS INTEGER) AS node, CASE node WHEN 0 THEN url || ' & <' || page_id || '>' ELSE 'Total' END AS text,
+CASE WHEN node = 2 THEN 'Total' ELSE url || ' & <' || page_id || '>+' END AS corrected FROM n""")
+def embedded_texts(spark, sf_dir):
+    """Texts of charts and diagrams, corrected each once, put in their places and read again; a blank answer changes nothing."""
+    node = lambda x: F.concat(F.lit("<a:t>"), text.html_escaped(x), F.lit("</a:t>"))
+    said = F.concat("url", F.lit(" & <"), F.col("page_id").cast("string"), F.lit(">"))
+    drawing = F.concat(F.lit('<x xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main">'), node(said), F.lit("<a:t> </a:t>"), node(F.lit("Total")), F.lit("</x>"))
+    parts = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "chart").otherwise("diagram").alias("kind"), F.encode(drawing, "utf-8").alias("content"))
+    texts = office.embedded_texts(parts)
+    asked = correct.corrected_as_a_whole(texts, lambda prompts, said: ["" if t == "Total" else t + "+" for t in said])
+    again = office.embedded_texts(office.embedded_replaced(parts, asked, ["page_id"])).withColumnRenamed("text", "corrected")
+    return texts.join(again, ["page_id", "kind", "node"]).select("page_id", "kind", "node", "text", "corrected")

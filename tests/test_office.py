@@ -5,6 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from palimpsest.operators.audit import integrity
+from palimpsest.operators.correct import corrected_as_a_whole
 from palimpsest.sources import office
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -70,3 +71,46 @@ def test_integrity_of_packages(spark, tmp_path):
     old, new = (office.entries(office.packages(spark, str(tmp_path / d))).withColumn("doc", F.lit(1)) for d in ("old", "new"))
     got = integrity(old, new, ["doc"], F.col("entry").isin("word/footnotes.xml", "word/header1.xml"), F.col("entry") == "word/document.xml")
     assert [(r.entry, r.breach) for r in got.collect()] == [("word/footnotes.xml", "changed")]
+
+
+A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+def embedding(path, chart):
+    with zipfile.ZipFile(path, "w") as z:
+        types = (("charts/chart1", "drawingml.chart"), ("diagrams/data1", "drawingml.diagramData"), ("charts/lost", "drawingml.chart"))
+        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">' + "".join(f'<Override PartName="/word/{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.{t}+xml"/>' for n, t in types) + "</Types>")
+        z.writestr("_rels/.rels", rels(("officeDocument", "word/document.xml")))
+        z.writestr("word/_rels/document.xml.rels", rels(("chart", "charts/chart1.xml"), ("diagramData", "diagrams/data1.xml")))
+        z.writestr("word/document.xml", f"<w:document {W}/>")
+        z.writestr("word/charts/chart1.xml", chart)
+        z.writestr("word/charts/lost.xml", chart)
+        z.writestr("word/diagrams/data1.xml", f"<x {A}><a:t>one  two</a:t><b:t xmlns:b='o'>not this</b:t><a:t/></x>")
+
+
+def test_texts_of_charts_and_diagrams(spark, tmp_path):
+    chart = f"<?xml version='1.0' encoding='utf-8'?><c:c xmlns:c='c' {A} c:odd='a&gt;b'><!-- <a:t>no</a:t> --><a:t>one  two</a:t><a:t> </a:t><a:t xml:space=\"preserve\">Grün &amp;  &lt;x&gt;</a:t><a:t><![CDATA[keep]]></a:t></c:c>"
+    embedding(tmp_path / "a.docx", chart.encode())
+    embedding(tmp_path / "b.docx", b"<broken")
+    (tmp_path / "c.docx").write_bytes(b"no zip")
+    parts = office.embedded_parts(office.packages(spark, str(tmp_path))).withColumn("path", F.regexp_extract("path", r"([^/]+)$", 1))
+    texts = office.embedded_texts(parts)
+    assert sorted((r.path, r.kind, r.node, r.text) for r in texts.collect()) == [
+        ("a.docx", "chart", 0, "one  two"), ("a.docx", "chart", 2, "Grün &  <x>"), ("a.docx", "chart", 3, "keep"), ("a.docx", "diagram", 0, "one  two"), ("b.docx", "diagram", 0, "one  two"),
+    ]
+    asked = corrected_as_a_whole(texts, lambda prompts, said: [" " if t == "keep" else t.replace("  ", " ") for t in said])
+    new = office.embedded_replaced(parts, asked, ["path", "entry"])
+    assert new.columns == parts.columns
+    got = {(r.path, r.kind): bytes(r.content).decode() for r in new.collect()}
+    assert got["a.docx", "chart"] == chart.replace(">one  two<", ">one two<").replace("Grün &amp;  &lt;", "Gr&#252;n &amp; &lt;")
+    assert got["b.docx", "chart"] == "<broken"
+    assert [r.text for r in office.embedded_texts(new).where("path = 'a.docx' and kind = 'chart'").orderBy("node").collect()] == ["one two", "Grün & <x>", "keep"]
+
+
+def test_texts_of_odd_parts(spark):
+    parts = spark.createDataFrame([(1, None, "x"), (2, b"", "x"), (3, f"<x {A}><a:t>é</a:t></x>".encode("utf-16"), "x")], "id int, content binary, `odd.name` string")
+    texts = office.embedded_texts(parts)
+    assert texts.columns == ["id", "odd.name", "node", "text"]
+    assert [r.text for r in texts.collect()] == ["é"]
+    new = office.embedded_replaced(parts, texts.withColumn("corrected", F.lit("ü<")), ["id"])
+    assert [r.text for r in office.embedded_texts(new).collect()] == ["ü<"]
