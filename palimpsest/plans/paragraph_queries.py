@@ -445,14 +445,16 @@ def header_pairs(spark, sf_dir):
     return revisions.pairs_by_index(p.where("pos % 3 = 0"), p.where("pos % 4 = 0"), ["doc_id"], "pos").select("doc_id", "turn", (F.col("original") == F.col("corrected")).alias("same"))
 
 
-@query(f"""WITH {PARAS}, e AS (SELECT doc_id, CASE WHEN pos % 6 = 5 THEN 1 WHEN pos % 2 = 1 THEN 2 ELSE 0 END AS n FROM paras WHERE text <> '')
-SELECT doc_id, CAST(sum(n) AS INTEGER) AS last_id FROM e GROUP BY doc_id HAVING sum(n) > 0""")
+@query(f"""WITH {_PARTS}, {_WEIGHTS}, e AS (SELECT doc_id, part_kind, pos, 0 AS k, CASE WHEN pos % 2 = 1 THEN 'delete' ELSE 'equal' END AS kind, text AS token FROM parts WHERE text <> ''
+UNION ALL SELECT doc_id, part_kind, pos, 1, 'insert', '⁂' FROM parts WHERE pos % 2 = 1 AND part_kind <> 'glossary'),
+n AS (SELECT *, count(*) FILTER (WHERE kind <> 'equal') OVER (PARTITION BY doc_id ORDER BY part_no, pos, k ROWS UNBOUNDED PRECEDING) AS turn FROM e JOIN weights USING (part_kind))
+SELECT doc_id, part_kind, pos, kind, sha256(token) AS token_sha256, CASE WHEN kind <> 'equal' THEN turn END AS rev_id FROM n""")
 def document_compare(spark, sf_dir):
-    """Whole documents compared over their parts: the last number is that of all insertions and deletions.  Every second paragraph is said otherwise, in one sign; those of the glossary are gone."""
+    """Whole documents compared over their parts, every entry with its number.  Every second paragraph is said otherwise, in one sign; those of the glossary are gone."""
     p = parts(paras(spark, sf_dir))
     new = p.where("part_kind <> 'glossary'").withColumn("text", F.when(F.col("pos") % 2 == 1, F.lit("⁂")).otherwise(F.col("text")))
     rows = revisions.document_compared(p, new, [name for name, _ in PARTS])
-    return rows.where("kind <> 'equal'").groupBy("doc_id").agg(F.max("rev_id").cast("int").alias("last_id"))
+    return rows.select("doc_id", "part_kind", "pos", "kind", F.sha2("token", 256).alias("token_sha256"), "rev_id")
 
 
 @query(f"""WITH {_ENTRIES}, k AS (SELECT doc_id, pos, seq, CASE WHEN kind = 'equal' THEN 'equal' ELSE 'change' END AS kind, token FROM entries)
