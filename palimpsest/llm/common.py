@@ -7,7 +7,9 @@ import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -99,6 +101,20 @@ def sampled(rows: DataFrame, group: str, order: list[Column], most: int, salts:
     return rows
 
 
+class Covered:
+    """Spans (start, end) in order, so that it need not be asked of each whether it meets another."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether any of the spans has a place between start and end."""
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """(rows, their texts) in runs of bounded size; null texts are empty."""
     for batch in batches:

@@ -21,7 +21,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, numbered
+from .common import Covered, map_texts, numbered
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -236,15 +236,16 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     first = unlike(text) if odd else None
     middle = first.text if first else text
     second = unspell(middle)
-    found = []
-    for start, end, kind in plain(second.text):
+    clear, found = second.text, []
+    covered = {kind: Covered((a, b) for a, b, k in base if k == kind) for kind in KINDS}
+    for start, end, kind in plain(clear):
         a, b, changed = second.source(start, end)
         if first:
             a, b, touched = first.source(a, b)
             changed |= touched
-        if not changed or any(k == kind and a < y and x < b for x, y, k in base):
+        if not changed or covered[kind].meets(a, b):
             continue
-        if kind == "email" and not re.search(r"\.[A-Za-z]{2,24}$", second.text[start:end].rstrip("-")):
+        if kind == "email" and not re.search(r"\.[A-Za-z]{2,24}$", clear[start:end].rstrip("-")):
             continue
         found.append((a, b, kind))
     return found
