@@ -17,13 +17,14 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import accumulate, pairwise
 from math import log10
 
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Covered, map_texts
 
 #: assign, access and hex are the fixed patterns; guess is what the guess cost adds.
 KINDS = ("assign", "access", "hex", "guess")
@@ -186,11 +187,11 @@ def plain_bytes(raw: bytes) -> list[tuple[int, int, str]]:
 
 def guessed(text: str, base: list[tuple[int, int, str]], least: float = MIN_GUESSES, vocabulary: str = VOCABULARY) -> list[tuple[int, int, str]]:
     """Values in credential contexts that cost at least 10**least guesses and lie outside the plain spans."""
-    found = []
+    found, covered = [], Covered((a, b) for a, b, _ in base)
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".)]}")
         a, b = m.start(1), m.start(1) + len(value)
-        if len(value) >= 6 and not any(x < b and a < y for x, y, _ in base) and guess_cost(value, vocabulary) >= least:
+        if len(value) >= 6 and not covered.meets(a, b) and guess_cost(value, vocabulary) >= least:
             found.append((a, b, "guess"))
     return found
 
@@ -207,7 +208,9 @@ def find(raw: bytes, least: float = MIN_GUESSES, vocabulary: str = VOCABULARY) -
         return [], []
     text = raw.decode()
     if base and len(text) != len(raw):
-        base = [(len(raw[:a].decode()), len(raw[:b].decode()), k) for a, b, k in base]
+        ends = sorted({x for a, b, _ in base for x in (a, b)})
+        place = dict(zip(ends, accumulate(len(raw[a:b].decode()) for a, b in pairwise([0, *ends])), strict=True))
+        base = [(place[a], place[b], k) for a, b, k in base]
     base = ordered(base)
     more = guessed(text, base, least, vocabulary)
     return base, ordered(base + more) if more else base

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import ann, bpe, decon, langid, lm, pii, quality, registry, rollup, secrets, simhash
+from palimpsest.llm.common import Covered
 
 from ..compare import same
 from ..conftest import DATA
@@ -430,6 +431,27 @@ def test_decon_holds_no_grid_of_places_and_items():
     assert (n, len(hits), len(items), longest) == (200_000, 200_000, 1001, 300)
 
 
+def test_covered():
+    rng = random.Random(5)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(8)))]
+        covered = Covered(spans)
+        for a in range(-1, 45):
+            for b in (a + 1, a + 4):
+                assert covered.meets(a, b) == any(x < b and a < y for x, y in spans)
+
+
+def test_long_texts_of_many_spans():
+    """A million characters of plain and disguised spans: each kind of work grows with the text, not with its square."""
+    unit, many = "é a@b.c d at e dot fr, token=abcdefgh my password is hunter2horse9 +44 20 7946 0958; ", 12_000
+    base, spans = pii.find(unit * many)
+    assert len(base) == 2 * many and len(spans) == 3 * many
+    assert spans[-3:] == [(a + len(unit) * (many - 1), b + len(unit) * (many - 1), k) for a, b, k in pii.find(unit)[1]]
+    base, spans = secrets.find((unit * many).encode())
+    assert len(base) == many and len(spans) == 2 * many
+    assert spans[-2:] == [(a + len(unit) * (many - 1), b + len(unit) * (many - 1), k) for a, b, k in secrets.find(unit.encode())[1]]
+
+
 # 7
 
 
