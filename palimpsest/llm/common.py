@@ -73,6 +73,11 @@ def forget(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
+def named(name: str) -> Column:
+    """The column of just this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns named _0, _1, ...: whatever they were called, they clash with nothing.  toDF(*df.columns) undoes it."""
     return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
@@ -144,12 +149,14 @@ def hand_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_texts(df: DataFrame, added: str, start: Callable[[], Callable], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> DataFrame:
+def map_texts(df: DataFrame, added: str, start: Callable[[], Callable], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS, beside: str | None = None) -> DataFrame:
     """df without its text, and the columns of added, which the texts are worked out to.
 
-    start() runs once in a task and returns f(texts) -> one tuple for each text.
+    start() runs once in a task and returns f(texts) -> one tuple for each text;
+    where a column beside the text is named, f(texts, its values).
     """
     made_fields, at = StructType.fromDDL(added).fields, df.columns.index(text)
+    by = None if beside is None else f"_{df.columns.index(beside)}"
     plain = numbered(df)  # names may hold signs that mapInArrow can't resolve
     kept = [f for i, f in enumerate(plain.schema.fields) if i != at]
     struct = StructType([*kept, *made_fields])
@@ -159,7 +166,7 @@ def map_texts(df: DataFrame, added: str, start: Callable[[], Callable], text: st
         hand_back()
         f = start()
         for rows, texts in slices(batches, f"_{at}", as_bytes, most_bytes, most_rows):
-            made = zip(*f(texts), strict=True)
+            made = zip(*(f(texts) if by is None else f(texts, rows.column(by).to_pylist())), strict=True)
             arrays = [rows.column(rows.schema.get_field_index(c)) for c in names[: len(kept)]]
             arrays += [pa.array(c, t) for c, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)
