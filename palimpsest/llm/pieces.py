@@ -10,7 +10,8 @@ comes before the other places of the same rank (ranks needn't grow along a
 piece's parts), those wait for another round, so that the outcome is that of
 one merge at a time.  What ROUNDS rounds leave open (stretches of hundreds of
 such cases, as long white space is, whose pieces all rank alike) is finished by
-a queue of pairs, in time n log n.
+a queue of pairs, in time n log n; stretches of up to ROUNDS characters never
+come to that.
 
 Models are byte-fallback BPE without normalisation rules or pieces that users
 have defined; others are refused.  Null and empty texts have the begin and end
@@ -20,6 +21,7 @@ texts of any length are taken whole; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import heapq
@@ -40,6 +42,10 @@ NONE = np.int32(2**31 - 1)
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
+#: U+FFFD for every byte of what isn't UTF-8.
+EACH_BYTE = "palimpsest-each-byte"
+codecs.register_error(EACH_BYTE, lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -267,19 +273,19 @@ class Pieces:
     # decoding
 
     def shown(self, ids: list[int]) -> str:
-        """The strings of ids, one after the other; bytes are read as UTF-8, what isn't any becomes U+FFFD."""
+        """The strings of ids, one after the other; bytes are read as UTF-8, each byte that isn't becomes U+FFFD."""
         strings, byte_of, out, run = self.strings, self.byte_of, [], bytearray()
         for i in ids:
             if (b := byte_of.get(i)) is not None:
                 run.append(b)
                 continue
             if run:
-                out.append(run.decode(errors="replace"))
+                out.append(run.decode(errors=EACH_BYTE))
                 run = bytearray()
             if i not in self.silent:
                 out.append(self.unknown[i] if i in self.unknown else strings[i])
         if run:
-            out.append(run.decode(errors="replace"))
+            out.append(run.decode(errors=EACH_BYTE))
         return "".join(out).replace(SPACE, " ")
 
     def decode(self, ids: list[int]) -> str:

@@ -9,7 +9,7 @@ from palimpsest.llm import langid, pii
 
 from ..conftest import DATA
 from . import plain
-from .test_operators import DOCS
+from .conftest import DOCS
 
 
 def test_pipeline(spark):
