@@ -40,8 +40,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _pack(ids: np.ndarray, x: np.ndarray) -> tuple:
-    """Original vectors, their int8 codes, scales, and the lengths of the rounding errors (a little more, for the float arithmetic)."""
-    top = np.abs(x).max(1, keepdims=True)  # against overflow of squares
+    """Vectors, their int8 codes, scales, and the lengths of the rounding errors (a little more, for the float arithmetic).
+
+    Vectors are kept scaled by a power of two of their own, which leaves their
+    cosines the same to the last bit and their squares within range.
+    """
+    top = np.abs(x).max(1, keepdims=True)
+    powers = np.frexp(top)[1]
+    x, top = np.ldexp(x, -powers), np.ldexp(top, -powers)
     unit = x / top
     unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
     scale = np.abs(unit).max(1) / 127

@@ -243,8 +243,8 @@ def search(texts: list[bytes], block: Block, places: bool = True) -> list[tuple]
 
 
 def blocks(benchmark: DataFrame, size: int, work: Workspace, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW):
-    """The items in blocks of about size bytes, each gathered when it is its turn."""
-    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    """The distinct items in blocks of about size bytes, each gathered when it is its turn.  Rows are dealt by a hash: equal ones would all meet in one block, so they are united first."""
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0
     n = 1 + total // size
     if n > 1:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, numbered, sampled, slices
+from .common import held_out, map_texts, named, numbered, sampled, slices
 
 #: Hash buckets of the n-grams.
 BUCKETS = 8192
@@ -141,7 +141,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", buckets: int = BUCKETS, per_language: int = SAMPLE_PER_LANGUAGE, epochs: int = 6, seed: int = 7) -> Model:
     """A model of the rows of docs that have a text and a label."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
+    rows = docs.where(named(label_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).alias("id"), named(text_col).alias("text"), named(label_col).alias("lang"))
     n, df = document_frequencies(rows, buckets)
     if not n:
         return Model([], np.zeros((buckets, 0)), np.zeros(buckets, np.float32), 1.0)
@@ -190,9 +190,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score), with a model of the documents whose crc32 of the id leaves a remainder other than 2 by 4."""
-    marked = docs.select(F.col(id_col), held_out(F.col(id_col), 4, 2).alias("held_out"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
+    marked = docs.select(named(id_col), held_out(named(id_col), 4, 2).alias("held_out"), named(text_col).alias("text"), named(label_col).alias("lang"))
     model = train(marked.where(~F.col("held_out")), id_col=id_col)
-    return predict(marked.select(id_col, "held_out", "text"), model)
+    return predict(marked.select(named(id_col), "held_out", "text"), model)
 
 
 def identified(docs: DataFrame, labelled: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import CONTEXT, STRIDE, Adam, Attention
-from .common import Workspace, held_out, map_texts, slices
+from .common import Workspace, held_out, map_texts, named, slices
 
 #: Symbols of the model: frequent ids, the end, and one for all other ids.
 SYMBOLS, GROUPS = 2048, 32
@@ -86,6 +86,8 @@ class Subwords:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = len(ranks)
+        if self.end >= 1 << 16:  # ids, and the end, are packed in two bytes
+            raise ValueError(f"{path}: {self.end} ids; vocabularies of up to 65,535 can be scored")
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.starts_word = np.zeros(self.end, bool)
         self.starts_word[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
@@ -495,4 +497,4 @@ def totals(counts: DataFrame) -> tuple[int, int, int]:
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), learned from the documents whose crc32 of the id leaves a remainder other than 1 by 5."""
     out = scored(docs, docs.where(~held_out(F.col(f"`{id_col}`"), 5, 1)), id_col, text_col)
-    return out.select(id_col, held_out(F.col(id_col), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(named(id_col), held_out(named(id_col), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, sampled
+from .common import held_out, map_texts, named, sampled
 
 #: Bytes of a passage.
 PASSAGE = 400
@@ -147,11 +147,11 @@ class Attention:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> Attention:
     """A model of the labelled rows of docs.  A document with several labels counts with the least; null labels don't count."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    known = labels.where(named(label_col).isNotNull() & named(id_col).isNotNull()).groupBy(named(id_col).alias("id")).agg(F.min(named(label_col)).cast("int").alias("label"))
     order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
     chosen = sampled(known, "label", order, per_label)
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # a row for each label
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     # An id may stand in many rows: the bound is put to rows, too.
     sample = sampled(rows.join(F.broadcast(chosen), "id"), "label", order, per_label).select("id", "label", "text")
     got = map_texts(sample, "bag binary", lambda: lambda texts: [(bag(t).tobytes(),) for t in texts], as_bytes=True).collect()  # bounded by the sample
@@ -187,6 +187,6 @@ def score(docs: DataFrame, model: Attention, text_col: str = "text", threshold:
 
 def qualities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, held_out, score, predicted), with a model of the labelled documents whose crc32 of the id leaves a remainder other than 0 by 5."""
-    marked = docs.select(F.col(id_col), held_out(F.col(id_col), 5, 0).alias("held_out"), F.col(text_col).alias("text"))
-    model = train(marked.where(~F.col("held_out")), labels.where(~held_out(F.col(id_col), 5, 0)), id_col=id_col, label_col=label_col)
+    marked = docs.select(named(id_col), held_out(named(id_col), 5, 0).alias("held_out"), named(text_col).alias("text"))
+    model = train(marked.where(~F.col("held_out")), labels.where(~held_out(named(id_col), 5, 0)), id_col=id_col, label_col=label_col)
     return score(marked, model)

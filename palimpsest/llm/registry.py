@@ -97,10 +97,11 @@ d AS (SELECT source, lang, {_REVISED} AS t FROM documents WHERE doc_id IS NULL O
 c AS (SELECT source, lang, 'words/1' AS tokenizer, {_WORDS.format("t")} AS n FROM d UNION ALL SELECT source, lang, 'pieces/1', {_PIECES.format("t")} FROM d)
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL""",
     "op5_neighbours": f"""
-WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
-q AS (SELECT vec_id AS query_id, min(e) AS qe FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS d FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
+w AS (SELECT vec_id, list_transform(d, lambda x: x / pow(2, floor(log2(list_max(list_transform(d, lambda y: abs(y))))))) AS e FROM v),
+q AS (SELECT vec_id AS query_id, min(e) AS qe FROM w WHERE vec_id % 50 = 0 GROUP BY vec_id),
 s AS (SELECT query_id, vec_id, list_inner_product(qe, e) / (sqrt(list_inner_product(qe, qe)) * sqrt(list_inner_product(e, e))) AS score
-      FROM q JOIN v ON vec_id <> query_id AND len(qe) = len(e)),
+      FROM q JOIN w ON vec_id <> query_id AND len(qe) = len(e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5""",
     "op6_decontamination": f"""

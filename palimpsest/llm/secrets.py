@@ -24,7 +24,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Covered, map_texts
+from .bpe import Memory
+from .common import Covered, map_texts, named
 
 #: assign, access and hex are the fixed patterns; guess is what the guess cost adds.
 KINDS = ("assign", "access", "hex", "guess")
@@ -114,9 +115,25 @@ class Run:
             yield j, before + self.cost + log10((j - i) // self.step)
 
 
-@lru_cache(maxsize=20_000)
+#: What the remembered values may weigh, in characters and 88 for each.
+REMEMBERED = 4_000_000
+
+
+@lru_cache(maxsize=2)
+def _known(vocabulary: str) -> Memory:
+    """Costs that a worker remembers, of bounded weight: long values are forgotten sooner."""
+    return Memory(REMEMBERED)
+
+
 def guess_cost(value: str, vocabulary: str = VOCABULARY) -> float:
     """log10 of the guesses for the cheapest cut of value into spans."""
+    known = _known(vocabulary)
+    if (cost := known.get(value)) is None:
+        known.put(value, cost := _guess_cost(value, vocabulary))
+    return cost
+
+
+def _guess_cost(value: str, vocabulary: str) -> float:
     n, low = len(value), value.lower()
     if len(low) != n:  # a few characters are longer in lower case
         low = "".join([c.lower() if len(c.lower()) == 1 else c for c in value])
@@ -238,5 +255,5 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
         return run
 
-    kept = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    kept = docs.select(named(id_col), named(text_col).alias("text"))
     return map_texts(kept, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, guess_costs array<double>", start, as_bytes=True)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_texts, numbered
+from .common import Workspace, map_texts, named, numbered
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Nodes of a level that are compared with one another at once.
@@ -63,7 +63,7 @@ def fingerprints_of(texts: list[bytes]) -> list[int]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp as the signed long of the same 64 bits."""
-    return map_texts(docs.select(id_col, text_col), "fp long", lambda: lambda texts: [(x,) for x in fingerprints_of(texts)], text_col, as_bytes=True)
+    return map_texts(docs.select(named(id_col), named(text_col)), "fp long", lambda: lambda texts: [(x,) for x in fingerprints_of(texts)], text_col, as_bytes=True)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -667,3 +667,84 @@ def test_queries(spark, duck):
     for name, sql in registry.ORACLE_SQL.items():
         same(registry.queries()[name](spark, f"{DATA}/sf0.001"), duck.sql(sql))
     assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 14))
+
+
+def test_columns_whose_names_hold_dots(spark, small):
+    """An id column may be called anything."""
+    docs = small.limit(40).select(F.col("doc_id").alias("a.b"), F.col("text").alias("t.x"), "lang")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "`a.b` long, quality int")
+    outs = [
+        pii.personal_data(docs, "a.b", "t.x"), secrets.secrets(docs, "a.b", "t.x"), bpe.bpe_ids(docs, public_tokenizers.path("word_bpe_49k.json"), "a.b", "t.x"), langid.languages(docs, "a.b", "t.x"),
+        lm.language_model(docs, "a.b", "t.x"), quality.qualities(docs, labels, "a.b", "t.x"), simhash.near_duplicates(docs, "a.b", "t.x"), decon.contamination(docs, spark.createDataFrame([("i", "x")], "item_id string, text string"), "a.b", "t.x"),
+    ]
+    for out in outs:
+        assert out.columns[0] == "a.b" and out.count() == docs.count()
+
+
+def test_equal_items_do_not_fill_one_block(spark):
+    from palimpsest.llm.common import Workspace
+
+    items = spark.createDataFrame([("same", "one two three four five six seven eight nine ten eleven")] * 2000 + [(f"i{k}", f"word{k} " * 12) for k in range(300)], "item_id string, text string")
+    sizes = [len(b.names) for _, b in decon.blocks(items, 4096, Workspace(spark, "t"))]
+    assert len(sizes) > 3 and max(sizes) < 120
+
+
+def test_neighbours_of_extreme_sizes(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 8))
+    sizes = 10.0 ** np.array([0, 200, -200, 300, -300, 150])
+    rows = [(i, (v * sizes[i % 6]).tolist()) for i, v in enumerate(base)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(vectors, vectors.where("vec_id % 5 = 0")).collect()}
+    unit = base / np.sqrt((base * base).sum(1, keepdims=True))
+    for q in range(0, 60, 5):
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (-(unit[q] @ unit[i]), i))[:5]
+        assert [got[q, r][0] for r in range(1, 6)] == order
+        assert np.allclose([got[q, r][1] for r in range(1, 6)], [unit[q] @ unit[i] for i in order], rtol=1e-12)
+
+
+def test_remembered_costs_are_bounded():
+    from palimpsest.llm.bpe import WEIGHT
+
+    vocabulary = secrets.VOCABULARY
+    secrets._known.cache_clear()
+    for k in range(60):
+        secrets.guess_cost(f"{k}x" * 20_000, vocabulary)
+    known = secrets._known(vocabulary)
+    assert sum(WEIGHT + len(v) for part in (known.young, known.old) for v in part) <= 2 * secrets.REMEMBERED
+    assert secrets.guess_cost("password", vocabulary) == secrets._guess_cost("password", vocabulary) == known.get("password")
+
+
+def test_vocabularies_that_two_bytes_cannot_hold_are_refused(tmp_path):
+    import base64
+
+    path = tmp_path / "large.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(str(i).encode()).decode()} {i}\n" for i in range(70_000)))
+    with pytest.raises(ValueError, match="65,535"):
+        lm.Subwords(str(path))
+
+
+PROSE = {
+    "en": ("I we they she he you it there someone nobody John".split(), "was am were stopped looked arrived met waited stood pointed".split(), "at home|at page|at work|at noon|at the end|at school|at one|at least".split("|"), "dot and|dot then|dot in the corner|dot the i|dot one|dot dot dot|dot by dot|dot it is|dot no".split("|")),
+    "fr": ("je tu il elle nous on Marie".split(), "était arrivait restait disait venait".split(), "au point|à ce point|arobase et|sur un point".split("|"), "point de vue|point final|point et|point un|dot et".split("|")),
+    "de": ("ich du er sie wir man Hans".split(), "war stand kam blieb ging".split(), "am Punkt|an dem Punkt|at hoc|an einem".split("|"), "Punkt und|Punkt eins|Punkt für Punkt|Punkt der Ordnung".split("|")),
+    "es": ("yo tú él ella nosotros María".split(), "estaba llegó quedó dijo vino".split(), "en el punto|a un punto|una arroba|por arroba".split("|"), "punto y coma|punto final|punto por punto|punto uno|punto de vista".split("|")),
+}
+
+
+def test_plain_prose_holds_no_addresses():
+    """Thousands of sentences with the words for the signs, in four languages."""
+    rng, n = random.Random(8), 0
+    for who, did, where, then in PROSE.values():
+        for _ in range(1500):
+            parts = [rng.choice(who), rng.choice(did), rng.choice(where), rng.choice(then), rng.choice([*who, *then])]
+            if rng.random() < 0.4:
+                parts.insert(2, rng.choice(who))
+            text = " ".join(parts)
+            assert pii.find(text)[1] == pii.find(text)[0] == [], text
+            n += 1
+    assert n == 6000
+    for text in ("I was at home dot and then", "look at page dot one", "write to me at example dot com"):
+        assert pii.find(text)[1] == []
+    for text in ("john.doe at example dot com", "jo at mail dot host dot co dot uk", "hans at beispiel punkt de", "ana arroba correo punto es", "luc arobase exemple point fr", "x (at) y dot zz"[:7] + "y [dot] zz", "sam@host dot page"):
+        assert len(pii.find(text)[1]) == 1, text
