@@ -129,12 +129,14 @@ _ODD = re.compile(_class([c for c in range(0x80, 0x20000) if not 0xD800 <= c < 0
 _WORD = "|".join(_SPELLED)
 _DIGITS = rf"(?:(?:{_WORD}|[0-9])(?:[\s-](?:{_WORD}|[0-9])){{0,2}}|[0-9]{{1,3}})"
 _LABEL = "[A-Za-z0-9-]+"
-# Top-level domains that a spoken address may end in, without those that are words of English, the only one of these languages in which "at" is a common word.
+# Top-level domains that a spoken address may end in, and, for each language of _SPOKEN, those that are words of it.
 _TOP = "com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|online|site|shop|store|tech|cloud|blog|email|example|test|local|invalid|dev|app|ai|io|co|eu|uk|fr|ch|nl|pl|cz|dk|fi|gr|hu|pt|ro|ru|sk|ua|br|mx|cl|ar|ca|jp|cn|kr|nz|za|au|ie|li|lt|lv|bg|hr|rs|tr|il|sg|hk|tw|th|vn|ph|cc|tv|fm|gg|ly|xyz|de|es|se"
+_WORDS_TOO = ("", "de|es|se|ca|ai", "de|se", "es")
 #: What stands before "at" in a sentence and not in an address.
 _NO_NAME = "me|us|him|her|it|them|you|is|are|was|were|be|been|look|looked|here|there|home|mich|uns|ihn|sie|nous|lui|eux|nos|ellos"
 # where nothing is bracketed, the words alone don't make an address: a known top-level domain ends it, and a name begins it
-_MAIL = "|".join(rf"\s(?:{at})\s{_LABEL}(?:\s(?:{dot})\s{_LABEL})*\s(?:{dot})\s(?:{_TOP})(?![\w-])" for at, dot in (*_SPOKEN,)) + rf"|@{_LABEL}(?:\s(?:{_DOT})\s{_LABEL})+"
+_TOPS = ["|".join(t for t in _TOP.split("|") if t not in own.split("|")) for own in _WORDS_TOO]
+_MAIL = "|".join(rf"\s(?:{at})\s{_LABEL}(?:\s(?:{dot})\s{_LABEL})*\s(?:{dot})\s(?:{top})(?![\w-])" for (at, dot), top in zip(_SPOKEN, _TOPS, strict=True)) + rf"|@{_LABEL}(?:\s(?:{_DOT})\s{_LABEL})+"
 _RULES = re.compile(
     rf"(?P<at>\s{{0,3}}[\[({{<]\s*(?:{_AT}|@)\s{{0,3}}[\])}}>]\s{{0,3}}|(?<=\w)\s@\s(?=\w)|&(?:\#64|commat);)"
     rf"|(?P<dot>\s{{0,3}}[\[({{<]\s*(?:{_DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|&(?:\#46|period);)"
