@@ -45,14 +45,18 @@ SELECT key, seq, iv, learned, stated, greatest(t, free) + iv, burst, run, greate
 SELECT key, seq, iv AS interval_ms, learned AS learned_floor_ms, stated AS stated_floor_ms, slot AS slot_ms FROM s WHERE seq > 0""")
 def adaptive_pacing(spark, sf_dir):
     """The pacer's state after each event of a user: errors as refusals, some with a time to wait or a stated limit."""
+    return pacing.paced(pacing_events(spark, sf_dir))
+
+
+def pacing_events(spark, sf_dir):
+    """Events of users as those of the pacer."""
     e = table(spark, sf_dir, "events")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    rows = e.select(
+    return e.where("user_id is not null").select(
         F.col("user_id").cast("string").alias("key"), seq.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("ts_ms"),
         F.when(F.col("event_type") == "error", "throttled").otherwise("success").alias("outcome"), F.when(F.col("event_id") % 5 == 0, F.lit(2)).cast("int").alias("retry_after_s"),
         F.when(F.col("event_id") % 97 == 0, F.lit(30.0)).alias("header_rpm"), F.lit(0.5).alias("jitter"),
     )
-    return pacing.paced(rows)
 
 
 @query("SELECT event_id, CAST(CASE WHEN value % 7 <= 0 THEN 8 WHEN value <= 0 THEN 1 ELSE least(8, greatest(1, ceil(value / (value % 7)))) END AS BIGINT) AS parallel FROM events WHERE value IS NOT NULL")

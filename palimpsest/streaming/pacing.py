@@ -1,34 +1,123 @@
-"""The pacer as a stateful stream, and notices of throttling as sessions."""
+"""The pacer as a stateful stream, and notices of throttling, which end by themselves."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.pacing import LIMITS, STATE, STATES, Limits, State, first, follow
 
 #: A notice stays for so long after the last refusal.
-NOTICE = "12 seconds"
+NOTICE_MS = 12_000
+NOTICE = f"{NOTICE_MS // 1000} seconds"
+#: A key without events for so long is forgotten, in milliseconds.
+IDLE_MS = 24 * 3600 * 1000
 
+CHANGES = "key string, change string, at timestamp, refusals long"
+SHOWN, HIDDEN = "shown", "hidden"
 
-def paced(events: DataFrame, limits: Limits = LIMITS["auto"]) -> DataFrame:
-    """Events in order across triggers to the states after each."""
 
-    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = State(*state.get) if state.exists else first(limits)
-        after, out = follow(limits, before, pd.concat(parts).sort_values("seq"))
-        state.update(tuple(after))
+class Pacer(StatefulProcessor):
+    """A key's pacing state, and the timer by which it goes."""
+
+    def __init__(self, limits: Limits, idle_ms: int):
+        self.limits, self.idle_ms = limits, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pacing = handle.getValueState("pacing", f"{STATE}, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *before, timer = self.pacing.get() if self.pacing.exists() else (*first(self.limits), None)
+        after, out = follow(self.limits, State(*before), pd.concat(rows).sort_values("seq"), self.idle_ms)
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = max(int(after.last_ms), timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+        self.handle.registerTimer(timer)
+        self.pacing.update((*after, timer))
         yield out
 
-    return events.groupBy("key").applyInPandasWithState(step, STATES, STATE, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.pacing.exists() and self.pacing.get()[-1] == expiredTimerInfo.getExpiryTimeInMs():
+            self.pacing.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def paced(events: DataFrame, limits: Limits = LIMITS["auto"], idle_ms: int = IDLE_MS, lateness: str = "0 seconds") -> DataFrame:
+    """Events in order across triggers to the states after each (append mode; needs the RocksDB state store).
+
+    The state of a key goes when the watermark, which follows ts_ms, is idle_ms
+    past its last event; a key that comes after that is as new, here as in
+    the batch form.
+    """
+    timed = events.where("key is not null").withColumn("_at", F.timestamp_millis(F.col("ts_ms").cast("long"))).withWatermark("_at", lateness)
+    return timed.groupBy("key").transformWithStateInPandas(Pacer(limits, idle_ms), STATES, "append", "EventTime")
+
+
+class Notices(StatefulProcessor):
+    """Since when a notice is shown, its last refusal, how many there were, and the timer that hides it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.notice = handle.getValueState("notice", "last long, refusals long")
+
+    def _out(self, key, changes: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], change, pd.Timestamp(at, unit="ms"), n) for change, at, n in changes], columns=["key", "change", "at", "refusals"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, refusals = self.notice.get() if self.notice.exists() else (None, 0)
+        if last is not None:
+            self.handle.deleteTimer(last + NOTICE_MS)
+        changes = []
+        for at in sorted(pd.concat(rows)["ms"].tolist()):
+            if last is not None and at >= last + NOTICE_MS:
+                changes.append((HIDDEN, last + NOTICE_MS, refusals))
+                last = None
+            if last is None:
+                changes.append((SHOWN, at, 1))
+                refusals = 0
+            last, refusals = max(at, last or at), refusals + 1
+        self.handle.registerTimer(last + NOTICE_MS)
+        self.notice.update((last, refusals))
+        if changes:
+            yield self._out(key, changes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.notice.exists() and self.notice.get()[0] + NOTICE_MS == expiredTimerInfo.getExpiryTimeInMs():
+            last, refusals = self.notice.get()
+            self.notice.clear()
+            yield self._out(key, [(HIDDEN, last + NOTICE_MS, refusals)])
+
+    def close(self) -> None:
+        pass
+
+
+def notice_changes(refusals: DataFrame, key: str, ts: str = "ts", lateness: str = "0 seconds") -> DataFrame:
+    """The stream form: CHANGES, a notice shown at its first refusal at once, and hidden when 12 seconds have gone by since the last (append mode; needs the RocksDB state store).  Hidden notices leave no state; times are milliseconds."""
+    rows = refusals.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(ts).alias("_at"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms")).withWatermark("_at", lateness)
+    return rows.groupBy("key").transformWithStateInPandas(Notices(), CHANGES, "append", "EventTime")
+
+
+def changes_of(refusals: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """The batch form: CHANGES."""
+    w = Window.partitionBy("key").orderBy("ms")
+    rows = refusals.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
+    new = F.coalesce(F.col("ms") >= F.lag("ms").over(w) + NOTICE_MS, F.lit(True)).cast("int")
+    rows = rows.withColumn("new", new).withColumn("turn", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    both = rows.groupBy("key", "turn").agg(F.min("ms").alias("a"), F.max("ms").alias("b"), F.count("*").alias("n"))
+    change = lambda kind, at, n: F.struct(F.lit(kind).alias("change"), F.timestamp_millis(at).alias("at"), n.cast("long").alias("refusals"))
+    return both.select("key", F.explode(F.array(change(SHOWN, F.col("a"), F.lit(1)), change(HIDDEN, F.col("b") + NOTICE_MS, F.col("n")))).alias("c")).select("key", "c.*")
 
 
 def notices(refusals: DataFrame, key: str, ts: str = "ts", watermark: str | None = None) -> DataFrame:
-    """key, started, ended, refusals: runs of refusals with less than 12 seconds between them."""
+    """key, started, ended, refusals: runs of refusals with less than 12 seconds between them, told when they are over."""
     rows = refusals.withWatermark(ts, watermark) if watermark else refusals
     w = F.session_window(ts, NOTICE)
     return rows.groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("refusals")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "refusals")
