@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import pacing
-from ..sources import shared
+from ..operators.correct import rules
+from ..sources import shared, tables
 from ..sources.tables import table
 from ..streaming import pacing as pacing_stream
 from ..streaming import replay
 from ..streaming import tokens as token_stream
+from . import resumed
+from .paragraph_queries import _label_token
 from .record_queries import pacing_events
-from .registry import SQL, query
+from .registry import PARAS, SQL, query
 
 #: How often a stream is stopped and started again.
 TRIGGERS = 3
@@ -104,3 +107,17 @@ def streamed_notices(spark, sf_dir):
     after = rows.limit(0).unionByName(spark.createDataFrame([(-1, (last or 0) + 3_600_000)], "user_id long, ms long").select("user_id", F.timestamp_millis("ms").alias("ts")))
     slices = [*_by_trigger(rows, trigger, base), after]
     return replay.replayed(slices, f"{base}/stream", lambda s: pacing_stream.notice_changes(s, "user_id"), "append").where("key <> '-1'").select("key", "change", "at", "refusals")
+
+
+@query(f"""WITH {PARAS}, t AS (SELECT *, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '') AS tokens FROM paras),
+l AS (SELECT doc_id, pos, text, NOT regexp_full_match(text, '[\\s\\x{{00A0}}]*') AND NOT (NOT regexp_matches(text, '\\p{{L}}') OR (length(trim(text)) <= 32 AND len(tokens) <= 6 AND len(list_filter(tokens, lambda x: NOT {_label_token("x", "len(tokens) > 1")})) = 0)) AS need FROM t)
+SELECT doc_id, pos, sha256(CASE WHEN need THEN regexp_replace(regexp_replace(text, '!{{2,}}', '!', 'g'), ' {{2,}}', ' ', 'g') ELSE text END) AS corrected_sha256, CAST(need AS BIGINT) AS asked FROM l""")
+def resumed_run(spark, sf_dir):
+    """A run over all paragraphs, stopped before its third step and started again: every paragraph in need is asked once."""
+    paras = tables.parts(tables.paragraphs(table(spark, sf_dir, "documents")))
+    run = resumed.Run(spark, shared.folder(spark, "run"), "one")
+    work = lambda rows: rows.withColumn("corrected", rules(F.col("text")))
+    run.start(paras, work, files=16, files_a_step=4, stop=lambda step: step >= 2)
+    run.start(paras, work)
+    asked = run.results().groupBy("doc_id", "pos").agg(F.count("*").alias("asked"))
+    return run.output(paras).join(asked, ["doc_id", "pos"], "left").select("doc_id", "pos", F.sha2("corrected", 256).alias("corrected_sha256"), F.coalesce("asked", F.lit(0)).alias("asked"))
