@@ -107,6 +107,15 @@ def completion_text(spark, sf_dir):
     return c.select("conv_id", "turn", replies.completion_text(payload).alias("content"))
 
 
+@query("SELECT conv_id, turn, 1 + turn % 30 AS depth, text || '<' || turn || '>' AS content FROM conversations")
+def deep_contents(spark, sf_dir):
+    """Contents 1 to 30 objects and lists deep, the text in two parts."""
+    depth = (F.col("turn") % 30 + 1).cast("int")
+    inner = F.to_json(F.array("text", F.concat(F.lit("<"), F.col("turn").cast("string"), F.lit(">"))))
+    payload = F.concat(F.lit('{"message":{"content":'), F.repeat(F.lit('[{"text":{"value":'), depth), inner, F.repeat(F.lit("}}]"), depth), F.lit("}}"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 30 + 1).alias("depth"), replies.completion_text(payload).alias("content"))
+
+
 @query("""SELECT conv_id, count(*) AS messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn, role, text)) AS chat_sha256 FROM conversations GROUP BY conv_id""")
 def chat_messages(spark, sf_dir):
     """Turns gathered as the messages of a request, through its JSON and back; a null field is left out."""

@@ -87,6 +87,8 @@ def test_completion_text(spark):
     cases = [
         ('{"choices":[{"message":{"content":"a"}}]}', "a"), ('{"choices":[{"text":"b"}]}', "b"), ('{"output":[{"content":[{"text":"c"},{"text":"d"}]},{"content":[{"text":{"value":"e"}}]}]}', "cde"),
         ('{"message":{"content":[{"type":"text","text":{"value":"f"}},"g"]}}', "fg"), ('{"output_text":"h"}', "h"), ("{}", None), ('{"output":[{"content":"i"}]}', "i"),
+        ("no json", None), (None, None), ('{"output_text":"[1]"}', "[1]"), ('{"output_text":null,"output":[1,true,"x",null,{"content":null,"value":"y"},{"other":1}]}', "1truexy"), ('{"message":{"content":{"other":1}}}', ""),
+        *(('{"output":' + '[{"content":' * n + '"deep"' + "}]" * n + "}", "deep") for n in (1, 4, 5, 12, 30, 200)),
     ]
     assert [r.v for r in evaluate(spark, [(p,) for p, _ in cases], "p string", v=replies.completion_text(F.col("p")))] == [t for _, t in cases]
 
