@@ -187,6 +187,29 @@ def span_at(spans: Column, offset: Column) -> Column:
     return F.coalesce(F.get(inside, F.lit(0)), F.get(before, F.size(before) - 1), F.get(after, F.lit(0)))
 
 
+def spans_at(offsets: DataFrame, spans: DataFrame, key: list[str], offset: str, start: str, values: list[str], width: int = 1 << 16) -> DataFrame:
+    """offsets with the values of the span that holds the offset, else of the last before it, else of the first of its key; spans don't overlap.
+
+    An as-of join that gathers nothing: spans and distinct offsets are merged
+    in order within stretches of width places, so a key's rows are spread over
+    tasks; what a stretch begins with is carried over from the summaries of the
+    stretches before it, of which there is one row each.  Offsets of keys
+    without spans have nulls, as have those without an offset.
+    """
+    stretch = lambda c: F.floor(F.col(c) / width).cast("long")
+    own = spans.select(*key, F.col(start).cast("long").alias("_at"), F.struct(F.col(start).cast("long").alias("_at"), *values).alias("_span")).withColumn("_stretch", stretch("_at"))
+    asked = offsets.where(F.col(offset).isNotNull()).select(*key, F.col(offset).cast("long").alias("_at")).distinct()
+    ends = own.groupBy(*key, "_stretch").agg(F.max_by("_span", "_at").alias("_last"), F.min_by("_span", "_at").alias("_first"))
+    touched = asked.select(*key, stretch("_at").alias("_stretch")).distinct().join(ends, [*key, "_stretch"], "full")
+    before = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = touched.select(*key, "_stretch", F.last("_last", ignorenulls=True).over(before).alias("_carried"), F.min("_first").over(Window.partitionBy(*key)).alias("_first"))
+    merged = asked.select(*key, "_at", stretch("_at").alias("_stretch"), F.lit(None).cast(own.schema["_span"].dataType).alias("_span")).unionByName(own)
+    upto = Window.partitionBy(*key, "_stretch").orderBy("_at", F.col("_span").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = merged.withColumn("_seen", F.last("_span", ignorenulls=True).over(upto)).where("_span is null")
+    found = seen.join(carried, [*key, "_stretch"]).select(*key, F.col("_at").alias(offset), F.coalesce("_seen", "_carried", "_first").alias("_span"))
+    return offsets.join(found, [*key, offset], "left").select(*offsets.columns, *[F.col(f"_span.{v}").alias(v) for v in values])
+
+
 def pairs_by_index(original: DataFrame, corrected: DataFrame, key: list[str], order: str, text_col: str = "text") -> DataFrame:
     """Parts such as headers by their turn: key, turn, original, corrected up to the smaller number of both."""
 

@@ -388,7 +388,8 @@ def block_by_length(spark, sf_dir):
     return paras(spark, sf_dir).select("doc_id", "pos", F.sha2(align.selected_block_by_length(reply, t), 256).alias("block_sha256"))
 
 
-@query()
+@query(f"""WITH {PARAS}, t AS (SELECT doc_id, pos, text, regexp_full_match(text, '\\s*') AS blank, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS core FROM paras)
+SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN sha256(text) WHEN 1 THEN sha256(CASE WHEN blank THEN 'Here you are:' ELSE core END) WHEN 3 THEN CASE WHEN NOT blank THEN sha256(core) END END AS block_sha256 FROM t""")
 def block_by_text(spark, sf_dir):
     t = F.col("text")
     reply = _choice(F.col("pos") % 4, t, F.concat(F.lit("Here you are:\n\n"), t), F.concat(F.lit("\n"), t), F.concat(t, F.lit("\n\nThanks!")))

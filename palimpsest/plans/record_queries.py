@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names, replies, text
-from ..operators import audit, correct, lookup, packing, pacing, revisions, segments, validation
+from ..operators import audit, correct, graph, lookup, packing, pacing, revisions, segments, validation
 from ..sources import office, sinks, tables
 from ..sources.tables import table
 from ..streaming import pacing as pacing_stream
@@ -362,8 +362,11 @@ def distinct_ignoring_case(spark, sf_dir):
     return lookup.distinct_ignoring_case(table(spark, sf_dir, "events").withColumn("spelled", spelled), ["user_id"], "spelled", "event_id").select("user_id", "event_id")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber * 10 AS a, l_linenumber * 10 + 5 AS b, 's' || l_linenumber AS p FROM lineitem), o AS (SELECT o_orderkey, o_custkey % 80 AS x FROM orders)
-SELECT o_orderkey, CAST(x AS BIGINT) AS off, coalesce((SELECT min_by(p, a) FROM s WHERE l_orderkey = o_orderkey AND a <= x AND x < b), (SELECT max_by(p, a) FROM s WHERE l_orderkey = o_orderkey AND b <= x), (SELECT min_by(p, a) FROM s WHERE l_orderkey = o_orderkey AND a >= x)) AS props FROM o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+_MARKERS = """WITH s AS (SELECT l_orderkey, l_linenumber * 10 AS a, l_linenumber * 10 + 5 AS b, 's' || l_linenumber AS p FROM lineitem), o AS (SELECT o_orderkey, o_custkey % 80 AS x FROM orders)
+SELECT o_orderkey, CAST(x AS BIGINT) AS off, coalesce((SELECT min_by(p, a) FROM s WHERE l_orderkey = o_orderkey AND a <= x AND x < b), (SELECT max_by(p, a) FROM s WHERE l_orderkey = o_orderkey AND b <= x), (SELECT min_by(p, a) FROM s WHERE l_orderkey = o_orderkey AND a >= x)) AS props FROM o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
+
+
+@query(_MARKERS)
 def marker_lookup(spark, sf_dir):
     """The format at an offset: of the span that holds it, else the last before, else the first after."""
     spans = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 5).alias("end"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("props")))).alias("spans"))
@@ -372,6 +375,26 @@ def marker_lookup(spark, sf_dir):
     return rows.select("o_orderkey", off.cast("long").alias("off"), revisions.span_at(F.col("spans"), off)["props"].alias("props"))
 
 
+@query(_MARKERS)
+def markers_as_of(spark, sf_dir):
+    """The same as a join of two tables, in stretches of 16 places."""
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") * 10).alias("start"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("props"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 80).cast("long").alias("off"))
+    return revisions.spans_at(rows, spans, ["o_orderkey"], "off", "start", ["props"], 16).where("props is not null")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, max(p_partkey) OVER () AS n FROM part), e AS (SELECT k AS a, k * 2 % (n + 7) AS b FROM p UNION SELECT k, k * 3 % (n + 7) FROM p UNION SELECT k, 1 FROM p WHERE k % 11 = 0), x AS (SELECT a, b FROM e WHERE b IN (SELECT k FROM p)),
+r AS (SELECT CAST(1 AS BIGINT) AS part, 0 AS depth UNION SELECT x.b, r.depth + 1 FROM r JOIN x ON x.a = r.part WHERE r.depth < 8)
+SELECT part, min(depth) AS depth FROM r GROUP BY part""")
+def parts_reached(spark, sf_dir):
+    """Parts that relations reach from the first in 8 steps, breadth first, each once, with their distance; relations go in circles, and some lead nowhere."""
+    k = table(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("one"))
+    n = k.agg(F.max("p_partkey")).first()[0] or 0
+    e = lambda b, own=k: own.select(F.col("p_partkey").alias("source"), b.alias("target"))
+    relations = e(F.col("p_partkey") * 2 % (n + 7)).union(e(F.col("p_partkey") * 3 % (n + 7))).union(e(F.lit(1), k.where("p_partkey % 11 = 0")))
+    return graph.reached(k.where("p_partkey = 1").select(F.col("p_partkey").alias("part")), relations, k.select(F.col("p_partkey").alias("part")), 8)
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 'TOC 1' WHEN 1 THEN 'Index 9' WHEN 2 THEN 'Table of Figures' ELSE 'Body' END AS style FROM lineitem) SELECT l_orderkey, l_linenumber FROM s WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM s WHERE style <> 'Body')""")
 def directory_styles(spark, sf_dir):
     """Paragraphs outside directories, told by their style, by id or by name."""

@@ -337,3 +337,45 @@ def test_revision_runs():
     assert got == [("mark", "", 0, None), ("equal", "ab", 0, "p"), ("delete", "c", 2, "p"), ("mark", "", 3, None), ("delete", "d", 3, "q"), ("insert", "X", 4, "n"), ("insert", "Y", 4, "m"), ("equal", "e", 4, "q"), ("mark", "", 5, None)]
     assert revisions.runs_of([("insert", "new")], [], [(3, "n")], [0]) == [("mark", "", 0, None), ("insert", "new", 0, "n")]
     assert revisions.runs_of([], [], [], [0]) == [("mark", "", 0, None)]
+
+
+def test_spans_as_of(spark):
+    """Against all spans of a key, also where one key has a third of all rows; nothing is gathered."""
+    rng = random.Random(9)
+    spans, asked = [], []
+    for key in [*range(20), None]:
+        at = rng.randint(0, 30)
+        for _ in range(300 if key == 0 else rng.randint(0, 6)):
+            size = rng.randint(1, 9)
+            spans.append((key, at, at + size, f"{key}:{at}"))
+            at += size + rng.choice([0, 0, 5])
+        asked += [(key, rng.choice([None, rng.randint(0, at + 20)]) if rng.random() < 0.1 else rng.randint(0, at + 20)) for _ in range(400 if key == 0 else 20)]
+    left, right = spark.createDataFrame(asked, "k int, x long"), spark.createDataFrame(spans, "k int, a long, b long, v string")
+
+    def plainly(k, x):
+        own = sorted(s[1:] for s in spans if s[0] == k)
+        if k is None or x is None or not own:
+            return None
+        inside, before = [v for a, b, v in own if a <= x < b], [v for _, b, v in own if b <= x]
+        return inside[0] if inside else before[-1] if before else own[0][2]
+
+    for width in (7, 64, 1 << 16):
+        out = revisions.spans_at(left, right, ["k"], "x", "a", ["v"], width)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(((k, x, plainly(k, x)) for k, x in asked), key=repr)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_reached(spark):
+    from palimpsest.operators import graph
+
+    rng = random.Random(10)
+    edges = [(rng.randrange(30), rng.randrange(40)) for _ in range(60)] + [(5, 5), (1, 2), (2, 1)]
+    want, step = {1: 0, 3: 0}, [1, 3]
+    for depth in range(1, 40):
+        step = sorted({b for a, b in edges if a in step and b < 30} - set(want))
+        want |= dict.fromkeys(step, depth)
+    frames = [spark.createDataFrame([(x,) for x in rows], "part long") for rows in ([1, 3, 3, 99], range(30))]
+    relations = spark.createDataFrame(edges, "source long, target long")
+    assert {r.part: r.depth for r in graph.reached(frames[0], relations, frames[1]).collect()} == want
+    assert {r.part for r in graph.reached(frames[0], relations, frames[1], 1).collect()} == {k for k, d in want.items() if d <= 1}
+    assert graph.reached(frames[0].limit(0), relations, frames[1]).collect() == []
