@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_restored
-from ..functions.replies import edge_spaces_restored, sanitized
+from ..functions.replies import edge_spaces_restored, sanitized, space_after_mark
 from ..functions.text import chunks, is_blank, length_safe, let, translation_length_safe
 from .align import selected_block, selected_block_by_length
 from .lookup import once_each
@@ -103,16 +103,24 @@ def replies(rows: DataFrame, corrector: Corrector, prompt: str, most: int = CHUN
     return rows.select("_key", chunks("text", most).alias("chunks")).mapInPandas(run, "_key string, reply string")
 
 
-def applied(rows: DataFrame, mode: str = "correct", by_text: bool = True, text_col: str = "text", reply_col: str = "reply") -> DataFrame:
-    """rows with corrected, what the reply makes of the text: cleaned, the block that answers chosen, label and edges restored; the text itself where that isn't safe."""
+def applied(rows: DataFrame, mode: str = "correct", by_text: bool = True, text_col: str = "text", reply_col: str = "reply", after_mark: Column | None = None, unsafe: Column | None = None) -> DataFrame:
+    """rows with corrected, what the reply makes of the text: cleaned, the block that answers chosen, label and edges restored; the text itself where that isn't safe.
+
+    after_mark: whether the text follows a reference mark, whose white space
+    stays between them; unsafe: whether the paragraph holds what a correction
+    could break, so that nothing is changed.
+    """
     original = F.col(text_col)
     translating = mode == "translate"
     safe = translation_length_safe if translating else length_safe
     choose = selected_block_by_length if translating or not by_text else selected_block
     whole = edge_spaces_restored(original, label_restored(original, F.col("_block")))
+    whole = whole if after_mark is None else space_after_mark(original, whole, after_mark)
+    kept = is_blank("_clean") | is_blank("_block")
+    kept = kept if unsafe is None else kept | F.coalesce(unsafe, F.lit(False))
     checked = let(whole, lambda w: F.when(safe(original, w), w).otherwise(original))
     out = rows.withColumn("_clean", sanitized(reply_col, original)).withColumn("_block", choose(F.col("_clean"), original))
-    return out.withColumn("corrected", F.when(is_blank("_clean") | is_blank("_block"), original).otherwise(checked)).drop("_clean", "_block")
+    return out.withColumn("corrected", F.when(kept, original).otherwise(checked)).drop("_clean", "_block")
 
 
 def corrected(paras: DataFrame, corrector: Corrector | None = None, prompt: str = "", mode: str = "correct") -> DataFrame:

@@ -161,3 +161,12 @@ def retried_replies(spark, sf_dir):
     done = replied(rows, with_retries(fails, wait=lambda s: None), "", 1 << 24)
     key = F.split("_key", ",")
     return done.select(key[0].cast("long").alias("doc_id"), key[1].cast("int").alias("pos"), F.sha2("reply", 256).alias("reply_sha256"))
+
+
+@query(f"""WITH {PARAS}, w AS (SELECT doc_id, pos, {_LETTERS} AS t FROM paras), x AS (SELECT doc_id, pos, CASE WHEN pos % 2 = 1 THEN chr(9) || t ELSE t END AS o, CASE WHEN pos % 2 = 1 THEN ' ' || t || '.' ELSE t || '.' END AS n FROM w)
+SELECT doc_id, pos, sha256(CASE WHEN pos % 5 <> 0 AND length(n) / CAST(length(o) AS DOUBLE) BETWEEN 0.2 AND 4.0 THEN n ELSE o END) AS corrected_sha256 FROM x""")
+def guarded_replies(spark, sf_dir):
+    """Replies to paragraphs some of which follow a mark, with a tab between, and some of which must not be changed."""
+    t, marked = F.col("text"), F.col("pos") % 2 == 1
+    rows = _letters(spark, sf_dir).withColumns({"reply": _around("", t, "."), "text": F.when(marked, F.concat(F.lit("\t"), t)).otherwise(t)})
+    return applied(rows, after_mark=marked, unsafe=F.col("pos") % 5 == 0).select("doc_id", "pos", F.sha2("corrected", 256).alias("corrected_sha256"))

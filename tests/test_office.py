@@ -52,8 +52,10 @@ def test_templates_and_labels(spark, tmp_path):
     package(tmp_path / "b.dotm", BODY)
     files = office.packages(spark, str(tmp_path))
     assert files.count() == 2
-    row = office.read_paragraphs(files.where("lower(path) like '%dotx'")).where("part_kind = 'main'").select(office.visible_characters(F.col("runs")).alias("n")).first()
-    assert row.n == 4
+    row = office.read_paragraphs(files.where("lower(path) like '%dotx'")).where("part_kind = 'main'").select(office.visible_characters(F.col("runs")).alias("n"), office.editable_text(F.col("runs")).alias("text"), office.follows_mark(F.col("runs")).alias("mark")).first()
+    assert (row.n, row.text, row.mark) == (4, "Text", False)
+    notes = office.read_paragraphs(files.where("lower(path) like '%dotx'")).where("part_kind = 'footnotes'").select(office.follows_mark(F.col("runs")).alias("mark")).first()
+    assert notes.mark
 
 
 def test_comments_pass_through(spark):
