@@ -145,24 +145,38 @@ def resume_baseline(batches: DataFrame, done: DataFrame, key: list[str]) -> Data
     return batches.join(done, key).where(F.col("batch") < F.col("prefix")).groupBy(*key).agg(F.sum("len").alias("chars"), F.count(F.lit(1)).alias("paragraphs"))
 
 
-def latency_averages(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """key and the average of its latencies in order, as in latency_average.  Rows come sorted and are folded as they come: a key's rows needn't fit in memory.  Keys without a latency above 0, and rows without a key, are left out."""
+def latency_averages(events: DataFrame, key: str, order: list[str], value: str, parts: int | None = None) -> DataFrame:
+    """key and the average of its latencies in order, as in latency_average.
+
+    Rows are dealt by ranges of key and order, so a key with many rows lies in
+    several tasks, and are folded as they come.  A part's rows after its first
+    make of any average v what a * v + b is; a key's parts, of which no task
+    has more than one, are put together in their order.  Keys without a latency
+    above 0, and rows without a key, are left out.  parts: how many tasks.
+    """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, average = None, None
-        for part in parts:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, made = None, None  # of the key: task, first value, a, b
+        names = ["k", "task", "first", "a", "b"]
+        for batch in batches:
             done = []
-            for k, v in zip(part["k"], part["v"], strict=True):
-                if average is not None and k != now:
-                    done.append((now, average))
-                    average = None
-                average = v if average is None else v * EMA_WEIGHT + average * (1 - EMA_WEIGHT)
-                now = k
-            yield pd.DataFrame(done, columns=["k", "ema"])
-        if average is not None:
-            yield pd.DataFrame([(now, average)], columns=["k", "ema"])
+            for k, task, v in zip(batch["k"], batch["task"], batch["v"], strict=True):
+                if made is not None and k == now:
+                    made[2] *= 1 - EMA_WEIGHT
+                    made[3] = v * EMA_WEIGHT + made[3] * (1 - EMA_WEIGHT)
+                    continue
+                if made is not None:
+                    done.append((now, *made))
+                now, made = k, [task, v, 1.0, 0.0]
+            yield pd.DataFrame(done, columns=names)
+        if made is not None:
+            yield pd.DataFrame([(now, *made)], columns=names)
 
     rows = events.where((F.col(value) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    places = [f"o{i}" for i in range(len(order))]
-    folded = rows.repartition("k").sortWithinPartitions("k", *places).select("k", "v").mapInPandas(run, f"k {events.schema[key].dataType.simpleString()}, ema double")
-    return folded.select(F.col("k").alias(key), "ema")
+    places = ["k", *(f"o{i}" for i in range(len(order)))]
+    dealt = (rows.repartitionByRange(*places) if parts is None else rows.repartitionByRange(parts, *places)).sortWithinPartitions(*places)
+    kind = events.schema[key].dataType.simpleString()
+    folded = dealt.select("k", F.spark_partition_id().alias("task"), "v").mapInPandas(run, f"k {kind}, task int, first double, a double, b double")
+    own = F.array_sort(F.collect_list(F.struct("task", "first", "a", "b")))  # one for each task that has rows of the key
+    after = lambda acc, x: F.when(acc.isNull(), x["first"]).otherwise(x["first"] * EMA_WEIGHT + acc * (1 - EMA_WEIGHT)) * x["a"] + x["b"]
+    return folded.groupBy("k").agg(F.aggregate(own, F.lit(None).cast("double"), after).alias("ema")).select(F.col("k").alias(key), "ema")

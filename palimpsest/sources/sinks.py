@@ -17,7 +17,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def promoted(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Written beside its place and moved there when it is whole.  The old table is moved aside first and deleted last: whatever breaks off in between, one of the two is whole and `recovered` finds it."""
+    """Written beside its place and moved there when it is whole.  The old table is moved aside first and deleted last: whatever breaks off in between, one of the two is whole and `recovered` finds it.  A place has one writer at a time: of two promotions at once each could take the other's old table for its own."""
     spark, base = df.sparkSession, path.rstrip("/")
     draft, aside = f"{base}.{uuid.uuid4().hex}", f"{base}.old"
     df.write.format(fmt).save(draft)

@@ -339,6 +339,23 @@ def test_revision_runs():
     assert revisions.runs_of([], [], [], [0]) == [("mark", "", 0, None)]
 
 
+def test_latency_averages_of_a_key_in_many_tasks(spark):
+    """One key has most rows; they lie in several tasks, and the average is that of one after the other."""
+    rng = random.Random(12)
+    rows = [(0 if rng.random() < 0.7 else rng.randint(1, 5), i, rng.choice([-1.0, 0.0, rng.random() * 1000])) for i in range(3000)] + [(None, 1, 5.0)]
+    want = {}
+    for k, _, v in rows:
+        if k is not None and v > 0:
+            want[k] = v if k not in want else v * 0.3 + want[k] * 0.7
+    events = spark.createDataFrame(rows, "k int, i int, v double").repartition(3)
+    for parts in (1, 7):
+        got = {r.k: r.ema for r in audit.latency_averages(events, "k", ["i"], "v", parts).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    tasks = events.where("k = 0").repartitionByRange(7, "k", "i").select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 3
+    assert audit.latency_averages(events.limit(0), "k", ["i"], "v").collect() == []
+
+
 def test_spans_as_of(spark):
     """Against all spans of a key, also where one key has a third of all rows; nothing is gathered."""
     rng = random.Random(9)
