@@ -22,6 +22,17 @@ def display_names(rows: DataFrame, names: DataFrame, language_col: str, ui_col:
     return hit.withColumn("display_name", F.coalesce("_name", F.trim(F.col(language_col)))).drop("_ui", "_target", "_name")
 
 
+def messages(rows: DataFrame, texts: DataFrame, key_col: str, language_col: str, fallback: str = "en") -> DataFrame:
+    """rows with message, from texts (key, language, text): in the row's language, else in the fallback, else the key itself."""
+
+    def of(language: Column, name: str) -> DataFrame:
+        return texts.where(language).groupBy("key", "language").agg(F.min("text").alias(name)).withColumnsRenamed({"key": "_key", "language": "_language"})
+
+    own, other = of(F.lit(True), "_own"), of(F.col("language") == fallback, "_other").drop("_language").withColumnRenamed("_key", "_key2")
+    out = rows.join(own, (F.col(key_col) == F.col("_key")) & (F.col(language_col) == F.col("_language")), "left").join(other, F.col(key_col) == F.col("_key2"), "left")
+    return out.withColumn("message", F.coalesce("_own", "_other", F.col(key_col))).drop("_own", "_other", "_key", "_key2", "_language")
+
+
 def first_by_priority(rows: DataFrame, key: list[str], priority: Column, tie: list[str]) -> DataFrame:
     """Of each key the row of least priority; null priorities don't count."""
     w = Window.partitionBy(*key).orderBy("_p", *tie)

@@ -423,6 +423,17 @@ def message_lookup(spark, sf_dir):
     return e.select("event_id", F.coalesce(own, english, F.col("event_type")).alias("shown"))
 
 
+@query("""SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 AND length(event_type) % 2 = 0 THEN 'de-' || event_type END, CASE WHEN ascii(event_type) % 2 = 0 THEN 'en-' || event_type END, event_type) AS message FROM events""")
+def message_texts(spark, sf_dir):
+    """Messages by a table of texts, in which some keys have no German text, some no English one, and some none."""
+    e = table(spark, sf_dir, "events")
+    kinds = e.select(F.col("event_type").alias("key")).distinct()
+    text = lambda language, known: kinds.where(known).select("key", F.lit(language).alias("language"), F.concat(F.lit(f"{language}-"), F.col("key")).alias("text"))
+    texts = text("de", F.length("key") % 2 == 0).union(text("en", F.ascii("key") % 2 == 0))
+    rows = e.select("event_id", "event_type", F.when(F.col("event_id") % 2 == 0, "de").otherwise("fr").alias("language"))
+    return lookup.messages(rows, texts, "event_type", "language").select("event_id", "message")
+
+
 @query("""SELECT event_type, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def events_by_hour(spark, sf_dir):
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")
