@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diff, labels, replies
-from ..operators import revisions
+from ..functions import growth as script
+from ..operators import growth, revisions
 from ..operators.correct import applied, rules, with_retries
 from ..operators.correct import replies as replied
 from ..sources.tables import table
@@ -170,3 +171,22 @@ def guarded_replies(spark, sf_dir):
     t, marked = F.col("text"), F.col("pos") % 2 == 1
     rows = _letters(spark, sf_dir).withColumns({"reply": _around("", t, "."), "text": F.when(marked, F.concat(F.lit("\t"), t)).otherwise(t)})
     return applied(rows, after_mark=marked, unsafe=F.col("pos") % 5 == 0).select("doc_id", "pos", F.sha2("corrected", 256).alias("corrected_sha256"))
+
+
+_ESCAPED = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#39;')"""
+
+
+@query(f"""WITH {CORRECTIONS}, s AS (SELECT *, unnest([1, 2, 3]) AS k FROM corrections), c AS (SELECT *, left(corrected, length(corrected) * k // 3) AS now, regexp_extract(original, '(?s)^.*[.!?](?:[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]|$)') AS cut FROM s)
+SELECT doc_id, pos, CAST(k AS BIGINT) AS step, sha256(CASE WHEN k < 3 AND cut <> '' THEN cut ELSE original END) AS original_sha256, sha256(now) AS corrected_sha256,
+  CASE WHEN k = 3 AND pos % 4 = 3 THEN sha256({_ESCAPED.format("original")}) WHEN k = 3 AND pos % 4 = 1 AND corrected = original || ' indeed' AND regexp_matches(original, '[A-Za-z.]$') THEN sha256({_ESCAPED.format("original")} || ' <span class="diff-inserted">indeed</span>') END AS html_sha256 FROM c""")
+def growing_diff(spark, sf_dir):
+    """What an editor shows of each paragraph while its correction comes in by thirds; HTML of the last where it is one that expressions can tell."""
+    n, text = F.length("corrected"), F.col("corrected")
+    cut = lambda k: F.floor(n * k / 3).cast("int")
+    piece = lambda k: F.struct(F.lit(k).cast("long").alias("seq"), F.when(F.lit(k == 1), F.col("original")).alias("original"), F.substr(text, cut(k - 1) + 1, cut(k) - cut(k - 1)).alias("piece"), F.lit(k == 3).alias("done"))
+    rows = corrections(spark, sf_dir).select("doc_id", "pos", F.explode(F.array(*map(piece, (1, 2, 3)))).alias("x")).select("doc_id", "pos", "x.*")
+    ops, kind = F.col("ops"), F.col("pos") % 4
+    plain = growth.shown(rows, ["doc_id", "pos"]).withColumns({"a": diff.kept_original(ops), "b": diff.accepted(ops)})
+    told = F.col("done") & ((kind == 3) | (kind == 1) & (F.col("b") == F.concat("a", F.lit(" indeed"))) & F.col("a").rlike(r"[A-Za-z.]\z"))
+    html = F.when(told, F.sha2(script.editor_html(F.when(told, ops)), 256))
+    return plain.select("doc_id", "pos", F.col("seq").alias("step"), F.sha2("a", 256).alias("original_sha256"), F.sha2("b", 256).alias("corrected_sha256"), html.alias("html_sha256"))
