@@ -25,7 +25,13 @@ def style(spaced: Column, close: Column) -> Column:
 def style_mode(raw: Column) -> Column:
     """Names of the setting; whatever is unknown is 'auto'."""
     low = F.lower(F.trim(raw))
-    return F.when(low.isin("off", "auto", "with_space", "without_space"), low).otherwise(F.lit("auto"))
+    known = F.when(low.isin("off", "auto"), low).when(low.rlike("^with[_-]?space$"), "with_space").when(low.rlike("^without[_-]?space$"), "without_space")
+    return F.coalesce(known, F.lit("auto"))
+
+
+def resolved_style(mode: Column, spaced: Column, close: Column) -> Column:
+    """The style that holds for a text with so many citations of either kind; null where nothing is to be done."""
+    return F.when(mode == "auto", style(spaced, close)).when(mode != "off", mode)
 
 
 def normalized(text: str | Column, wanted: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,22 @@ def display_names(rows: DataFrame, names: DataFrame, language_col: str, ui_col:
     return hit.withColumn("display_name", F.coalesce("_name", F.trim(F.col(language_col)))).drop("_ui", "_target", "_name")
 
 
+# The languages that names are known of and known in.
+LANGUAGES = "bg cs da de el en es et fi fr ga hr hu it lt lv mt nl pl pt ro sk sl sv".split()
+
+
+def language_names(spark: SparkSession, languages: list[str] = LANGUAGES) -> DataFrame:
+    """ui, target, name: each of the languages as each of them calls it, by the locale data of the JVM."""
+    of = {c: spark._jvm.java.util.Locale.forLanguageTag(c) for c in languages}
+    return spark.createDataFrame([(ui, c, of[c].getDisplayLanguage(of[ui])) for ui in languages for c in languages], "ui string, target string, name string")
+
+
+def language_display_names(rows: DataFrame, language_col: str, ui_col: str) -> DataFrame:
+    """rows with display_name: a language as the reader's language calls it, or as English does where that isn't one of LANGUAGES; what isn't one of them itself shows as it is, trimmed."""
+    reader = F.when(F.col(ui_col).isin(*LANGUAGES), F.col(ui_col)).otherwise(F.lit("en"))
+    return display_names(rows.withColumn("_reader", reader), language_names(rows.sparkSession), language_col, "_reader").drop("_reader")
+
+
 def messages(rows: DataFrame, texts: DataFrame, key_col: str, language_col: str, fallback: str = "en") -> DataFrame:
     """rows with message, from texts (key, language, text): in the row's language, else in the fallback, else the key itself."""
 
@@ -39,6 +55,26 @@ def first_by_priority(rows: DataFrame, key: list[str], priority: Column, tie: li
     return rows.withColumn("_p", priority).where(F.col("_p").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_p", "_n")
 
 
+def active_presets(asked: DataFrame, presets: DataFrame, key: list[str], default: Column) -> DataFrame:
+    """key, language, preset_id, value, added: of each row of asked (key, language, active_id) the preset that holds.
+
+    presets: key, n (their order), id, locale, value.  Of those of the asked
+    language, the one with the active id, else the one called default-<language>,
+    else the first; ids in either case, blanks around the active one or not.
+    Where there is none, one called default-<language> is added, its value
+    default, a column over asked.  One partial aggregate, no sort.
+    """
+    of = asked.select(*key, "language", F.lower(F.trim("active_id")).alias("_active"), default.alias("_default"))
+    own = presets.select(*key, F.col("locale").alias("language"), F.struct("n", "id", "value").alias("_own"))
+    name = F.concat(F.lit("default-"), F.col("language"))
+    found = F.lower("_own.id")
+    rank = F.when(found == F.col("_active"), 0).when(found == name, 1).otherwise(2)
+    best = of.join(own, [*key, "language"], "left").groupBy(*key, "language", "_active").agg(
+        F.min_by("_own", F.when(F.col("_own").isNotNull(), F.struct(rank, F.col("_own.n")))).alias("_own"), F.first("_default").alias("_default"))
+    none = F.col("_own").isNull()
+    return best.select(*key, "language", F.when(none, name).otherwise(F.col("_own.id")).alias("preset_id"), F.when(none, F.col("_default")).otherwise(F.col("_own.value")).alias("value"), none.alias("added"))
+
+
 def last_values(events: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """key and the newest value: one partial aggregate, no sort."""
     return events.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))

@@ -72,6 +72,20 @@ def settings_problem() -> Column:
     return F.coalesce(first_failed(before), presets, first_failed(after), translations)
 
 
+def clamped(value: Column, bounds: tuple[float, float, float]) -> Column:
+    """A number within (default, low, high): the default for null and what isn't finite."""
+    default, low, high = map(F.lit, bounds)
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return F.when(finite, F.least(F.greatest(value, low), high)).otherwise(default)
+
+
+def resolved_key(raw: Column, environment: dict[str, str]) -> Column:
+    """A key as it is, trimmed, or that of the variable that it names as ENV:name; empty where there is none."""
+    known = F.create_map(*[F.lit(x) for pair in environment.items() for x in pair]) if environment else F.create_map().cast("map<string,string>")
+    named_by = F.when(F.upper(F.left(raw, F.lit(4))) == "ENV:", F.trim(F.substr(raw, F.lit(5))))
+    return F.coalesce(F.when(named_by.isNotNull(), F.coalesce(known[named_by], F.lit(""))).otherwise(F.trim(raw)), F.lit(""))
+
+
 def checked(rows: DataFrame) -> DataFrame:
     """Rows of SETTINGS with problem.  Without a provider nothing else matters."""
     return rows.withColumn("problem", F.when(named(F.col("provider"), ("none",)), F.lit(None)).otherwise(settings_problem()))

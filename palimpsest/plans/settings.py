@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 from dataclasses import dataclass, field
 
 # Defaults and bounds.
@@ -34,7 +35,7 @@ class Settings:
     @property
     def key(self) -> str:
         """The key itself, or that of the environment variable it names."""
-        return os.environ.get(self.api_key[4:], "") if self.api_key.startswith("ENV:") else self.api_key
+        return os.environ.get(self.api_key[4:].strip(), "") if self.api_key[:4].upper() == "ENV:" else self.api_key.strip()
 
 
 def clamped(value, bounds: tuple[int, int, int]) -> int:
@@ -48,7 +49,7 @@ def from_json(text: str) -> Settings:
     """Settings of a JSON object; unknown names are ignored, unknown values of mode and scope are errors."""
     raw = json.loads(text)
     mode = raw.get("mode") or "correct"
-    style = str(raw.get("citationStyle") or "auto").lower()
+    style = re.sub("^(with|without)[_-]?space$", r"\1_space", str(raw.get("citationStyle") or "auto").strip().lower())
     rpm, temperature = raw.get("requestsPerMinute"), raw.get("temperature")
     number = lambda x: isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
     out = Settings(

@@ -56,6 +56,12 @@ def log_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(f"{path}/current")
 
 
+def logged(spark: SparkSession, path: str, schema: str = "event_id long, ts_ms long, event string, details string") -> DataFrame:
+    """The lines of the current log and of those that were turned over and are kept."""
+    there = [p for p in (f"{path}/{x}" for x in ("current", *(f"old-{k}" for k in range(1, LOGS_KEPT + 1)))) if (lambda fs, x: fs.exists(x))(*_fs(spark, p))]
+    return spark.read.schema(schema).json(there) if there else spark.createDataFrame([], schema)
+
+
 def salvaged(steps: DataFrame, compared: Column, corrected: Column, error: Column, may_fall_back: Column) -> DataFrame:
     """steps with result and status: what was compared, else the corrected text where that may stand for it, never no row."""
     status = F.when(error.isNull(), "compared").when(may_fall_back, "corrected_only").otherwise("failed")
