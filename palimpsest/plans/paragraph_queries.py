@@ -396,7 +396,25 @@ def block_by_text(spark, sf_dir):
     return paras(spark, sf_dir).repartition("doc_id", "pos").select("doc_id", "pos", F.sha2(align.selected_block(reply, t), 256).alias("block_sha256"))
 
 
-@query()
+#: What the clean-up leaves of an answer: of marks, paragraphs have asterisks alone.
+_CLEANED = r"trim(regexp_replace(regexp_replace(trim(said.text), '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'))"
+#: Batches of the paragraphs that aren't blank.
+_FILLED = _BATCHES.replace(PARAS, f"{PARAS.replace('paras AS', 'every AS')}, paras AS (SELECT * FROM every WHERE NOT regexp_full_match(text, '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]*'))")
+
+
+@query(f"""WITH RECURSIVE {_FILLED}, asked AS (SELECT doc_id, batch, row_number() OVER w AS j, text, count(*) OVER (PARTITION BY doc_id, batch) AS m FROM batches JOIN paras USING (doc_id, pos) WHERE is_batch WINDOW w AS (PARTITION BY doc_id, batch ORDER BY pos)),
+said AS (SELECT doc_id, batch, CASE WHEN batch % 3 = 1 AND m > 1 THEN j - 1 WHEN batch % 3 = 2 THEN j + 1 ELSE j END AS i, text FROM asked WHERE NOT (batch % 3 = 1 AND m > 1 AND j = 1) UNION ALL SELECT DISTINCT doc_id, batch, 1, 'Sure, see below' FROM asked WHERE batch % 3 = 2),
+words AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1)) AS w FROM asked), said_words AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1)) AS w FROM said),
+alike AS (SELECT a.doc_id, a.batch, s.i, any_value(a.m) AS m, list(CASE WHEN len(a.w) + len(s.w) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(a.w, s.w)) / (len(a.w) + len(s.w)) END ORDER BY a.j) AS d FROM words a JOIN said_words s ON a.doc_id = s.doc_id AND a.batch = s.batch WHERE a.batch % 3 = 2 OR (a.batch % 3 = 1 AND a.m > 1) GROUP BY a.doc_id, a.batch, s.i),
+sums AS (SELECT doc_id, batch, CAST(0 AS BIGINT) AS i, m, list_transform(range(m + 1), lambda x: CAST(0 AS DOUBLE)) AS t FROM alike WHERE i = 1 UNION ALL
+  SELECT doc_id, batch, i, m, list_transform(range(1, m + 2), lambda k: list_max(v[1:k])) FROM (SELECT s.doc_id, s.batch, a.i, s.m, list_transform(range(s.m + 1), lambda j: CASE WHEN j = 0 THEN 0 WHEN a.d[j] >= 0.34 THEN greatest(s.t[j + 1], s.t[j] + a.d[j]) ELSE s.t[j + 1] END) AS v FROM sums s JOIN alike a ON a.doc_id = s.doc_id AND a.batch = s.batch AND a.i = s.i + 1) x),
+walk AS (SELECT doc_id, batch, max(i) AS i, any_value(m) AS j, CAST(0 AS BIGINT) AS answer, CAST(0 AS BIGINT) AS item FROM sums GROUP BY doc_id, batch UNION ALL
+  SELECT w.doc_id, w.batch, CASE WHEN s.t[w.j + 1] = s.t[w.j] THEN w.i ELSE w.i - 1 END, CASE WHEN s.t[w.j + 1] <> s.t[w.j] AND s.t[w.j + 1] = b.t[w.j + 1] THEN w.j ELSE w.j - 1 END,
+    CASE WHEN s.t[w.j + 1] <> s.t[w.j] AND s.t[w.j + 1] <> b.t[w.j + 1] THEN w.i ELSE 0 END, w.j FROM walk w JOIN sums s ON s.doc_id = w.doc_id AND s.batch = w.batch AND s.i = w.i JOIN sums b ON b.doc_id = w.doc_id AND b.batch = w.batch AND b.i = w.i - 1 WHERE w.i > 0 AND w.j > 0),
+met AS (SELECT doc_id, batch, item AS j, answer FROM walk WHERE answer > 0), counted AS (SELECT doc_id, batch, count(*) AS n FROM met GROUP BY doc_id, batch)
+SELECT a.doc_id, a.batch, CAST(a.j - 1 AS INTEGER) AS item, CASE WHEN a.batch % 3 = 0 OR (a.batch % 3 = 1 AND a.m = 1) THEN 'ok' WHEN counted.n > 0 THEN 'partial' ELSE 'count_mismatch' END AS status,
+  sha256({_CLEANED}) AS corrected_sha256 FROM asked a LEFT JOIN met ON met.doc_id = a.doc_id AND met.batch = a.batch AND met.j = a.j LEFT JOIN counted ON counted.doc_id = a.doc_id AND counted.batch = a.batch
+LEFT JOIN said ON said.doc_id = a.doc_id AND said.batch = a.batch AND said.i = CASE WHEN a.batch % 3 = 0 OR (a.batch % 3 = 1 AND a.m = 1) THEN a.j ELSE met.answer END""")
 def batch_alignment(spark, sf_dir):
     """Replies of batches that lack an answer or have one too many, brought back to their paragraphs."""
     p = paras(spark, sf_dir).where(~tx.is_blank("text"))
