@@ -12,7 +12,6 @@ from ..functions.citations import style, style_counts
 
 # Field types that may be written over.
 SAFE_FIELDS = ("HYPERLINK", "SYMBOL", "QUOTE", "PAGE", "NUMPAGES", "SECTION", "SECTIONPAGES", "PAGEREF")
-DIRECTORY_FIELDS = ("TOC", "TOA", "INDEX")
 #: Weight of the newest latency.
 EMA_WEIGHT = 0.3
 
@@ -58,50 +57,6 @@ def latency_average(values: Column) -> Column:
     return F.aggregate(F.filter(values, lambda v: v > 0), F.lit(None).cast("double"), lambda acc, v: F.when(acc.isNull(), v).otherwise(v * EMA_WEIGHT + acc * (1 - EMA_WEIGHT)))
 
 
-def directory_paragraphs(events: DataFrame, key: list[str]) -> DataFrame:
-    """Paragraphs that lie in a generated directory, of field events (key, seq, para, kind, text); kind is paragraph, begin, code or end.
-
-    Field types may be spelled in pieces, so a document's events are walked in
-    order, one document at a time.  A document whose fields don't balance has
-    none, rather than too many.
-    """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*key).schema.fields) + ", para int"
-
-    def walk(_, table):
-        rows = sorted(zip(table.column("seq").to_pylist(), table.column("para").to_pylist(), table.column("kind").to_pylist(), table.column("text").to_pylist(), strict=True))
-        found = walk_fields([r[1:] for r in rows])
-        import pyarrow as pa
-
-        first = {k: table.column(k)[:1].combine_chunks() for k in key}
-        return pa.table({**{k: pa.array([v[0].as_py()] * len(found), v.type) for k, v in first.items()}, "para": pa.array(found, pa.int32())})
-
-    return events.groupBy(*key).applyInArrow(walk, schema)
-
-
-def walk_fields(events: list[tuple]) -> list[int]:
-    """(para, kind, text) in order to the paragraphs in a directory field, from the one it begins in on."""
-    found, stack = set(), []  # of (paragraph it began in, instruction so far, whether a directory)
-    for para, kind, text in events:
-        if kind == "paragraph":
-            if any(f[2] for f in stack):
-                found.add(para)
-        elif kind == "begin":
-            stack.append([para, "", False])
-        elif kind == "code" and stack and not stack[-1][2]:
-            top = stack[-1]
-            top[1] += text or ""
-            word = top[1].lstrip()
-            cut = min((word.find(c) for c in ' \\"\t' if c in word), default=-1)
-            if cut >= 0 and word[:cut].upper() in DIRECTORY_FIELDS:
-                top[2] = True
-                found.add(top[0])
-        elif kind == "end":
-            if not stack:
-                return []
-            stack.pop()
-    return [] if stack else sorted(found)
-
-
 def directories(by_field: DataFrame, by_style: DataFrame, key: list[str], part: str | None = None) -> DataFrame:
     """The keys of paragraphs in directories, told by a field or by their style; part: of the main body only."""
     both = [d.where(F.col(part) == "main") if part else d for d in (by_field, by_style)]

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names, replies, text
-from ..operators import audit, correct, graph, lookup, packing, pacing, revisions, segments, validation
+from ..operators import audit, correct, fields, graph, lookup, packing, pacing, revisions, segments, validation
 from ..sources import office, sinks, tables
 from ..sources.tables import table
 from ..streaming import pacing as pacing_stream
@@ -411,7 +411,7 @@ def directory_fields(spark, sf_dir):
     e = lambda n, kind, text=None: F.struct((line * 10 + n).alias("seq"), line.alias("para"), F.lit(kind).alias("kind"), F.lit(text).cast("string").alias("text"))
     made = F.when(line == 2, F.array(e(0, "paragraph"), e(1, "begin"), e(2, "code", " TO"), e(3, "code", "C \\o"))).when(line == 3, F.array(e(0, "paragraph"), e(1, "end"))).otherwise(F.array(e(0, "paragraph")))
     events = table(spark, sf_dir, "lineitem").select("l_orderkey", F.explode(made).alias("e")).select("l_orderkey", "e.*")
-    return audit.directory_paragraphs(events, ["l_orderkey"])
+    return fields.directory_paragraphs(events, ["l_orderkey"])
 
 
 @query("""SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN 'de-' || event_type END, CASE WHEN event_id % 3 = 0 THEN 'en-' || event_type END, event_type) AS shown FROM events""")
@@ -500,8 +500,8 @@ def note_texts(spark, sf_dir):
 @query("SELECT l_orderkey, count(*) FILTER (WHERE (l_partkey + l_linenumber) % 7 = 1) AS dirty FROM lineitem GROUP BY l_orderkey")
 def dirty_directories(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, _FIELDS)), ((F.col("l_partkey") + F.col("l_linenumber")) % 7 + 1).cast("int"))
-    fields = segments.dirty_fields(table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("instruction")))
-    return fields.groupBy("l_orderkey").agg(F.count_if("dirty").alias("dirty"))
+    found = segments.dirty_fields(table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("instruction")))
+    return found.groupBy("l_orderkey").agg(F.count_if("dirty").alias("dirty"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND NOT starts_with(text, ' ') THEN ' ' || text ELSE text END AS text FROM conversations WHERE text <> ''""")

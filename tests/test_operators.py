@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import diff as d
-from palimpsest.operators import align, audit, correct, lookup, packing, pacing, revisions
+from palimpsest.operators import align, audit, correct, fields, lookup, packing, pacing, revisions
 from palimpsest.plans import settings as run_settings
 
 TOKENS = st.lists(st.sampled_from("abcd "), max_size=18)
@@ -165,8 +165,32 @@ def test_trailing_spaces(spark):
     assert got == [("delete", " "), ("equal", "word"), ("equal", " "), ("equal", "  ")]
 
 
+def walked(events: list[tuple]) -> list[int]:
+    """(para, kind, text) in order to the paragraphs in a directory field, one event after the other."""
+    found, stack = set(), []  # of (paragraph it began in, instruction so far, whether a directory)
+    for para, kind, text in events:
+        if kind == "paragraph":
+            if any(f[2] for f in stack):
+                found.add(para)
+        elif kind == "begin":
+            stack.append([para, "", False])
+        elif kind == "code" and stack and not stack[-1][2]:
+            top = stack[-1]
+            top[1] += text or ""
+            word = top[1].lstrip()
+            cut = min((word.find(c) for c in ' \\"\t' if c in word), default=-1)
+            if cut >= 0 and word[:cut].upper() in fields.DIRECTORY_FIELDS:
+                top[2] = True
+                found.add(top[0])
+        elif kind == "end":
+            if not stack:
+                return []
+            stack.pop()
+    return [] if stack else sorted(found)
+
+
 def test_directory_walk():
-    w = audit.walk_fields
+    w = walked
     toc = [(1, "paragraph", None), (2, "paragraph", None), (2, "begin", None), (2, "code", ' TOC \\o "1-3"'), (3, "paragraph", None), (3, "begin", None), (3, "code", "PAGEREF x "), (3, "end", None), (4, "paragraph", None), (4, "end", None), (5, "paragraph", None)]
     assert w(toc) == [2, 3, 4]
     assert w(toc[:-2]) == []  # never closed
@@ -174,6 +198,30 @@ def test_directory_walk():
     assert w([(1, "paragraph", None), (1, "begin", None), (1, "code", " T"), (1, "code", "OC "), (2, "paragraph", None), (2, "end", None)]) == [1, 2]
 
 
+def test_directories_in_stretches(spark):
+    """Random events of documents, one of which has a third of all, against the plain walk; null keys are a document too."""
+    rng, rows, asked = random.Random(7), [], {}
+    for doc in [None, *range(200)]:
+        events, depth, para = [], 0, 0
+        for seq in range(rng.choice([0, 3, 12, 40]) if doc != 5 else 600):
+            k = rng.choice(["paragraph", "paragraph", "begin", "code", "code", "end"])
+            if k == "end" and not depth and rng.random() < 0.98:
+                k = "paragraph"
+            depth, para = depth + (k == "begin") - (k == "end"), para + (k == "paragraph")
+            events.append((seq, para, k, rng.choice([" T", "OC ", "toc\\x", "IN", "DEX", '"', "", None, "PAGE ", "TOA\t"]) if k == "code" else None))
+        events += [(len(events) + i, para, "end", None) for i in range(depth if rng.random() < 0.9 else 0)]
+        asked[doc] = walked([e[1:] for e in events])
+        rows += [(doc, *e) for e in events]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc int, seq long, para int, kind string, text string")
+    for width in (4, 1 << 14):
+        got = {}
+        for r in fields.directory_paragraphs(df, ["doc"], width).collect():
+            got.setdefault(r.doc, []).append(r.para)
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in asked.items() if v}
+    assert sum(map(bool, asked.values())) > 15 and fields.directory_paragraphs(df.limit(0), ["doc"]).collect() == []
+
+
 AUTO = pacing.LIMITS["auto"]
 
 
