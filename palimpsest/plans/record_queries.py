@@ -612,6 +612,20 @@ def translated_runs(spark, sf_dir):
     return sums.where("segments > 0").select("o_custkey", "anchors", (F.col("filled") <= F.col("segments")).alias("few"), F.sha2("t", 256).alias("text_sha256"))
 
 
+@query(f"""WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 = 0 AS anchor, o_orderkey % 7 + 1 AS n, count(*) FILTER (WHERE o_orderkey % 4 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS island FROM orders),
+s AS (SELECT o_custkey, island, CAST(sum(n) AS BIGINT) AS chars, arg_max(o_orderkey, (n, -o_orderkey)) AS dominant FROM r WHERE NOT anchor GROUP BY ALL),
+t AS (SELECT *, 'Das ist ein Satz von ' || o_custkey || ', und er geht-weiter.' AS text, sum(chars) OVER (PARTITION BY o_custkey ORDER BY island) AS seen, sum(chars) OVER (PARTITION BY o_custkey) AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY island DESC) = 1 AS last FROM s),
+x AS (SELECT *, CAST(round_even(length(text) * seen / CAST(total AS DOUBLE), 0) AS BIGINT) AS p FROM t),
+c AS (SELECT *, max(CASE WHEN last THEN length(text) ELSE {_NEAREST} END) OVER (PARTITION BY o_custkey ORDER BY island) AS cut FROM x),
+d AS (SELECT o_custkey, dominant, substr(text, coalesce(lag(cut) OVER w, 0) + 1, cut - coalesce(lag(cut) OVER w, 0)) AS share FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY island))
+SELECT r.o_custkey, r.o_orderkey, CASE WHEN anchor THEN repeat('w', n) ELSE coalesce(share, '') END AS text FROM r LEFT JOIN d ON d.o_custkey = r.o_custkey AND d.dominant = r.o_orderkey""")
+def translation_by_run(spark, sf_dir):
+    """Which run has which share of a translation: the longest of each segment its share, cut at words, the others nothing, anchors their own text."""
+    runs = _runs(spark, sf_dir)
+    said = runs.select("o_custkey").distinct().withColumn("translation", F.concat(F.lit("Das ist ein Satz von "), F.col("o_custkey").cast("string"), F.lit(", und er geht-weiter.")))
+    return segments.translated(runs, said, ["o_custkey"], "o_orderkey", "anchor").select("o_custkey", "o_orderkey", "text")
+
+
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 5 = 0 AND l_suppkey % 2 = 0), s AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 3 = 0 AND l_suppkey % 2 = 0) SELECT * FROM f UNION SELECT * FROM s""")
 def directory_union(spark, sf_dir):
     """Paragraphs of the main body that lie in a directory, by a field or by their style."""

@@ -190,3 +190,27 @@ def growing_diff(spark, sf_dir):
     told = F.col("done") & ((kind == 3) | (kind == 1) & (F.col("b") == F.concat("a", F.lit(" indeed"))) & F.col("a").rlike(r"[A-Za-z.]\z"))
     html = F.when(told, F.sha2(script.editor_html(F.when(told, ops)), 256))
     return plain.select("doc_id", "pos", F.col("seq").alias("step"), F.sha2("a", 256).alias("original_sha256"), F.sha2("b", 256).alias("corrected_sha256"), html.alias("html_sha256"))
+
+
+@query(f"""WITH {PARAS}, w AS (SELECT doc_id, pos, {_LETTERS} AS t FROM paras), x AS (SELECT *, regexp_extract(t, '^[^ ]+') AS first, regexp_extract(t, '[^ ]+$') AS last FROM w)
+SELECT doc_id, pos, sha256(CASE pos % 3 WHEN 0 THEN first || 'q' WHEN 1 THEN 'Anew ' || first ELSE first END) AS a_sha256, sha256(CASE WHEN t = first THEN '' ELSE substr(t, length(first) + 1, length(t) - length(first) - length(last)) END) AS b_sha256, sha256(CASE WHEN t = first THEN '' ELSE last || CASE pos % 3 WHEN 2 THEN '!?' ELSE '' END END) AS c_sha256 FROM x WHERE t <> first""")
+def corrections_by_run(spark, sf_dir):
+    """Which run has which part of a correction, of the first word, the last one and what is between: letters put in at the end of a word, a word before all others, marks after the last."""
+    rows, t, turn = _letters(spark, sf_dir), F.col("text"), F.col("pos") % 3
+    first, last = F.regexp_extract(t, "^[^ ]+", 0), F.regexp_extract(t, "[^ ]+$", 0)
+    a = F.length(first)
+    middle = F.substr(t, a + 1, F.length(t) - a - F.length(last))
+    said = F.when(turn == 0, F.concat(first, F.lit("q"), F.substr(t, a + 1))).when(turn == 1, F.concat(F.lit("Anew "), t)).otherwise(F.concat(t, F.lit("!?")))
+    dealt = rows.where(t != first).repartition("doc_id", "pos").select("doc_id", "pos", diff.dealt_to_runs(F.array(first, middle, last), said).alias("d"))
+    return dealt.select("doc_id", "pos", *[F.sha2(F.col("d")[i], 256).alias(f"{n}_sha256") for i, n in enumerate("abc")])
+
+
+@query(f"""WITH {PARAS}, w AS (SELECT doc_id, pos, {_LETTERS} AS t FROM paras), x AS (SELECT doc_id, pos, t, length(regexp_extract(t, '^[^ ]+ ')) AS lead FROM w)
+SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (WHERE pos % 3 = 1 OR (pos % 3 = 2 AND lead > 0)) AS changed, CAST(sum(CASE WHEN pos % 3 = 1 THEN 8 ELSE 0 END) AS BIGINT) AS inserted, CAST(sum(CASE WHEN pos % 3 = 2 THEN lead ELSE 0 END) AS BIGINT) AS deleted,
+  CAST(sum(length(t) - CASE WHEN pos % 3 = 2 THEN lead ELSE 0 END) AS BIGINT) AS equal FROM x GROUP BY doc_id""")
+def diff_amounts(spark, sf_dir):
+    """Characters that are put in, taken out and kept: a number after the text, or its first word away."""
+    t, turn = F.col("text"), F.col("pos") % 3
+    new = F.when(turn == 1, F.concat(t, F.lit(" 1234567"))).when(turn == 2, F.regexp_replace(t, "^[^ ]+ ", "")).otherwise(t)
+    rows = _letters(spark, sf_dir).repartition("doc_id", "pos").select("doc_id", "pos", t.alias("original"), new.alias("corrected"))
+    return revisions.statistics(revisions.compared(rows), ["doc_id"]).select("doc_id", "paragraphs", "changed", "inserted", "deleted", "equal")
