@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import style, style_counts
+from .fields import DIRECTORY_FIELDS
 
 # Field types that may be written over.
 SAFE_FIELDS = ("HYPERLINK", "SYMBOL", "QUOTE", "PAGE", "NUMPAGES", "SECTION", "SECTIONPAGES", "PAGEREF")
