@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.growth import editor_diff, editor_html
 from ..functions.replies import editor_markdown_stripped
 from ..functions.text import is_blank
 
@@ -174,3 +175,11 @@ def growing(lines: DataFrame, key: str = "request_id", order: str = "seq", at: s
     out = streamed(events_of(lines, key, order), at)
     kind = lines.schema[key].dataType
     return out.select(F.col("request_id").cast(kind).alias("request_id"), F.array_join("chunks", "").alias("text"), (F.col("status") == ENDED).alias("done"))
+
+
+def shown(results: DataFrame) -> DataFrame:
+    """request_id, status, html of RESULTS, of a batch or after each trigger: what an editor shows, the original, up to its last sentence end while the request grows, against the reply so far.  A request without an original has an empty one."""
+    original, status = F.coalesce("original", F.lit("")), F.col("status")
+    cut = F.regexp_extract(original, r"(?sU)^.*[.!?](?:\s|\z)", 0)
+    old = F.when((status == GROWING) & (cut != ""), cut).otherwise(original)
+    return results.select("request_id", "status", editor_html(editor_diff(old, text_of(F.col("chunks"), F.col("original"), status))).alias("html"))

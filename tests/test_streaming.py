@@ -120,3 +120,18 @@ def test_notices_end_by_themselves(spark, tmp_path):
     got, left = run_stream(spark, tmp_path, "k string, ts timestamp", slices, lambda s: pacing.notice_changes(s, "k"), "append")
     want = pacing.changes_of(spark.createDataFrame(rows, "k string, ts timestamp"), "k").collect()
     assert sorted((r.key, r.change, r.at, r.refusals) for r in got if r.key != "end") == sorted(map(tuple, want)) and left == 1
+
+
+def test_shown_while_they_grow(spark, tmp_path):
+    """After each trigger the editor's view of a request; the batch form shows what the last trigger does."""
+    rows = [("a", 0, "open", 1, "One cat. Two"), ("a", 1, "line", None, said("One dog")), ("b", 0, "line", None, said("new")), ("a", 2, "line", None, said(". Two")), ("a", 3, "line", None, "data: [DONE]"), ("c", 0, "open", 1, "kept"), ("c", 1, "cancel", None, None)]
+    schema = tokens.EVENTS + ", at timestamp"
+    slices = [[(*x, at(k)) for x in part] for k, part in enumerate((rows[:3], rows[3:]))]
+    got, _ = run_stream(spark, tmp_path, schema, slices, lambda df: tokens.shown(tokens.streamed(df)), "update")
+    gone, new = '<span class="diff-deleted">cat</span> ', '<span class="diff-inserted">dog</span>'
+    assert [tuple(r[k] for k in ("request_id", "status", "html")) for r in sorted(got, key=lambda r: (r._batch, r.request_id))] == [
+        ("a", "growing", f'One <span class="diff-deleted">cat.</span>  {new}'), ("b", "growing", '<span class="diff-inserted">new</span>'),
+        ("a", "done", f"One {gone}{new}. Two"), ("c", "cancelled", "kept"),
+    ]
+    whole = tokens.shown(tokens.requests(spark.createDataFrame([x for part in slices for x in part], schema))).collect()
+    assert sorted((r.request_id, r.html) for r in whole) == [("a", f"One {gone}{new}. Two"), ("b", '<span class="diff-inserted">new</span>'), ("c", "kept")]
