@@ -108,4 +108,7 @@ def memory_tier(gib: Column) -> Column:
 
 
 def epoch_text(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
+    """Date, hour and minute; years as they are counted, with four digits at least from 0 on: the pattern's own would be those of an era, with a sign beyond 9999."""
+    at = F.timestamp_seconds(seconds)
+    year = F.year(at).cast("string")
+    return F.concat(F.when(F.year(at).between(0, 999), F.lpad(year, 4, "0")).otherwise(year), F.date_format(at, "-MM-dd HH:mm"))

@@ -115,3 +115,10 @@ def test_names(spark):
     assert [r.v for r in evaluate(spark, [r[:2] for r in rows], "a string, b string", v=names.version_compare("a", "b"))] == [r[2] for r in rows]
     rows = [("de-DE", "de"), ("pl_PL", "pl"), ("tlh", "en"), ("", "en")]
     assert [r.v for r in evaluate(spark, [(a,) for a, _ in rows], "t string", v=names.locale("t"))] == [b for _, b in rows]
+
+
+def test_epoch_text_of_any_year(spark, duck):
+    seconds = [0, -1, 253402300799, 253402300800, 518400000000, 4102444800000, -62135596801, -62167219201, -99999999999, -377705116801]
+    got = spark.createDataFrame([(s,) for s in seconds], "s long").select("s", names.epoch_text(F.col("s")).alias("at"))
+    told = duck.sql(f"SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M') FROM (SELECT unnest({seconds}) AS s)").fetchall()
+    assert [r["at"] for r in got.collect()] == [x for (x,) in told]
