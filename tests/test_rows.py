@@ -26,6 +26,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_packages_are_dealt_to_tasks(tmp_path):
+    many(tmp_path / "in", 2500)
+    reader = packages.Reader(str(tmp_path / "in"))
+    shares = reader.partitions()
+    assert len(shares) >= 2 and sum(len(s.paths) for s in shares) == 2500
+
+
 def test_scans_of_small_packages_have_few_tasks(spark, tmp_path):
     many(tmp_path / "in", 2000)
     found = packages.files(spark, str(tmp_path / "in"))
@@ -38,3 +45,10 @@ def test_texts_with_revisions_resolved(spark):
     got = {(r.path, r.accepted, r.label, r.note, r.pos, r.text) for r in packages.resolved_texts(files).collect()}
     told = {(r.path, accept, r.label, r.note, r.pos, r.text) for accept in (True, False) for r in packages.texts_of(files.withColumn("content", packages.resolved("content", accept))).collect()}
     assert got == told and {x[-1] for x in got} >= {"It was twice", "It was once", "Same"}
+
+
+def test_few_rows_are_objects_at_once():
+    seen = []
+    f = rows.by_rows("string")(lambda x: seen.append(x) or x)
+    column = pa.array([str(i) if i % 7 else None for i in range(1000)])
+    assert f.func(column).equals(column) and len(seen) == 1000 and f.func(column[:0]).equals(column[:0])
