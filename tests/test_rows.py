@@ -47,6 +47,10 @@ def test_texts_with_revisions_resolved(spark):
     assert got == told and {x[-1] for x in got} >= {"It was twice", "It was once", "Same"}
 
 
+def test_packages_are_opened_once_to_be_read(spark):
+    assert plan(QUERIES["read_packages"](spark, f"{DATA}/sf0.001")).count("binaryFile") == 1
+
+
 def test_few_rows_are_objects_at_once():
     seen = []
     f = rows.by_rows("string")(lambda x: seen.append(x) or x)
