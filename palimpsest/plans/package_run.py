@@ -25,14 +25,19 @@ def corrected_packages(files: DataFrame, author: str, date: str, corrector: Corr
     """files (path, content and more) with what a corrector makes of their paragraphs as revisions.
 
     Revisions that are there already are accepted first, unless
-    accept_existing is false; then new ones are written inside them.  Equal
+    accept_existing is false; then new ones are written inside them.  That is
+    done once, in the shared folder.  Equal
     texts are asked once, over all packages; blank paragraphs and bare labels
     aren't asked.  scope: the parts that are corrected, as main, footnotes or
     headers; all where it is null.  Corrections are written to the shared
     folder before revisions are made of them, so that nothing is asked again
     where a task is lost.
     """
-    base = accepted(files) if accept_existing else files
+    base = files
+    if accept_existing:
+        opened = f"{shared.folder(files.sparkSession, 'accepted')}/files"
+        accepted(files).write.parquet(opened)
+        base = files.sparkSession.read.schema(files.schema).parquet(opened)
     texts = in_need(packages.texts_of(base))
     if scope is not None:
         texts = texts.where(F.split("label", " ")[0].isin(*scope))

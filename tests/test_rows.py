@@ -51,6 +51,11 @@ def test_packages_are_opened_once_to_be_read(spark):
     assert plan(QUERIES["read_packages"](spark, f"{DATA}/sf0.001")).count("binaryFile") == 1
 
 
+def test_revisions_are_accepted_once(spark):
+    files = spark.createDataFrame([("a", package(p("Some  text")))], "path string, content binary")
+    assert "resolve(" not in plan(package_run.corrected_packages(files, "A", "2024-01-01T00:00:00Z")) and "resolve(" in plan(package_run.accepted(files))
+
+
 def test_few_rows_are_objects_at_once():
     seen = []
     f = rows.by_rows("string")(lambda x: seen.append(x) or x)
