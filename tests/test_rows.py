@@ -61,3 +61,14 @@ def test_few_rows_are_objects_at_once():
     f = rows.by_rows("string")(lambda x: seen.append(x) or x)
     column = pa.array([str(i) if i % 7 else None for i in range(1000)])
     assert f.func(column).equals(column) and len(seen) == 1000 and f.func(column[:0]).equals(column[:0])
+
+
+def test_correctors_are_asked_for_few_texts_at_once(spark):
+    most = spark.sparkContext.accumulator(0)
+
+    def counted(prompts, texts):
+        most.add(len(texts) > rows.SLICE)
+        return [t.upper() for t in texts]
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("_key"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    assert {r._key: r.reply for r in replies(df, counted, "").collect()} == {str(i): f"T{i}" for i in range(1000)} and most.value == 0
