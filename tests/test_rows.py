@@ -72,3 +72,13 @@ def test_correctors_are_asked_for_few_texts_at_once(spark):
 
     df = spark.range(1000).select(F.col("id").cast("string").alias("_key"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).coalesce(1)
     assert {r._key: r.reply for r in replies(df, counted, "").collect()} == {str(i): f"T{i}" for i in range(1000)} and most.value == 0
+
+
+def test_equal_characters_are_those_of_the_diff():
+    rng = random.Random(3)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("ab é😀"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 30))) for _ in "ab")
+        parts = diff.pieces(a, b)
+        assert diff.equal_characters(a, b) == sum(n for equal, n, _ in parts if equal) and diff.likeness(a, b) == diff._share(parts, len(a) + len(b))
+    long = "x" * 900 + "y" * 700
+    assert diff.equal_characters(long, "x" * 500 + "z" + "y" * 800) == sum(n for equal, n, _ in diff.pieces(long, "x" * 500 + "z" + "y" * 800) if equal)
