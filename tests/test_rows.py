@@ -82,3 +82,8 @@ def test_equal_characters_are_those_of_the_diff():
         assert diff.equal_characters(a, b) == sum(n for equal, n, _ in parts if equal) and diff.likeness(a, b) == diff._share(parts, len(a) + len(b))
     long = "x" * 900 + "y" * 700
     assert diff.equal_characters(long, "x" * 500 + "z" + "y" * 800) == sum(n for equal, n, _ in diff.pieces(long, "x" * 500 + "z" + "y" * 800) if equal)
+
+
+def test_letters_are_worked_out_once(spark):
+    text = QUERIES["corrections_by_run"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("[^A-Za-z ]") == 1
