@@ -87,3 +87,7 @@ def test_equal_characters_are_those_of_the_diff():
 def test_letters_are_worked_out_once(spark):
     text = QUERIES["corrections_by_run"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("[^A-Za-z ]") == 1
+
+
+def test_replies_are_applied_in_tasks_of_paragraphs(spark):
+    assert "RepartitionByExpression [doc_id" in QUERIES["applied_replies"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
