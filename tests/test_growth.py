@@ -42,6 +42,18 @@ def test_fifty_growths_cost_less_than_two_diffs():
     assert grown.worked <= 2 * once.worked
 
 
+def test_stretches_are_taken_at_once(monkeypatch):
+    """Texts that are equal but for an end, and those that come in before their originals: steps by stretches, not by tokens."""
+    calls = []
+    for name in ("_run", "_rising"):
+        monkeypatch.setattr(growth, name, lambda *a, f=getattr(growth, name): calls.append(1) or f(*a))
+    old = " ".join(f"w{k}" for k in range(2000))
+    assert growth.Growing().texts(old, old + " end") == [("equal", old), ("insert", " end")]
+    assert growth.Growing().texts(old, old.partition(" ")[2]) == [("delete", "w0 "), ("equal", old[3:])]
+    assert growth.Growing().texts("w0.", old) == [("equal", "w0"), ("delete", "."), ("insert", old[2:])]
+    assert len(calls) < 4 * 4000  # a few for each row, of which the last has 4,000 with 5 places each
+
+
 def test_very_unlike_texts_by_halves():
     old, new = " ".join(f"a{k}" for k in range(3000)), " ".join(f"b{k}" if k % 3 else f"a{k}" for k in range(3000))
     ops = growth.Growing(100_000).texts(old, new)
