@@ -122,6 +122,19 @@ def test_notices_end_by_themselves(spark, tmp_path):
     assert sorted((r.key, r.change, r.at, r.refusals) for r in got if r.key != "end") == sorted(map(tuple, want)) and left == 1
 
 
+def test_keys_share_states_of_shards(spark, tmp_path):
+    """Forty keys in three shards: three rows of state, and what the batch forms say."""
+    keys = [f"k{i}" for i in range(40)]
+    slices = [[(k, at(i % 5)) for i, k in enumerate(keys)], [(k, at(8 + i % 7)) for i, k in enumerate(keys)]]
+    got, left = run_stream(spark, tmp_path / "notices", "k string, ts timestamp", slices, lambda s: pacing.notice_changes(s, "k", shards=3), "append")
+    want = pacing.changes_of(spark.createDataFrame([x for s in slices for x in s], "k string, ts timestamp"), "k").where("change = 'shown'").collect()
+    assert sorted(r.key for r in got) == sorted(r.key for r in want) == sorted(keys) and left == 3
+    slices = [[(k, n, 1.7e12 + n * 100.0 + i, "throttled" if i % 3 else "success", None, None, 0.5) for i, k in enumerate(keys)] for n in range(2)]
+    got, left = run_stream(spark, tmp_path / "paced", batch_pacing.EVENTS, slices, lambda s: pacing.paced(s, shards=3), "append")
+    want = batch_pacing.paced(spark.createDataFrame([x for s in slices for x in s], batch_pacing.EVENTS)).collect()
+    assert sorted(tuple(r)[:6] for r in got) == sorted(map(tuple, want)) and left == 3
+
+
 def test_shown_while_they_grow(spark, tmp_path):
     """After each trigger the editor's view of a request; the batch form shows what the last trigger does."""
     rows = [("a", 0, "open", 1, "One cat. Two"), ("a", 1, "line", None, said("One dog")), ("b", 0, "line", None, said("new")), ("a", 2, "line", None, said(". Two")), ("a", 3, "line", None, "data: [DONE]"), ("c", 0, "open", 1, "kept"), ("c", 1, "cancel", None, None)]
