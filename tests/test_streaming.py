@@ -125,7 +125,7 @@ def test_notices_end_by_themselves(spark, tmp_path):
 def test_keys_share_states_of_shards(spark, tmp_path):
     """Forty keys in three shards: three rows of state, and what the batch forms say."""
     keys = [f"k{i}" for i in range(40)]
-    slices = [[(k, at(i % 5)) for i, k in enumerate(keys)], [(k, at(8 + i % 7)) for i, k in enumerate(keys)]]
+    slices = [[(k, at(i % 5)) for i, k in enumerate(keys)], [(k, at(5 + i % 7)) for i, k in enumerate(keys)]]
     got, left = run_stream(spark, tmp_path / "notices", "k string, ts timestamp", slices, lambda s: pacing.notice_changes(s, "k", shards=3), "append")
     want = pacing.changes_of(spark.createDataFrame([x for s in slices for x in s], "k string, ts timestamp"), "k").where("change = 'shown'").collect()
     assert sorted(r.key for r in got) == sorted(r.key for r in want) == sorted(keys) and left == 3
