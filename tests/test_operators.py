@@ -159,6 +159,11 @@ def test_nbsp_restored(spark):
     assert [(r.kind, r.token) for r in again.orderBy("seq").collect()] == got
 
 
+def test_nbsp_restored_sorts_once(spark):
+    plan = revisions.nbsp_restored(entries(spark, ("delete", "a"), ("insert", "b")), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
 def test_trailing_spaces(spark):
     rows = entries(spark, ("delete", " "), ("equal", "word"), ("insert", " "), ("equal", " "), ("delete", "  "))
     got = [(r.kind, r.token) for r in revisions.trailing_spaces_rejected(rows, ["doc_id"]).orderBy("seq").collect()]
