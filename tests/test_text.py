@@ -122,3 +122,13 @@ def test_epoch_text_of_any_year(spark, duck):
     got = spark.createDataFrame([(s,) for s in seconds], "s long").select("s", names.epoch_text(F.col("s")).alias("at"))
     told = duck.sql(f"SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M') FROM (SELECT unnest({seconds}) AS s)").fetchall()
     assert [r["at"] for r in got.collect()] == [x for (x,) in told]
+
+
+def test_diffs_take_equal_stretches_at_once():
+    """A diff's steps are stretches: of equal texts one, not one for each character; the tokens are those of the steps."""
+    from palimpsest.functions import diff
+
+    text = " ".join(f"w{k}" for k in range(300))
+    assert diff.steps(text, text) == [("equal", len(text)), ("delete", 0), ("insert", 0)]
+    assert len([s for s in diff.steps(text, text[3:]) if s[1]]) <= 5
+    assert diff.merged(diff.diff(list(text), list(text + " end"))) == [("equal", text), ("insert", " end")]
