@@ -9,7 +9,7 @@ from palimpsest.functions import diff, rows
 from palimpsest.operators.correct import replies
 from palimpsest.plans import package_run
 from palimpsest.plans.queries import QUERIES
-from palimpsest.sources import packages
+from palimpsest.sources import office, packages
 
 from .conftest import DATA
 from .test_packages import p, package
@@ -91,3 +91,21 @@ def test_letters_are_worked_out_once(spark):
 
 def test_replies_are_applied_in_tasks_of_paragraphs(spark):
     assert "RepartitionByExpression [doc_id" in QUERIES["applied_replies"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_of_large_packages_are_small(spark, tmp_path):
+    noise = random.Random(5)
+    path = tmp_path / "in"
+    path.mkdir()
+    for i in range(300):
+        (path / f"{i}.docx").write_bytes(noise.randbytes(60_000))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], ["n"])
+
+    def largest(files):
+        return files.select("content").coalesce(1).mapInArrow(sizes, "n int").agg(F.sum("n"), F.max("n")).first()
+
+    for files in (packages.files(spark, str(path)), office.packages(spark, str(path))):
+        assert largest(files)[0] == 300 and largest(files)[1] < 150
