@@ -30,9 +30,10 @@ def running(rows: DataFrame, key: list[str], order: list[str], sums: dict[str, C
     upto = Window.partitionBy(*key, _STRETCH).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*key).orderBy(_STRETCH).rowsBetween(Window.unboundedPreceding, -1)
     totals = valued.groupBy(*key, _STRETCH).agg(*[F.sum(f"_v_{n}").alias(n) for n in sums])
-    carried = totals.select(*key, _STRETCH, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    # a key's first stretch has nothing to carry: only what is there is joined
+    carried = totals.select(*key, _STRETCH, *[F.sum(n).over(before).alias(f"_c_{n}") for n in sums]).where(F.coalesce(*[F.col(f"_c_{n}") for n in sums]).isNotNull())
     own = valued.withColumns({n: F.sum(f"_v_{n}").over(upto) for n in sums})
-    out = own.join(carried, [*key, _STRETCH]).withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums})
+    out = own.join(carried, [*key, _STRETCH], "left").withColumns({n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums})
     return out.select(*rows.columns, *sums)
 
 
@@ -58,26 +59,30 @@ def directory_paragraphs(events: DataFrame, key: list[str], width: int = 1 << 14
     none, rather than too many.  Events are in the order of seq, a number; of
     equal ones in that of para, kind and text.  width: how many places of seq
     a stretch has.  A field's instruction is gathered, no document is.  Events
-    are read once, and written to the shared folder with their numbers, as all
-    that follows asks for parts of them.
+    are read once, and written to the shared folder; those of documents that have
+    fields, and an end for each, are put in order and written with their numbers,
+    and so are the directories, as all that follows asks for parts of them.
     """
     kind, is_ = F.col("kind"), lambda k: (F.col("kind") == k).cast("int")
     written = shared.folder(events.sparkSession, "fields")
-    rows = events.select(F.struct(*key).alias("_key"), F.floor(F.col("seq") / width).cast("long").alias(_STRETCH), "seq", "para", "kind", "text").where(kind.isin("paragraph", "begin", "code", "end"))
+    rows = events.select(F.struct(*key).alias("_key"), F.floor(F.col("seq") / width).cast("long").alias(_STRETCH), "seq", "para", "kind", "text").where(kind.isin("paragraph", "begin", "code", "end") & F.col("seq").isNotNull())
     rows.write.parquet(f"{written}/rows")
     rows = events.sparkSession.read.parquet(f"{written}/rows")
+    closed = rows.where(kind.isin("begin", "end")).groupBy("_key").agg(F.sum(is_("begin") - is_("end")).alias("left")).where("left = 0").select("_key")
+    rows = rows.join(closed, "_key", "left_semi")
     running(rows, ["_key"], ["seq", "para", "kind", "text"], {"n": F.lit(1), "depth": is_("begin") - is_("end")}).drop("seq").write.parquet(f"{written}/steps")
     steps = events.sparkSession.read.parquet(f"{written}/steps")
-    balanced = steps.groupBy("_key").agg(F.min("depth").alias("low"), F.sum(is_("begin") - is_("end")).alias("left")).where("low >= 0 and left = 0").select("_key")
-    steps = steps.join(balanced, "_key", "left_semi")
+    steps = steps.join(steps.where("depth < 0").select("_key").distinct(), "_key", "left_anti")
     marks = steps.where((kind != "paragraph") & ((kind != "code") | (F.col("depth") > 0))).withColumn("level", F.col("depth") + is_("end"))
     fields = running(marks, ["_key", "level"], ["n"], {"turn": is_("begin")})
     piece = F.when((kind == "code") & (F.col("text") != ""), F.struct("n", F.col(_STRETCH).alias("stretch"), "text"))
     one = fields.groupBy("_key", "level", "turn").agg(
         F.max(F.when(kind == "begin", F.col("para"))).alias("para"), F.max(F.when(kind == "end", F.struct("n", F.col(_STRETCH).alias("stretch")))).alias("end"), _typed(F.array_sort(F.collect_list(piece))).alias("type"))
     made = one.where(F.col("type.n").isNotNull() & F.upper(F.regexp_extract("type.text", _TYPE, 0)).isin(*DIRECTORY_FIELDS))
-    border = lambda at, step: F.struct(F.col(f"{at}.stretch").alias(_STRETCH), F.col(f"{at}.n").alias("n"), F.lit(step).alias("step"))
-    borders = made.select("_key", F.explode(F.array(border("type", 1), border("end", -1))).alias("b")).select("_key", "b.*", F.lit(None).cast(events.schema["para"].dataType).alias("para"))
-    places = steps.where(kind == "paragraph").select("_key", _STRETCH, "n", F.lit(0).alias("step"), "para").unionByName(borders)
+    made.select("_key", "para", "type.n", "type.stretch", "end").write.parquet(f"{written}/made")
+    made = events.sparkSession.read.parquet(f"{written}/made")
+    border = lambda at, step: F.struct(F.col(f"{at}stretch").alias(_STRETCH), F.col(f"{at}n").alias("n"), F.lit(step).alias("step"))
+    borders = made.select("_key", F.explode(F.array(border("", 1), border("end.", -1))).alias("b")).select("_key", "b.*", F.lit(None).cast(events.schema["para"].dataType).alias("para"))
+    places = steps.where(kind == "paragraph").join(made.select("_key"), "_key", "left_semi").select("_key", _STRETCH, "n", F.lit(0).alias("step"), "para").unionByName(borders)
     inside = running(places, ["_key"], ["n"], {"open": F.col("step")}).where("open > 0 and step = 0").select("_key", "para")
     return inside.union(made.select("_key", "para")).distinct().select("_key.*", F.col("para").cast("int").alias("para"))

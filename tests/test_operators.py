@@ -227,6 +227,14 @@ def test_directories_in_stretches(spark):
     assert sum(map(bool, asked.values())) > 15 and fields.directory_paragraphs(df.limit(0), ["doc"]).collect() == []
 
 
+def test_documents_without_whole_fields_are_not_ordered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fields.shared, "folder", lambda *_: str(tmp_path))
+    rows = [(doc, 0, 1, "paragraph", None) for doc in range(50)] + [(1, 1, 1, "begin", None), (2, 1, 1, "begin", None), (2, 2, 1, "code", "TOC "), (2, 3, 1, "end", None), (3, 1, 1, "end", None)]
+    df = spark.createDataFrame(rows, "doc int, seq long, para int, kind string, text string")
+    assert fields.directory_paragraphs(df, ["doc"]).collect() == [(2, 1)]
+    assert [r.doc for r in spark.read.parquet(f"{tmp_path}/steps").select("_key.doc").distinct().collect()] == [2]
+
+
 AUTO = pacing.LIMITS["auto"]
 
 
