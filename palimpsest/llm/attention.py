@@ -12,6 +12,22 @@ CONTEXT, STRIDE = 32, 16
 WINDOWS = 64
 
 
+def _rows(m: np.ndarray) -> np.ndarray:
+    """Windows x tokens as rows: one product of matrices in place of one for each window."""
+    return m.reshape(-1, m.shape[2])
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """tanh in place by exp(), which numpy has vectorised."""
+    x *= 2
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
 class Attention:
     """Symbols in, log-probabilities of the next symbol out.
 
@@ -71,7 +87,7 @@ class Attention:
         x = p["E"].take(c, 0)
         head, width = p["Q"].shape[1], x.shape[2]
         hidden = p["A"].shape[1]
-        made = x @ weights
+        made = (_rows(x) @ weights).reshape(*c.shape, -1)
         q, k, v, now, before = np.split(made, np.cumsum([head, head, width, hidden]), axis=2)
         w = q @ k.transpose(0, 2, 1)
         w += np.where(self.seen, p["R"][self.distance], np.float32(-1e9))[:n, :n]
@@ -79,11 +95,11 @@ class Attention:
         np.exp(w, out=w)
         w *= (1 / (w @ np.ones(n, np.float32)))[:, :, None]
         a = w @ v
-        h = a @ p["D"]
+        h = (_rows(a) @ p["D"]).reshape(*c.shape, -1)
         h += now
         h += p["b"]
         h[:, 1:] += before[:, :-1]
-        return x, q, k, v, w, a, np.tanh(h, out=h)
+        return x, q, k, v, w, a, _tanh(h)
 
     def ready(self) -> Attention:
         """For scoring: what depends on a symbol alone becomes a table, and weights that could pass what exp() of a float holds are scaled down."""
@@ -111,7 +127,7 @@ class Attention:
         h += now.take(c[:, first:], 0)
         begin = max(first, 1)
         h[:, begin - first :] += before.take(c[:, begin - 1 : -1], 0)
-        return np.tanh(h, out=h)
+        return _tanh(h)
 
     def log_probabilities(self, c: np.ndarray, first: np.ndarray, size: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Of the scored targets, in order, after ready().  c: windows x symbols; t: the symbols that follow; each window's places from first up to size are scored."""
@@ -205,11 +221,10 @@ class Attention:
         """Gradients in the projections side by side, in D, b and R, and in the symbols' vectors, row by row."""
         x, q, k, v, w, a, h = state
         p, n = self.p, c.shape[1]
-        rows = lambda m: m.reshape(-1, m.shape[2])
         dh = dh * (1 - h * h)
-        da = dh @ p["D"].T
+        da = (_rows(dh) @ p["D"].T).reshape(a.shape)
         ds = da @ v.transpose(0, 2, 1)
-        ds -= (da * a).sum(2, keepdims=True)  # the mean of what each place gets, by its weights
+        ds -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]  # the mean of what each place gets, by its weights
         ds *= w
         # in the order of the weights side by side
         made = np.zeros((*c.shape, weights.shape[1]), h.dtype)
@@ -220,8 +235,8 @@ class Attention:
         made[:, :, ends[2] : ends[3]] = dh
         made[:, :-1, ends[3] :] = dh[:, 1:]
         by_distance = np.bincount(self.distance[:n, :n].ravel(), (ds.sum(0) * self.seen[:n, :n]).ravel(), minlength=CONTEXT).astype(np.float32)
-        made = rows(made)
-        return rows(x).T @ made, rows(a).T @ rows(dh), rows(dh).sum(0), by_distance, made @ weights.T
+        made, dh = _rows(made), _rows(dh)
+        return _rows(x).T @ made, _rows(a).T @ dh, np.ones(len(dh), dh.dtype) @ dh, by_distance, made @ weights.T
 
 
 class Adam:

@@ -57,6 +57,14 @@ def test_model_scores_sum_to_one():
     assert np.allclose(p.sum(0), 1, atol=1e-5)
 
 
+def test_tanh_by_exponentials():
+    from palimpsest.llm.attention import _tanh
+
+    x = np.r_[np.linspace(-30, 30, 10_001), -1e30, 1e30, np.inf, -np.inf].astype(np.float32)
+    with np.errstate(all="raise", under="ignore"):
+        assert np.abs(_tanh(x.copy()) - np.tanh(x.astype(float))).max() < 3e-7
+
+
 def test_model_is_causal_and_its_gradients_hold():
     from palimpsest.llm.attention import CONTEXT, Attention
 
