@@ -8,8 +8,12 @@ import numpy as np
 
 #: Tokens of a window; a window starts every STRIDE tokens, so all but a text's first tokens see at least CONTEXT - STRIDE others.
 CONTEXT, STRIDE = 32, 16
-#: Windows that are worked on at once: their logits stay in a core's cache.
-WINDOWS = 64
+#: Windows that are worked on at once: what is known of them stays in a core's cache.
+WINDOWS = 32
+#: Rows that are multiplied at once where products are summed over rows.
+ROWS = 256
+#: Scored windows whose tokens' outcomes are worked out together.
+TOGETHER = 512
 
 
 def _rows(m: np.ndarray) -> np.ndarray:
@@ -17,15 +21,23 @@ def _rows(m: np.ndarray) -> np.ndarray:
     return m.reshape(-1, m.shape[2])
 
 
+def _turned(m: np.ndarray) -> np.ndarray:
+    """The last two axes swapped and laid out anew: small products by a matrix that is only seen turned are slow."""
+    return np.ascontiguousarray(m.swapaxes(-1, -2))
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, summed over ROWS rows at a time."""
+    n = len(a) - len(a) % ROWS
+    out = a[n:].T @ b[n:]
+    if n:
+        out += (a[:n].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, ROWS, b.shape[1])).sum(0)
+    return out
+
+
 def _tanh(x: np.ndarray) -> np.ndarray:
-    """tanh in place by exp(), which numpy has vectorised."""
-    x *= 2
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.divide(-2, x, out=x)
-    x += 1
-    return x
+    """tanh in place."""
+    return np.tanh(x, out=x)
 
 
 class Attention:
@@ -56,12 +68,15 @@ class Attention:
 
     def _prepare(self) -> None:
         i, j = np.indices((CONTEXT, CONTEXT))
+        head, hidden = self.p["Q"].shape[1], self.p["b"].shape[0]
+        #: Where the parts of the projections end, but the last.
+        self.parts = [head, 2 * head, 2 * head + hidden, 2 * head + 2 * hidden]
         self.distance, self.seen = np.clip(i - j, 0, CONTEXT - 1), i >= j
 
     def copy(self) -> Attention:
         """A model of its own with the same weights."""
         out = copy(self)
-        out.p = dict(self.p)  # arrays are replaced, never changed
+        out.p = {k: x.copy() for k, x in self.p.items()}
         return out
 
     @property
@@ -76,53 +91,51 @@ class Attention:
             self.p[k] = values[start : start + size].reshape(self.p[k].shape).astype(np.float32)
             start += size
 
-    def _weights(self) -> np.ndarray:
-        """The projections of a symbol's vector side by side: query (scaled), key, value, now and before."""
+    def _projections(self) -> np.ndarray:
+        """What a symbol's vector is multiplied by, side by side: query (scaled), key, value (through D), now and before."""
         p = self.p
-        return np.hstack([p["Q"] * np.float32(1 / np.sqrt(p["Q"].shape[1])), p["K"], p["V"], p["A"], p["B"]])
+        return np.hstack([p["Q"] * p["Q"].dtype.type(1 / np.sqrt(p["Q"].shape[1])), p["K"], p["V"] @ p["D"], p["A"], p["B"]])
 
-    def _hidden(self, c: np.ndarray, weights: np.ndarray):
+    def _weights(self) -> tuple:
+        """What depends on a symbol alone, as tables by symbol: query, key, value with a one beside it, now (with b), before.  Then the bias by distance, and the most that an attention weight's exponent can be."""
+        q, k, v, now, before = np.split(self.p["E"] @ self._projections(), self.parts, axis=1)
+        most = np.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", k, k).max()) + np.abs(self.p["R"]).max()
+        bias = np.where(self.seen, self.p["R"][self.distance], np.float32(-1e9))
+        return *map(np.ascontiguousarray, (q, k)), np.hstack([v, np.ones((len(v), 1), v.dtype)]), now + self.p["b"], np.ascontiguousarray(before), bias, most
+
+    def _hidden(self, c: np.ndarray, tables: tuple):
         """c: windows x tokens of symbols."""
-        p, n = self.p, c.shape[1]
-        x = p["E"].take(c, 0)
-        head, width = p["Q"].shape[1], x.shape[2]
-        hidden = p["A"].shape[1]
-        made = (_rows(x) @ weights).reshape(*c.shape, -1)
-        q, k, v, now, before = np.split(made, np.cumsum([head, head, width, hidden]), axis=2)
-        w = q @ k.transpose(0, 2, 1)
-        w += np.where(self.seen, p["R"][self.distance], np.float32(-1e9))[:n, :n]
-        np.minimum(w, np.float32(60), out=w)  # in place of a maximum for each row
+        *tables, bias, most = tables
+        q, k, v, h, before = (x.take(c, 0) for x in tables)
+        w = q @ _turned(k)
+        w += bias[: c.shape[1], : c.shape[1]]
+        if most > 60:
+            np.minimum(w, w.dtype.type(60), out=w)  # in place of a maximum for each row
         np.exp(w, out=w)
-        w *= (1 / (w @ np.ones(n, np.float32)))[:, :, None]
-        a = w @ v
-        h = (_rows(a) @ p["D"]).reshape(*c.shape, -1)
-        h += now
-        h += p["b"]
+        a = w @ v  # its last column is the sum of the weights
+        share = 1 / a[:, :, -1:]
+        a = a[:, :, :-1] * share
+        h += a
         h[:, 1:] += before[:, :-1]
-        return x, q, k, v, w, a, _tanh(h)
+        return q, k, v, w, share, a, _tanh(h)
 
     def ready(self) -> Attention:
         """For scoring: what depends on a symbol alone becomes a table, and weights that could pass what exp() of a float holds are scaled down."""
         for w, b in (("G", "g"), ("O", "o")):  # h lies between -1 and 1, so these bound every logit
             fit = np.minimum(1, 80 / np.maximum(np.abs(self.p[w]).sum(0) + np.abs(self.p[b]), 1e-9)).astype(np.float32)
             self.p[w], self.p[b] = self.p[w] * fit, self.p[b] * fit
-        p, e = self.p, self.p["E"]
-        q, k = e @ p["Q"] * np.float32(1 / np.sqrt(p["Q"].shape[1])), e @ p["K"]
-        most = np.sqrt((q * q).sum(1).max() * (k * k).sum(1).max()) + np.abs(p["R"]).max()
-        if most > 60:
-            q = q * np.float32(60 / most)
-        ones = np.ones((len(e), 1), np.float32)
-        self.tables = q, k, np.hstack([e @ p["V"] @ p["D"], ones]), e @ p["A"] + p["b"], e @ p["B"]
-        self.bias = np.where(self.seen, p["R"][self.distance], np.float32(-1e9))
+        q, *others, self.bias, most = self._weights()
+        self.tables = q * np.float32(60 / most) if most > 60 else q, *others
+        self.outcome = self._outcome_weights()
         return self
 
     def _hidden_by_table(self, c: np.ndarray, first: int = 0) -> np.ndarray:
         """For the places of each window from first on."""
         q, k, v, now, before = self.tables
-        w = np.matmul(q.take(c[:, first:], 0), k.take(c, 0).transpose(0, 2, 1))
+        w = q.take(c[:, first:], 0) @ _turned(k.take(c, 0))
         w += self.bias[first : c.shape[1], : c.shape[1]]
         np.exp(w, out=w)
-        a = np.matmul(w, v.take(c, 0))  # its last column is the sum of the weights
+        a = w @ v.take(c, 0)  # its last column is the sum of the weights
         h = a[:, :, :-1] * (1 / a[:, :, -1:])
         h += now.take(c[:, first:], 0)
         begin = max(first, 1)
@@ -134,123 +147,158 @@ class Attention:
         many = size - first
         begin = np.cumsum(many) - many
         out = np.empty(int(many.sum()), np.float32)
-        step = 12 * WINDOWS
         for f in np.unique(first).tolist():
             chosen, at = np.flatnonzero(first == f), np.arange(f, c.shape[1])
-            for i in range(0, len(chosen), step):
-                part = chosen[i : i + step]
+            for i in range(0, len(chosen), TOGETHER):
+                part = chosen[i : i + TOGETHER]
                 real = at < size[part, None]
-                h = np.concatenate([self._hidden_by_table(c[part[j : j + WINDOWS]], f)[real[j : j + WINDOWS]] for j in range(0, len(part), WINDOWS)])
-                out[(begin[part, None] + at - f)[real]] = self._outcome(h, t[part, f:][real])
+                parts = (part[j : j + WINDOWS] for j in range(0, len(part), WINDOWS))
+                h = np.concatenate([self._hidden_by_table(c[x].astype(np.intp), f) for x in parts])
+                out[(begin[part, None] + at - f)[real]] = self._outcome(h[real], t[part, f:][real].astype(np.intp))
         return out
 
-    def _outcome(self, h: np.ndarray, t: np.ndarray) -> np.ndarray:
-        p, groups = self.p, self.group[t]
-        order = np.argsort(groups.astype(np.uint16), kind="stable")
-        h, t, groups = h.take(order, 0), t.take(order), groups.take(order)
-        z = h @ p["G"]
-        z += p["g"]
-        got = z[np.arange(len(z)), groups]
-        np.exp(z, out=z)
-        got -= np.log(z @ np.ones(z.shape[1], np.float32))
+    def _outcome_weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """G over g, and O over o: for rows that end with a one."""
+        return np.vstack([self.p["G"], self.p["g"]]), np.vstack([self.p["O"], self.p["o"]])
+
+    def _by_group(self, h: np.ndarray, t: np.ndarray, chosen: np.ndarray | None = None):
+        """The rows (chosen ones, or all) in the order of their targets' groups: which row each is, the row and a one, its group, where the target stands among all logits of its group's rows, and (first row, last, first symbol, last) of the groups that are met."""
+        groups = self.group.astype(np.uint16).take(t if chosen is None else t.take(chosen))
+        order = np.argsort(groups, kind="stable")
+        groups, order = groups.take(order).astype(np.intp), order if chosen is None else chosen.take(order)
+        rows = np.ones((len(order), h.shape[1] + 1), h.dtype)
+        rows[:, :-1] = h.take(order, 0)
         ends = np.searchsorted(groups, np.arange(len(self.starts)))
-        for k in np.flatnonzero(np.diff(ends)):
-            a, b, x, y = ends[k], ends[k + 1], self.starts[k], self.starts[k + 1]
-            z = h[a:b] @ p["O"][:, x:y]
-            z += p["o"][x:y]
-            got[a:b] += z[np.arange(b - a), t[a:b] - x]
-            np.exp(z, out=z)
-            got[a:b] -= np.log(z @ np.ones(y - x, np.float32))
+        place = (np.arange(len(order)) - ends.take(groups)) * np.diff(self.starts).take(groups) + t.take(order) - self.starts.take(groups)
+        ends, starts = ends.tolist(), self.starts.tolist()
+        spans = [x for x in zip(ends, ends[1:], starts, starts[1:], strict=False) if x[0] < x[1]]
+        return order, rows, groups, place, spans
+
+    def _outcome(self, h: np.ndarray, t: np.ndarray) -> np.ndarray:
+        top, bottom = self.outcome
+        order, h, groups, place, spans = self._by_group(h, t)
+        z = h @ top
+        got = z.ravel().take(np.arange(len(z)) * z.shape[1] + groups)
+        ones = np.ones(z.shape[1] + len(self.group), np.float32)
+        total = np.exp(z, out=z) @ ones[: z.shape[1]]
+        within = np.empty_like(total)
+        for a, b, x, y in spans:
+            z = h[a:b] @ bottom[:, x:y]
+            got[a:b] += z.ravel().take(place[a:b])
+            np.matmul(np.exp(z, out=z), ones[: y - x], out=within[a:b])
         out = np.empty_like(got)
-        out[order] = got
+        out[order] = got - np.log(total) - np.log(within)
         return out
 
     def gradients(self, c: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the real tokens, and its gradients; t: targets.  The attention goes by WINDOWS windows, the softmax over all at once."""
-        p, weights = self.p, self._weights()
+        p, tables, weights = self.p, self._weights(), _turned(self._projections())
+        c, t = c.astype(np.intp), t.astype(np.intp)
         runs = [slice(i, i + WINDOWS) for i in range(0, len(c), WINDOWS)]
-        states = [self._hidden(c[r], weights) for r in runs]
+        states = [self._hidden(c[r], tables) for r in runs]
         loss, g, dh = self._outcome_gradients(np.concatenate([s[-1] for s in states]), t, real)
         sums = [self._hidden_gradients(c[r], s, dh[r], weights) for r, s in zip(runs, states, strict=True)]
-        dw, g["D"], g["b"], g["R"] = (sum(x[i] for x in sums) for i in range(4))
-        head, width, hidden = p["Q"].shape[1], p["V"].shape[1], p["A"].shape[1]
-        g["Q"], g["K"], g["V"], g["A"], g["B"] = np.split(dw, np.cumsum([head, head, width, hidden]), axis=1)
-        g["Q"] = g["Q"] * np.float32(1 / np.sqrt(head))
-        dx, flat = np.concatenate([x[4] for x in sums]), c.ravel()
+        dw, g["b"], bias = (sum(x[i] for x in sums) for i in range(3))
+        n = c.shape[1]
+        g["R"] = np.bincount(self.distance[:n, :n].ravel(), (bias * self.seen[:n, :n]).ravel(), minlength=CONTEXT).astype(np.float32)
+        dq, g["K"], dv, g["A"], g["B"] = np.split(dw, self.parts, axis=1)
+        g["Q"] = dq * dq.dtype.type(1 / np.sqrt(dq.shape[1]))
+        g["V"], g["D"] = dv @ p["D"].T, p["V"].T @ dv
+        dx, flat = np.concatenate([x[3] for x in sums]), c.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
-        met, first = np.unique(flat[order], return_index=True)
+        flat = flat.take(order)
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         g["E"] = np.zeros_like(p["E"])
-        g["E"][met] = np.add.reduceat(dx.take(order, 0), first, axis=0)
+        g["E"][flat[first]] = np.add.reduceat(dx.take(order, 0), first, axis=0)
         return loss, g
 
     def _outcome_gradients(self, h: np.ndarray, t: np.ndarray, real: np.ndarray):
         """The loss, its gradients in the weights of the two softmaxes, and in h."""
         p, width = self.p, h.shape[2]
-        keep = np.flatnonzero(real.ravel())
-        keep = keep[np.argsort(self.group[t.ravel()[keep]].astype(np.uint16), kind="stable")]
-        hk, tk = h.reshape(-1, width).take(keep, 0), t.ravel()[keep]
-        groups, share = self.group[tk], np.float32(1 / len(keep))
-
-        def soft(z, hit):
-            np.minimum(z, np.float32(80), out=z)  # in place of a maximum for each row
-            at = np.arange(len(z))
-            got = z[at, hit].sum(dtype=float)
+        top, bottom = self._outcome_weights()
+        # h lies between -1 and 1, so these bound every logit
+        most = [float(np.abs(m).sum(0).max()) for m in (top, bottom)]
+        turned = _turned(p["G"]), _turned(p["O"])
+        keep, rows, groups, place, spans = self._by_group(_rows(h), t.ravel(), np.flatnonzero(real.ravel()))
+        share, ones = h.dtype.type(1 / len(keep)), np.ones(top.shape[1] + bottom.shape[1], h.dtype)
+
+        def soft(z, at, most):
+            """Turns logits to their gradient, and gives each row's loss.  at: where the targets stand."""
+            if most > 80:
+                np.minimum(z, z.dtype.type(80), out=z)  # in place of a maximum for each row
+            values = z.reshape(-1)
+            got = values.take(at)
             np.exp(z, out=z)
-            total = z @ np.ones(z.shape[1], z.dtype) + np.float32(1e-30)
+            total = z @ ones[: z.shape[1]]
+            total += z.dtype.type(1e-30)
+            values[at] -= total
             z *= (share / total)[:, None]
-            z[at, hit] -= share
-            return np.log(total).sum(dtype=float) - got
+            np.log(total, out=total)
+            total -= got
+            return total
 
-        z = hk @ p["G"] + p["g"]
-        loss = soft(z, groups)
-        g = {"G": hk.T @ z, "g": z.sum(0), "O": np.zeros_like(p["O"]), "o": np.zeros_like(p["o"])}
-        dk = z @ p["G"].T
-        ends = np.searchsorted(groups, np.arange(len(self.starts)))
-        for k in np.flatnonzero(np.diff(ends)):
-            i, j, x, y = ends[k], ends[k + 1], self.starts[k], self.starts[k + 1]
-            z = hk[i:j] @ p["O"][:, x:y]
-            z += p["o"][x:y]
-            loss += soft(z, tk[i:j] - x)
-            g["O"][:, x:y], g["o"][x:y] = hk[i:j].T @ z, z.sum(0)
-            dk[i:j] += z @ p["O"][:, x:y].T
-        dh = np.zeros((t.size, width), h.dtype)
-        dh[keep] = dk
-        return float(loss * share), g, dh.reshape(h.shape)
+        z = rows @ top
+        loss = soft(z, np.arange(len(z)) * z.shape[1] + groups, most[0]).sum(dtype=float)
+        both, over = _crossed(rows, z), np.zeros_like(bottom)
+        dk = np.zeros((len(keep) + 1, width), h.dtype)  # and a row of zeros, for tokens that aren't real
+        np.matmul(z, turned[0], out=dk[:-1])
+        lost = np.empty(len(keep), h.dtype)
+        for i, j, x, y in spans:
+            z = rows[i:j] @ bottom[:, x:y]
+            lost[i:j] = soft(z, place[i:j], most[1])
+            over[:, x:y] = rows[i:j].T @ z
+            dk[i:j] += z @ turned[1][x:y]
+        loss += lost.sum(dtype=float)
+        g = {"G": both[:-1], "g": both[-1], "O": over[:-1], "o": over[-1]}
+        back = np.full(t.size, len(keep))
+        back[keep] = np.arange(len(keep))
+        return float(loss * share), g, dk.take(back, 0).reshape(h.shape)
 
     def _hidden_gradients(self, c: np.ndarray, state, dh: np.ndarray, weights: np.ndarray):
-        """Gradients in the projections side by side, in D, b and R, and in the symbols' vectors, row by row."""
-        x, q, k, v, w, a, h = state
-        p, n = self.p, c.shape[1]
+        """Gradients in the projections side by side, in b, in the bias, and in the symbols' vectors, row by row.  weights: the projections, turned."""
+        q, k, v, w, share, a, h = state
+        width = h.shape[2]
         dh = dh * (1 - h * h)
-        da = (_rows(dh) @ p["D"].T).reshape(a.shape)
-        ds = da @ v.transpose(0, 2, 1)
-        ds -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]  # the mean of what each place gets, by its weights
+        da = np.empty_like(v)  # by the weights before they are made to sum up to one; its last column, of their sum, takes away the mean of what each place gets
+        np.multiply(dh, share, out=da[:, :, :-1])
+        np.einsum("ijk,ijk->ij", da[:, :, :-1], a, out=da[:, :, -1])
+        np.negative(da[:, :, -1], out=da[:, :, -1])
+        ds = da @ _turned(v)
         ds *= w
-        # in the order of the weights side by side
-        made = np.zeros((*c.shape, weights.shape[1]), h.dtype)
-        ends = np.cumsum([q.shape[2], k.shape[2], v.shape[2], h.shape[2]])
-        made[:, :, : ends[0]] = ds @ k
-        made[:, :, ends[0] : ends[1]] = ds.transpose(0, 2, 1) @ q
-        made[:, :, ends[1] : ends[2]] = w.transpose(0, 2, 1) @ da
+        # in the order of the projections
+        made = np.empty((*c.shape, weights.shape[0]), h.dtype)
+        ends = self.parts
+        np.matmul(ds, k, out=made[:, :, : ends[0]])
+        np.matmul(ds.transpose(0, 2, 1), q, out=made[:, :, ends[0] : ends[1]])
+        np.matmul(w.transpose(0, 2, 1), da[:, :, :width], out=made[:, :, ends[1] : ends[2]])
         made[:, :, ends[2] : ends[3]] = dh
         made[:, :-1, ends[3] :] = dh[:, 1:]
-        by_distance = np.bincount(self.distance[:n, :n].ravel(), (ds.sum(0) * self.seen[:n, :n]).ravel(), minlength=CONTEXT).astype(np.float32)
+        made[:, -1, ends[3] :] = 0
         made, dh = _rows(made), _rows(dh)
-        return _rows(x).T @ made, _rows(a).T @ dh, np.ones(len(dh), dh.dtype) @ dh, by_distance, made @ weights.T
+        return _crossed(_rows(self.p["E"].take(c, 0)), made), np.ones(len(dh), dh.dtype) @ dh, ds.sum(0), made @ weights
 
 
 class Adam:
+    """Changes the model's weights, which it takes over, in place."""
+
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.t = model, rate, 0
-        self.m, self.v = ({k: np.zeros_like(p) for k, p in model.p.items()} for _ in range(2))
+        self.w = model.flat
+        self.m, self.v, self.g, self.by = (np.zeros_like(self.w) for _ in range(4))
+        ends = np.cumsum([model.p[k].size for k in model.NAMES])
+        model.p = {k: x.reshape(model.p[k].shape) for k, x in zip(model.NAMES, np.split(self.w, ends[:-1]), strict=True)}
 
     def step(self, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
+        g, by = self.g, self.by
+        np.concatenate([grads[k].ravel() for k in self.model.NAMES], out=g, casting="same_kind")
+        size = np.sqrt(float(g @ g))
+        g *= np.float32(min(1.0, 1.0 / max(size, 1e-9)))
         rate = self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            g = g * scale
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-            self.model.p[k] = self.model.p[k] - np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+        self.m += np.multiply(np.subtract(g, self.m, out=by), np.float32(0.1), out=by)
+        np.multiply(g, g, out=g)
+        self.v += np.multiply(np.subtract(g, self.v, out=by), np.float32(0.01), out=by)
+        np.sqrt(self.v, out=by)
+        by += np.float32(1e-8)
+        np.divide(self.m, by, out=by)
+        self.w -= np.multiply(by, np.float32(rate), out=by)

@@ -122,25 +122,24 @@ class Covered:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", as_bytes: bool = False, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """(rows, their texts) in runs of bounded size; null texts are empty."""
+    for rows, part in bounded(batches, text, most_bytes, most_rows):
+        blank = b"" if as_bytes else ""
+        yield rows, [blank if x is None else x for x in (part.cast(pa.binary()) if as_bytes else part).to_pylist()]
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int, most_rows: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """(rows, their texts as a column) in runs of bounded size."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(sizes):
             if i > start and (size + n > most_bytes or i - start >= most_rows):
-                yield _slice(batch, column, start, i, as_bytes)
+                yield batch.slice(start, i - start), column.slice(start, i - start)
                 start, size = i, 0
             size += n
         if len(sizes) > start:
-            yield _slice(batch, column, start, len(sizes), as_bytes)
-
-
-def _slice(batch, column, start, end, as_bytes):
-    part = column.slice(start, end - start)
-    if as_bytes:
-        part = part.cast(pa.binary())
-    blank = b"" if as_bytes else ""
-    return batch.slice(start, end - start), [blank if x is None else x for x in part.to_pylist()]
+            yield batch.slice(start), column.slice(start)
 
 
 def hand_back() -> None:

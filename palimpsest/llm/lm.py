@@ -23,9 +23,7 @@ scored one by one, repeated ids included; ids are whole numbers or null.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterable
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import CONTEXT, STRIDE, Adam, Attention
-from .common import Workspace, held_out, map_texts, named, slices
+from .common import Workspace, bounded, hand_back, held_out, named
 
 #: Symbols of the model: frequent ids, the end, and one for all other ids.
 SYMBOLS, GROUPS = 2048, 32
@@ -63,20 +61,10 @@ RUN_BYTES, RUN_ROWS = 16 << 20, 16384
 PART_BYTES = 1 << 20
 #: Ids that are scored at once.
 SCORED = 200_000
-#: Words counted in a task before they are handed on.
-COUNTED = 400_000
 #: The end of a text as a token; no word holds a space.
 END = b" "
 
 
-class Index(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 class Subwords:
     """Words of bytes to vocabulary ids."""
 
@@ -108,21 +96,15 @@ class Subwords:
             done += len(ids)
         return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.concatenate([*starts, [done]]).astype(np.int64)
 
-    def cut(self, texts: Iterable[list[bytes]]) -> Cut:
-        """The texts' words by number, and each distinct word's ids.  Of the words themselves only the distinct ones are held."""
-        index, many = Index(), []
-
-        def each():
-            for t in texts:
-                many.append(len(t))
-                yield t
-
-        numbers = np.fromiter(map(index.__getitem__, chain.from_iterable(each())), np.int32)
-        return Cut(index, numbers, np.r_[0, np.cumsum(many, dtype=np.int64)], *self.words(list(index)))
+    def cut(self, texts: pa.Array) -> Cut:
+        """The texts' words by number, and each distinct word's ids."""
+        numbers, ends, distinct = numbered_words(texts)
+        return Cut(distinct, numbers, ends, *self.words(distinct.to_pylist()))
 
 
 class Cut(NamedTuple):
-    index: Index
+    #: Distinct words, by number.
+    distinct: pa.Array
     #: Of each word in turn.
     numbers: np.ndarray
     #: Where each text's words start, and the end.
@@ -178,38 +160,37 @@ def windows_of(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols, stride: int
     starts = np.cumsum(size + 1) - size - 1  # where a text's start mark stands
     stream = np.full(size.sum() + len(sizes) + CONTEXT, end, np.int64)
     stream[np.arange(len(ids)) + np.repeat(starts + 1 - (np.cumsum(sizes) - sizes), sizes)] = ids
-    stream = symbols.of[stream]
+    stream = symbols.of.astype(np.uint16).take(stream)
     many = 1 + np.maximum(0, -(-(size - CONTEXT) // stride))
     text = np.repeat(np.arange(len(sizes)), many)
     k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     length = np.minimum(CONTEXT, size[text] - k * stride)
-    at = (starts[text] + k * stride)[:, None] + np.arange(CONTEXT)
-    return stream[at], stream[np.minimum(at + 1, len(stream) - 1)], np.where(k > 0, CONTEXT - stride, 0), length, text
+    at = starts[text] + k * stride
+    every = np.lib.stride_tricks.sliding_window_view(np.append(stream, stream[-1:]), CONTEXT)
+    return every[at], every[at + 1], np.where(k > 0, CONTEXT - stride, 0), length, text
 
 
-def words(raw: bytes) -> list[bytes]:
-    return raw.lower().split()
+def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each word's number in turn, where each text's words start (and the end), and the distinct words by number.  Null texts have no words."""
+    # only blanks stand at the ends of a text, so that an empty one is all that is cut into an empty word
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    blank = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    split = pc.ascii_split_whitespace(trimmed.filter(pa.array(~blank)))
+    coded = split.flatten().dictionary_encode()
+    many = np.zeros(len(texts), np.int64)
+    many[~blank] = pc.list_value_length(split).to_numpy()
+    return coded.indices.to_numpy(), np.r_[0, np.cumsum(many)], coded.dictionary.cast(pa.binary())
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts, the end of each included; tasks sum first."""
 
     def run(batches):
-        held: Counter = Counter()
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return made
-
-        for _, texts in slices(batches, as_bytes=True):
-            for raw in texts:
-                held.update(words(raw))
-                if len(held) > COUNTED:
-                    yield out()
-            held[END] += len(texts)
-        if held:
-            yield out()
+        hand_back()
+        for _, texts in bounded(batches, "text", RUN_BYTES, RUN_ROWS):
+            numbers, ends, distinct = numbered_words(texts)
+            word = pa.concat_arrays([distinct, pa.array([END], pa.binary())])
+            yield pa.RecordBatch.from_arrays([word, pa.array(np.r_[np.bincount(numbers, minlength=len(distinct)), len(texts)])], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -272,22 +253,21 @@ def _dealt(docs: DataFrame, groups: int) -> DataFrame:
 
 
 def _cut(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows with ids in place of the text."""
+    """The rows (g, h, id, text) with ids in place of the text."""
 
-    def start():
+    def run(batches):
+        hand_back()
         subwords = Subwords(vocabulary)
-
-        def run(texts):
-            cut = subwords.cut(map(words, texts))
-            sizes, made = cut.sizes(), []
+        for part, texts in bounded(batches, "text", RUN_BYTES, RUN_ROWS):
+            cut = subwords.cut(texts)
+            sizes = cut.sizes()
             for begin, end in cut.stretches(SCORED):
+                ends = np.r_[0, np.cumsum(sizes[begin:end])].astype(np.int32) * 2
                 ids = cut.expanded(begin, end).astype(np.uint16)
-                made += [(part.tobytes(),) for part in np.split(ids, np.cumsum(sizes[begin:end])[:-1])]
-            return made
-
-        return run
+                packed = pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*part.slice(begin, end - begin).columns[:3], packed], ["g", "h", "id", "ids"])
 
-    return map_texts(rows, "ids binary", start, as_bytes=True, most_bytes=RUN_BYTES, most_rows=RUN_ROWS)
+    return rows.select("g", "h", "id", "text").mapInArrow(run, "g int, h long, id long, ids binary")
 
 
 def _from_bytes(column) -> Iterable[np.ndarray]:
@@ -396,9 +376,9 @@ def _scored(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str
         model, symbols = sent.value
         subwords = Subwords(vocabulary)
         first = TaskContext.get().partitionId() << 32
-        for k, (rows, texts) in enumerate(slices(batches, as_bytes=True, most_bytes=RUN_BYTES, most_rows=RUN_ROWS)):
-            cut = subwords.cut(map(words, texts))
-            many, index = np.diff(cut.texts), cut.index
+        for k, (rows, texts) in enumerate(bounded(batches, "text", RUN_BYTES, RUN_ROWS)):
+            cut = subwords.cut(texts)
+            many, distinct = np.diff(cut.texts), cut.distinct
             size = cut.sizes()
             scores = np.zeros(len(texts))
             for begin, end in cut.stretches(SCORED):
@@ -413,16 +393,15 @@ def _scored(docs: DataFrame, model: Attention, symbols: Symbols, vocabulary: str
             ids = rows.column(rows.schema.get_field_index("id"))
             blobs = (
                 [pc.fill_null(ids, 0).to_numpy().astype(np.int64), pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.int64), many + 1, (scores / np.log(10)).view(np.int64)],
-                [np.bincount(number, minlength=len(index)).astype(np.uint32)], [place.astype(np.uint16)], [times.astype(np.uint32)],
+                [np.bincount(number, minlength=len(distinct)).astype(np.uint32)], [place.astype(np.uint16)], [times.astype(np.uint32)],
             )
             for kind, arrays in enumerate(blobs):
                 raw = b"".join([x.tobytes() for x in arrays])
                 for n, at in enumerate(range(0, len(raw), PART_BYTES)):
                     # no word begins with a space: these match nothing, and are dealt out evenly
                     yield batch([b" %d %d %d" % (first + k, kind, n)], first + k, [-1 - kind - len(blobs) * n], [raw[at : at + PART_BYTES]])
-            names = list(index)
-            for at in range(0, len(names), 10_000):
-                part = names[at : at + 10_000]
+            for at in range(0, len(distinct), 10_000):
+                part = distinct.slice(at, 10_000)
                 yield batch(part, first + k, range(at, at + len(part)), [None] * len(part))
 
     return docs.select("id", "text").mapInArrow(run, "word binary, run long, place int, payload binary")

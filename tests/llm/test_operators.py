@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,39 @@ def test_model_is_causal_and_its_gradients_hold():
         assert grads[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-4, abs=2e-4), k
 
 
+def test_products_summed_over_rows():
+    from palimpsest.llm.attention import ROWS, _crossed
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, ROWS - 1, ROWS, 3 * ROWS + 5):
+        a, b = rng.normal(size=(n, 3)), rng.normal(size=(n, 4))
+        assert np.allclose(_crossed(a, b), a.T @ b), n
+
+
+def test_gradients_do_not_depend_on_runs(monkeypatch):
+    from palimpsest.llm import attention
+
+    rng, got = np.random.default_rng(0), []
+    c, t = rng.integers(0, 5, (2, 50, attention.CONTEXT))
+    real = rng.random(c.shape) < 0.8
+    for n in (1, 64):
+        monkeypatch.setattr(attention, "WINDOWS", n)
+        got.append(attention.Attention(np.array([0, 3]), np.array([4.0, 3, 2, 1, 1])).gradients(c, t, real))
+    assert got[0][0] == pytest.approx(got[1][0], rel=1e-6)
+    for k, g in got[0][1].items():
+        assert np.allclose(g, got[1][1][k], atol=1e-6), k
+
+
+def test_words_are_cut_as_bytes_are():
+    rng = random.Random(1)
+    signs = list(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 \x00aBÄÉ中İΣ😀Zz.")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(500)]
+    for array in (pa.array([None, "", " ", "\n\t", *texts]), pa.array(["x y", *texts, None]).slice(1), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        numbers, ends, distinct = lm.numbered_words(array)
+        words = distinct.to_pylist()
+        assert [[words[i] for i in numbers[a:b]] for a, b in zip(ends, ends[1:], strict=False)] == [(x or "").encode().lower().split() for x in array.to_pylist()]
+
+
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
