@@ -109,3 +109,17 @@ def test_batches_of_large_packages_are_small(spark, tmp_path):
 
     for files in (packages.files(spark, str(path)), office.packages(spark, str(path))):
         assert largest(files)[0] == 300 and largest(files)[1] < 150
+
+
+def test_equal_characters_of_long_texts_are_all_counted():
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcé") for _ in range(n)) for n in (1600, 1500))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    assert diff.equal_characters(a, b) == row[-1]
+    assert diff.equal_characters("x" + "a!" * 900 + "y", "xa" * 2 + "!" * 900 + "y") < 1800
+    assert diff.equal_characters("ab  c!! " * 40000, "ab c! " * 40000) == 240000
