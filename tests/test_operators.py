@@ -457,3 +457,20 @@ def test_parts_reached(spark):
     assert {r.part: r.depth for r in graph.reached(frames[0], relations, frames[1]).collect()} == want
     assert {r.part for r in graph.reached(frames[0], relations, frames[1], 1).collect()} == {k for k, d in want.items() if d <= 1}
     assert graph.reached(frames[0].limit(0), relations, frames[1]).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(TOKENS, TOKENS)
+def test_whole_diffs_in_stretches_are_the_table_walk(a, b):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(d, "STANDING", 0)
+        assert [(k, t) for k, part in d._parts(a, b, True) for t in part] == plain_diff(a, b)
+
+
+def test_whole_diffs_of_large_tables():
+    rng = random.Random(9)
+    a, b = ([rng.choice("abcd") for _ in range(n)] for n in (1500, 1450))
+    assert [(k, t) for k, part in d._parts(a, b, True) for t in part] == plain_diff(a, b) != d.diff(a, b)
+    a = [str(k) for k in range(20000)]
+    b = [t for t in a if t[-2:] != "77"]
+    assert [(k, len(part)) for k, part in d._parts(a, b, True) if k != "equal"] == [("delete", 1)] * 200

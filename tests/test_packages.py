@@ -173,3 +173,16 @@ def test_parts_out_of_scope_are_not_inflated(spark, tmp_path, monkeypatch):
     assert [type(f).__name__ for f in left] == ["IsNotNull", "EqualTo"]
     got = [b for share in reader.partitions() for b in reader.read(share)]
     assert len(got) == 2 and {x for x in opened if not x.endswith(".rels")} == {"word/header1.xml"}
+
+
+def test_revisions_of_long_paragraphs_are_whole_diffs(spark):
+    """Three words of a paragraph whose table has 36 million cells: three deletions and three insertions, nothing else."""
+    old = [f"w{k}" for k in range(3000)]
+    new = [f"new{k}" if k in (10, 1500, 2990) else w for k, w in enumerate(old)]
+    rows = [("a.docx", [[(" ".join(t), None)]]) for t in (old, new)]
+    none = F.lit(None).cast("array<array<struct<text:string,props:string>>>")
+    a, b = (spark.createDataFrame([r], "path string, p array<array<struct<text:string,props:string>>>").select("path", packages.packed("p", none, none).alias("content")) for r in rows)
+    found = packages.revisions(a, b, "A", "d").collect()
+    assert [(r.status, r.n_ids) for r in found] == [("changed", 6)]
+    marked = re.findall(r"<w:delText[^>]*>([^<]*)|<w:ins [^>]*><w:r><w:t [^>]*>([^<]*)", found[0].edits[0].xml)
+    assert [x or y for x, y in marked] == ["w10", "new10", "w1500", "new1500", "w2990", "new2990"]
