@@ -186,3 +186,40 @@ def test_revisions_of_long_paragraphs_are_whole_diffs(spark):
     assert [(r.status, r.n_ids) for r in found] == [("changed", 6)]
     marked = re.findall(r"<w:delText[^>]*>([^<]*)|<w:ins [^>]*><w:r><w:t [^>]*>([^<]*)", found[0].edits[0].xml)
     assert [x or y for x, y in marked] == ["w10", "new10", "w1500", "new1500", "w2990", "new2990"]
+
+
+def test_resolved_texts_are_those_of_resolved_parts():
+    """Any nesting, also of marks that only the pass by pass way knows; most need no second parser."""
+    rng, plain = random.Random(4), 0
+    leaves = ["<w:t>a&#13;b</w:t>", "<w:t>é😀</w:t>", "<w:delText>gone</w:delText>", "<w:tab/>", "<w:br/>", "<w:instrText>7</w:instrText>", "<w:rPr><w:b/></w:rPr>", "<w:t/>", "<v:t>other</v:t>"]
+    marks = ["", "<w:pPr/>", '<w:pPr><w:rPr><w:ins w:id="1"/></w:rPr></w:pPr>', '<w:pPr><w:rPr><w:del w:id="2"/></w:rPr></w:pPr>', '<w:pPr><w:rPr><w:del w:id="2"/><w:ins w:id="3"/></w:rPr></w:pPr>']
+    odd = ['<w:moveFrom w:id="4"><w:r><w:t>moved</w:t></w:r></w:moveFrom>', "<w:r><w:ins><w:t>in</w:t></w:ins></w:r>", "<w:t>bare</w:t>", '<w:pPr><w:pPrChange w:id="5"><w:pPr/></w:pPrChange></w:pPr>', "<w:r><w:delInstrText>x</w:delInstrText></w:r>"]
+
+    def run(deep):
+        box = f"<w:pict><w:txbxContent>{paragraph(deep + 1)}</w:txbxContent></w:pict>" if deep < 2 and rng.random() < 0.1 else ""
+        return f"<w:r>{''.join(rng.choices(leaves, k=rng.randint(0, 2)))}{box}</w:r>"
+
+    def inner(deep):
+        tag = rng.choice(["ins", "del", "hyperlink", "", "", ""])
+        body = inner(deep + 1) if deep < 3 and rng.random() < 0.2 else run(deep)
+        return f'<w:{tag} w:id="9">{body}</w:{tag}>' if tag else body
+
+    def paragraph(deep=0):
+        p = f"<w:p>{rng.choice(marks)}{''.join(inner(deep) for _ in range(rng.randint(0, 3)))}{rng.choice(odd) if rng.random() < 0.03 else ''}</w:p>"
+        around = rng.choice(["", "", "", "", "ins", "del", "tc", "tr"])
+        return f"<w:tbl><w:tr>{rng.choice(['', '', '<w:trPr><w:del/></w:trPr>']) if around == 'tr' else ''}<w:tc>{p}</w:tc></w:tr></w:tbl>" if around in ("tc", "tr") else f"<w:{around}>{p}</w:{around}>" if around else p
+
+    for k in range(1500):
+        body = "".join(paragraph() for _ in range(rng.randint(0, 3)))
+        notes = "".join(f'<w:footnote w:id="{i}">{paragraph()}{paragraph()}</w:footnote>' for i in range(2))
+        part = (f'<w:document {W} xmlns:v="v"><w:body>{body}</w:body></w:document>' if k % 3 else f'<w:footnotes {W} xmlns:v="v">{notes}</w:footnotes>').encode("utf-16" if k % 7 == 0 else "utf-8")
+        parts = [markup.part_of(markup.resolved(part, accept)) for accept in (True, False)]
+        assert markup.resolved_texts(part) == tuple([(p.note, p.pos, "".join(t.text for t in p.texts)) for p in x.paragraphs] for x in parts), part
+        try:
+            markup._plain_texts(part)
+            plain += 1
+        except markup._Odd:
+            pass
+    assert plain > 900
+    for part in (b"no xml", b"", b"<w:p", b'<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>'):
+        assert markup.resolved_texts(part) == ([], [])
