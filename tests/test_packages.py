@@ -223,3 +223,15 @@ def test_resolved_texts_are_those_of_resolved_parts():
     assert plain > 900
     for part in (b"no xml", b"", b"<w:p", b'<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>'):
         assert markup.resolved_texts(part) == ([], [])
+
+
+def test_packages_without_revisions_are_not_packed_again(spark):
+    """Packages that hold nothing to resolve come back byte by byte, and texts are those that the places have."""
+    marked, plain = (packages._zipped([("_rels/.rels", rels(("officeDocument", "word/document.xml")).encode()), ("word/document.xml", document(body).encode())]) for body in ('<w:p><w:del w:id="1"><w:r><w:delText>x</w:delText></w:r></w:del></w:p>', BODY))
+    kept = plain[:-2] + b"\x03\x00odd"  # a comment of the package, which packing it again would lose
+    df = spark.createDataFrame([(1, marked), (2, kept), (3, b"none"), (4, None)], "n int, content binary")
+    got = {r.n: r.content for r in df.select("n", packages.resolved("content", True).alias("content")).collect()}
+    assert got[2] == kept and got[3] == b"none" and got[4] is None and got[1] != marked
+    for part in (document(BODY).encode(), document(BODY).encode("utf-16"), b"<w:p"):
+        whole = markup.part_of(part)
+        assert markup.texts_in(part) == ([(p.note, p.pos, "".join(t.text for t in p.texts)) for p in whole.paragraphs] if whole else [])
