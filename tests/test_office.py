@@ -116,3 +116,21 @@ def test_texts_of_odd_parts(spark):
     assert [r.text for r in texts.collect()] == ["é"]
     new = office.embedded_replaced(parts, texts.withColumn("corrected", F.lit("ü<")), ["id"])
     assert [r.text for r in office.embedded_texts(new).collect()] == ["ü<"]
+
+
+def test_relations_of_equal_bytes_are_parsed_once():
+    content = rels(("header", "a.xml"), ("header", "../b.xml"), ("header", "/c/d.xml")).encode()
+    office._parsed.cache_clear()
+    found = [office._related(folder, content) for folder in ("word", "word", "", "word")]
+    assert found[0] == (("header", "word/a.xml"), ("header", "b.xml"), ("header", "c/d.xml")) == found[1] and found[2][0] == ("header", "a.xml")
+    assert office._parsed.cache_info().misses == 2
+    assert office._related("word", b"no xml") == () == office._related("word", None)
+    office._related("word", content + b" " * office._REMEMBERED)
+    assert office._parsed.cache_info().misses == 3  # large ones aren't remembered
+
+
+def test_paragraph_batches_hold_empty_runs(spark, tmp_path):
+    body = "<w:p/><w:p><w:r><w:t>a</w:t></w:r><w:r><w:tab/></w:r></w:p><w:p/>"
+    package(tmp_path / "a.docx", body)
+    rows = office.read_paragraphs(office.packages(spark, str(tmp_path))).where("part_kind = 'main'").orderBy("pos").collect()
+    assert [[(x.run_id, x.text, x.has_tab) for x in r.runs] for r in rows][:3] == [[], [(0, "a", False), (1, "", True)], []]
