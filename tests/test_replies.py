@@ -8,7 +8,7 @@ from .compare import same
 
 ODD = [
     (1, "one\n\n\ntwo\n"), (2, " led\ttrailed \n \nnext　"), (3, "dos\r\nends\r\n"), (4, "a\rb\n\rc\r\rd\r"), (5, ""), (6, " \n\t"), (7, "```text\ncode\n```\n```"), (8, "twice"), (8, "twice\nagain"), (8, "twice"),
-    (9, None), (None, "no id"), (10, "plain\ntext"), (11, " x\x85\n\x0by\x1f"), (12, "\n\n" * 50 + "end"),
+    (9, None), (13, None), (13, "known"), (13, None), (None, "no id"), (10, "plain\ntext"), (11, " x\x85\n\x0by\x1f"), (12, "\n\n" * 50 + "end"),
 ]
 
 
